@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ def word_masks(word: str) -> dict[str, int]:
     return masks
 
 
-def mask_literal(word: str) -> Column:
-    pairs = [F.lit(part) if isinstance(part, str) else F.lit(part).cast("bigint")
-             for entry in word_masks(word).items() for part in entry]
-    return F.create_map(*pairs)
+def literal_rows(rows: list, ddl: str) -> Column:
+    """Constant rows as one foldable expression: the optimizer turns the parsed JSON
+    into a single literal, whatever the number of rules."""
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), ddl)
 
 
 def mask_column(word: Column) -> Column:
@@ -90,21 +92,65 @@ def similarity(common: Column, total: Column) -> Column:
     return F.bround((F.lit(1.0) - distance / total) * 100, 0).cast("int")
 
 
-def ratio_to_word(text: Column, word: Column, masks: Column) -> Column:
-    """Similarity in percent of ``text`` and a rule word with prepared masks."""
-    size = F.length(word)
-    return similarity(lcs_by_masks(text, masks, size), F.length(text) + size)
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to an array-valued ``body``.
+
+    An expression used inside a lambda is evaluated anew for every element; a lambda
+    variable is not.
+    """
+    return F.flatten(F.transform(F.array(value), body))
+
+
+def char_bits(word: str) -> int:
+    """One bit per distinct character (modulo 62), as ``char_set`` computes it."""
+    bits = 0
+    for char in word:
+        bits |= 1 << (ord(char) % MASK_BITS)
+    return bits
+
+
+def rule_word(word: str) -> dict:
+    """A rule word with what comparing it needs, as a row of ``RULE_WORD_TYPE``."""
+    bits = char_bits(word)
+    return {"word": word, "size": len(word), "bits": bits, "spare": len(word) - bits.bit_count(),
+            "masks": word_masks(word)}
+
 
+RULE_WORD_TYPE = "word:string,size:int,bits:bigint,spare:int,masks:map<string,bigint>"
 
-def near(text: Column, word: Column, above: int) -> Column:
+
+def measured(text: Column) -> Column:
+    """``struct<text, size, bits>`` of a text, computed once per text."""
+    bit = lambda c: F.call_function(
+        "shiftleft", F.lit(1).cast("bigint"), F.ascii(c) % MASK_BITS)
+    bits = F.aggregate(chars(text), F.lit(0).cast("bigint"), lambda acc, c: acc.bitwiseOR(
+        F.when(c == "", F.lit(0).cast("bigint")).otherwise(bit(c))))
+    return F.struct(text.alias("text"), F.length(text).alias("size"), bits.alias("bits"))
+
+
+def may_share(text: Column, rule: Column, above: int) -> Column:
+    """Necessary condition for a similarity above a percentage, from lengths and
+    character sets: the common subsequence holds no more characters than the text
+    has, nor more than the rule's characters that occur in the text at all."""
+    total = text["size"] + rule["size"]
+    shared = F.bit_count(text["bits"].bitwiseAND(rule["bits"])).cast("int") + rule["spare"]
+    return (text["size"] * 200 >= total * above) & (shared * 200 >= total * above)
+
+
+def near(text: Column, word: Column, size: Column, above: int) -> Column:
     """Necessary condition for a similarity above a percentage.
 
     The similarity counts insertions and deletions; the plain edit distance can
     only be smaller, so bounding it (banded, in native code) loses no match.
     """
-    total = F.length(text) + F.length(word)
-    bound = F.floor(total * (100 - above) / 100).cast("int")
-    return F.call_function("levenshtein", text, word, bound) >= 0
+    bound = ((text["size"] + size) * F.lit((100 - above) / 100)).cast("int")
+    return F.call_function("levenshtein", text["text"], word, bound) >= 0
+
+
+def ratio_to_word(text: Column, rule: Column, word: str = "word", masks: str = "masks") -> Column:
+    """Similarity in percent of a measured text and a rule's word."""
+    common = lcs_by_masks(text["text"], rule[masks], F.length(rule[word]))
+    return similarity(common, text["size"] + rule["size"])
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

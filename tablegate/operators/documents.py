@@ -16,6 +16,7 @@ from tablegate.functions.findings import (
     FAIL, WARN, all_of, explode_findings, finding, for_each, no_findings, union_findings,
     when_found,
 )
+from tablegate.functions.text import literal_rows
 from tablegate.operators import names, tags
 from tablegate.rules import DEFAULT_RULES, RuleBook
 
@@ -33,7 +34,7 @@ def value(key: str) -> Column:
 
 
 def _text_list(items) -> Column:
-    return F.array(*[F.lit(item) for item in items])
+    return literal_rows(list(items), "array<string>")
 
 
 def _joined(items: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegate.functions.text import tokens
+from tablegate.functions.text import literal_rows, tokens
 from tablegate.operators.tags import is_valid, ucd_repair, vocab_join
 from tablegate.rules import DATA_TYPES, DEFAULT_RULES, FLOAT_TYPES, INTEGER_TYPES, RuleBook
 
@@ -19,9 +19,9 @@ def guess_unit(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     the name, others as a whole token."""
     if not book.protected:
         return F.lit(NO_UNIT)
-    rules = F.array(*[
-        F.struct(F.lit(w.name).alias("name"), F.lit("_" in w.name).alias("wide"),
-                 F.lit(w.units[0]).alias("unit")) for w in book.protected])
+    rules = literal_rows(
+        [{"name": w.name, "wide": "_" in w.name, "unit": w.units[0]} for w in book.protected],
+        "array<struct<name:string,wide:boolean,unit:string>>")
     parts = tokens(name)
     hits = F.filter(rules, lambda r: F.when(r["wide"], F.contains(name, r["name"]))
                     .otherwise(F.array_contains(parts, r["name"])))
@@ -31,8 +31,8 @@ def guess_unit(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
 def tag_words(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     """Distinct tag words the rules suggest for a name, in rule order."""
     def tagged(entries):
-        return F.array(*[F.struct(F.lit(n).alias("name"), F.lit("_" in n).alias("wide"),
-                                  F.lit(tag).alias("tag")) for n, tag in entries])
+        return literal_rows([{"name": n, "wide": "_" in n, "tag": tag} for n, tag in entries],
+                            "array<struct<name:string,wide:boolean,tag:string>>")
 
     def pick(rules, match):
         return F.transform(F.filter(rules, match), lambda r: r["tag"])

@@ -15,7 +15,8 @@ from tablegate.functions.findings import (
     FAIL, WARN, all_of, explode_findings, for_each, no_findings, state, when_found,
 )
 from tablegate.functions.text import (
-    mask_literal, near, ratio_to_word, squash, tokens,
+    RULE_WORD_TYPE, let, literal_rows, may_share, measured, near, ratio_to_word, rule_word, squash,
+    tokens, word_masks,
 )
 from tablegate.rules import DEFAULT_RULES, RuleBook
 
@@ -46,9 +47,13 @@ def without_known_words(name: Column, book: RuleBook) -> Column:
     known = [word.name for word in (*book.filters, *book.exceptions)]
     if not known:
         return name
-    return F.aggregate(
-        F.array(*[F.lit(word) for word in known]), name,
+    rest = F.aggregate(
+        literal_rows(known, "array<string>"), name,
         lambda rest, word: F.replace(rest, word, F.lit("")))
+    if all(any(char.isupper() for char in word) for word in known):
+        # Nothing to delete from a name without capitals.
+        return F.when(name.rlike(r"\p{Lu}"), rest).otherwise(name)
+    return rest
 
 
 def name_snake_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
@@ -66,25 +71,21 @@ def name_snake_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     )
 
 
-def _word_rules(words) -> Column:
-    return F.array(*[
-        F.struct(F.lit(word).alias("word"), mask_literal(word).alias("masks"))
-        for word in words])
-
-
 def name_banned(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     if not book.banned:
         return no_findings()
-    words = _word_rules(book.banned)
+    words = literal_rows([rule_word(word) for word in book.banned],
+                         f"array<struct<{RULE_WORD_TYPE}>>")
     inside = F.filter(words, lambda r: F.contains(name, r["word"]))
 
     def score(token):
-        close = F.filter(words, lambda r: near(token, r["word"], R.BANNED_WARN_RATIO))
+        close = F.filter(words, lambda r: (
+            may_share(token, r, R.BANNED_WARN_RATIO)
+            & near(token, r["word"], r["size"], R.BANNED_WARN_RATIO)))
         return F.transform(close, lambda r: F.struct(
-            r["word"].alias("word"),
-            ratio_to_word(token, r["word"], r["masks"]).alias("ratio")))
+            r["word"].alias("word"), ratio_to_word(token, r).alias("ratio")))
 
-    scored = F.flatten(F.transform(tokens(F.lower(name)), score))
+    scored = F.flatten(F.transform(F.transform(tokens(F.lower(name)), measured), score))
     return all_of(
         for_each(inside, "name_banned", FAIL,
                  lambda r: F.concat(F.lit("contains banned word "), r["word"])),
@@ -100,18 +101,19 @@ def name_protected(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
         (mistake, word.name) for word in book.protected for mistake in word.mistakes))
     if not pairs:
         return no_findings()
-    rules = F.array(*[
-        F.struct(F.lit(mistake).alias("mistake"), F.lit(mistake.lower()).alias("folded"),
-                 F.lit(canonical).alias("use"))
-        for mistake, canonical in pairs])
-    # Membership in a literal set settles nearly all names without the loop.
+    rules = literal_rows(
+        [{"mistake": mistake, "folded": mistake.lower(), "use": canonical}
+         for mistake, canonical in pairs],
+        "array<struct<mistake:string,folded:string,use:string>>")
+    # Membership settles nearly all names without building findings.
+    mistakes = literal_rows([mistake for mistake, _ in pairs], "array<string>")
     whole = F.when(
-        name.isin([mistake for mistake, _ in pairs]),
+        F.array_contains(mistakes, name),
         for_each(F.filter(rules, lambda r: r["mistake"] == name),
                  "name_protected", FAIL, lambda r: F.concat(F.lit("use "), r["use"])),
     ).otherwise(no_findings())
-    folded = sorted({mistake.lower() for mistake, _ in pairs})
-    suspects = F.filter(tokens(F.lower(name)), lambda token: token.isin(folded))
+    folded = literal_rows(sorted({mistake.lower() for mistake, _ in pairs}), "array<string>")
+    suspects = F.filter(tokens(F.lower(name)), lambda token: F.array_contains(folded, token))
     partly = F.flatten(F.transform(suspects, lambda token: for_each(
         F.filter(rules, lambda r: r["folded"] == token),
         "name_protected", WARN, lambda r: F.concat(F.lit("did you mean "), r["use"]))))
@@ -122,8 +124,9 @@ def name_exception_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     if not book.exceptions:
         return no_findings()
     plain = F.replace(name, F.lit("_"), F.lit(""))
-    words = F.array(*[F.lit(word.name) for word in book.exceptions])
-    wrong = F.filter(words, lambda w: F.contains(F.lower(plain), F.lower(w)) & ~F.contains(plain, w))
+    words = literal_rows([word.name for word in book.exceptions], "array<string>")
+    wrong = let(plain, lambda p: F.filter(
+        words, lambda w: F.contains(F.lower(p), F.lower(w)) & ~F.contains(p, w)))
     return for_each(wrong, "name_exception_case", FAIL,
                     lambda w: F.concat(F.lit("wrong case of "), w))
 
@@ -132,21 +135,19 @@ def _filter_rules(book: RuleBook) -> Column:
     def squashed(text):
         return text.replace("_", "").lower()
 
-    return F.array(*[
-        F.struct(
-            F.lit(f.name).alias("name"),
-            F.lit(squashed(f.name)).alias("word"),
-            F.lit(squashed(f.inverse)).alias("inverse"),
-            mask_literal(squashed(f.name)).alias("masks"),
-            mask_literal(squashed(f.inverse)).alias("inverse_masks"),
-        ) for f in book.filters])
+    return literal_rows(
+        [{"name": f.name, "inverse": squashed(f.inverse),
+          "inverse_masks": word_masks(squashed(f.inverse)), **rule_word(squashed(f.name))}
+         for f in book.filters],
+        "array<struct<name:string,inverse:string,inverse_masks:map<string,bigint>,"
+        f"{RULE_WORD_TYPE}>>")
 
 
 def name_filter_inverse(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     if not book.filters:
         return no_findings()
-    plain = squash(name)
-    hits = F.filter(_filter_rules(book), lambda r: F.contains(plain, r["inverse"]))
+    hits = let(squash(name), lambda plain: F.filter(
+        _filter_rules(book), lambda r: F.contains(plain, r["inverse"])))
     return for_each(hits, "name_filter_inverse", FAIL,
                     lambda r: F.concat(F.lit("reversed, use "), r["name"]))
 
@@ -154,9 +155,8 @@ def name_filter_inverse(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
 def name_filter_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     if not book.filters:
         return no_findings()
-    plain = squash(name)
-    hits = F.filter(_filter_rules(book),
-                    lambda r: F.contains(plain, r["word"]) & ~F.contains(name, r["name"]))
+    hits = let(squash(name), lambda plain: F.filter(
+        _filter_rules(book), lambda r: F.contains(plain, r["word"]) & ~F.contains(name, r["name"])))
     return for_each(hits, "name_filter_case", FAIL,
                     lambda r: F.concat(F.lit("misspelt, use "), r["name"]))
 
@@ -164,14 +164,18 @@ def name_filter_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
 def name_filter_fuzzy(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     if not book.filters:
         return no_findings()
-    plain = squash(name)
-    close = F.filter(_filter_rules(book), lambda r: (
-        near(plain, r["word"], R.FILTER_WARN_RATIO)
-        | near(plain, r["inverse"], R.FILTER_WARN_RATIO)))
-    scored = F.transform(close, lambda r: F.struct(
-        r["name"].alias("name"),
-        F.greatest(ratio_to_word(plain, r["word"], r["masks"]),
-                   ratio_to_word(plain, r["inverse"], r["inverse_masks"])).alias("ratio")))
+    def score(plain):
+        close = F.filter(_filter_rules(book), lambda r: (
+            may_share(plain, r, R.FILTER_WARN_RATIO)
+            & (near(plain, r["word"], r["size"], R.FILTER_WARN_RATIO)
+               | near(plain, r["inverse"], r["size"], R.FILTER_WARN_RATIO))))
+        return F.transform(close, lambda r: F.struct(
+            r["name"].alias("name"),
+            F.greatest(ratio_to_word(plain, r),
+                       ratio_to_word(plain, r, "inverse", "inverse_masks")).alias("ratio")))
+
+    plain = let(squash(name), lambda text: F.array(measured(text)))
+    scored = F.flatten(F.transform(plain, score))
     return all_of(
         for_each(F.filter(scored, lambda s: s["ratio"] > R.FILTER_FAIL_RATIO),
                  "name_filter_fuzzy", FAIL, lambda s: F.concat(F.lit("resembles "), s["name"])),
