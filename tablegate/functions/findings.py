@@ -45,8 +45,19 @@ def all_of(*checks: Column) -> Column:
 
 
 def explode_findings(df: DataFrame, keys: list, *checks: Column) -> DataFrame:
-    """One row per finding, keyed by ``keys``; rows without findings vanish."""
-    return df.select(*keys, F.inline(all_of(*checks)))
+    """One row per finding, keyed by ``keys``; rows without findings vanish.
+
+    The outer form is used on purpose: for the inner one the optimizer adds a filter
+    on the array's size, which evaluates every check a second and a third time.
+    """
+    return df.select(*keys, F.inline_outer(all_of(*checks))).filter(F.col("check").isNotNull())
+
+
+def explode_once(df: DataFrame, keys: list, items: Column, *names: str) -> DataFrame:
+    """Explode an array (one name) or its positions and elements (two names) without
+    having the array evaluated again for an inferred filter.  Null elements vanish."""
+    exploded = F.posexplode_outer(items) if len(names) == 2 else F.explode_outer(items)
+    return df.select(*keys, exploded.alias(*names)).filter(F.col(names[-1]).isNotNull())
 
 
 def state(findings: Column) -> Column:

@@ -16,17 +16,20 @@ NULL, INTEGER, NUMBER, BOOLEAN, STRING, LIST, OBJECT = (
 
 def kind(value: Column) -> Column:
     """Name of a value's kind; a missing value counts as null."""
-    schema = F.schema_of_variant(value)
-    # A whole number beyond 64 bits is stored as a decimal of 19 digits or more.
-    return (
-        F.when(value.isNull() | (schema == "VOID"), NULL)
-        .when((schema == "BIGINT") | schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), INTEGER)
-        .when(schema.rlike("^(DECIMAL|DOUBLE|FLOAT)"), NUMBER)
-        .when(schema == "BOOLEAN", BOOLEAN)
-        .when(schema == "STRING", STRING)
-        .when(schema.startswith("ARRAY"), LIST)
-        .otherwise(OBJECT)
-    )
+    def name(schema):
+        # A whole number beyond 64 bits is stored as a decimal of 19 digits or more.
+        return (
+            F.when(schema.isNull() | (schema == "VOID"), NULL)
+            .when(schema == "STRING", STRING)
+            .when(schema == "BIGINT", INTEGER)
+            .when(schema.startswith("ARRAY"), LIST)
+            .when(schema.startswith("OBJECT"), OBJECT)
+            .when(schema == "BOOLEAN", BOOLEAN)
+            .when(schema.rlike(r"^DECIMAL\((19|[23]\d),0\)$"), INTEGER)
+            .otherwise(NUMBER))
+
+    # Bound as a lambda variable, so the schema is worked out once.
+    return F.get(F.transform(F.array(F.schema_of_variant(value)), name), F.lit(0))
 
 
 def is_null(value: Column) -> Column:

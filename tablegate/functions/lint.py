@@ -10,34 +10,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegate.functions.findings import FAIL, explode_findings, when_found
+from tablegate.functions.text import let
 from tablegate.rules import NAMESPACES
 
 SUSPECT = r":[^ \t]"
 
 
-def _quotes_open(prefix: Column, quote: str) -> Column:
-    """Whether an odd number of unescaped quote characters precedes."""
-    return F.size(F.regexp_extract_all(prefix, F.lit(rf"(?<!\\){quote}"), F.lit(0))) % 2 == 1
+def _quotes(piece: Column, quote: str) -> Column:
+    """Number of unescaped quote characters in a piece of a line."""
+    return F.size(F.regexp_extract_all(piece, F.lit(rf"(?<!\\){quote}"), F.lit(0)))
 
 
 def colon_offence(line: Column, namespaces=NAMESPACES) -> Column:
-    """1-based column of a line's first offending colon, null when there is none."""
-    def offends(i):
-        before, after = F.substring(line, F.lit(1), i - 1), F.substring(line, i + 1, F.lit(1))
-        upto = F.substring(line, F.lit(1), i)
-        url = F.substring(line, F.lit(1), i + 2).rlike("(http|https|ftp)://$")
-        digits = before.rlike(r"\p{Nd}$") & after.rlike(r"\p{Nd}")
-        exempt = url | digits
-        for name in namespaces:
-            exempt = exempt | F.endswith(before, F.lit(name))
-        return ((F.substring(line, i, F.lit(1)) == ":") & (i < F.length(line))
-                & ~after.isin(" ", "\t")
-                & ~_quotes_open(upto, '"') & ~_quotes_open(upto, "'") & ~exempt)
-
-    start = F.regexp_replace(line, r"^[\s\p{Z}]+", "")
-    suspect = line.rlike(SUSPECT) & (start != "") & ~start.startswith("#")
-    first = F.array_min(F.filter(F.sequence(F.lit(1), F.length(line)), offends))
-    return F.when(suspect, first)
+    """1-based column of a line's first offending colon, null when there is none.
+
+    The line is cut at its colons and the pieces are walked once, carrying the quote
+    counts and the column, so the work is linear in the line's length.
+    """
+    def first(pieces):
+        def step(state, i):
+            piece, rest = F.element_at(pieces, i), F.element_at(pieces, i + 1)
+            double = state["double"] + _quotes(piece, '"')
+            single = state["single"] + _quotes(piece, "'")
+            col = state["col"] + F.length(piece) + 1
+            ends = F.when(rest != "", F.substring(rest, 1, 1)).when(i + 1 < F.size(pieces), ":")
+            url = piece.rlike("(http|https|ftp)$") & F.startswith(rest, F.lit("//"))
+            exempt = url | (piece.rlike(r"\p{Nd}$") & ends.rlike(r"\p{Nd}"))
+            for name in namespaces:
+                exempt = exempt | F.endswith(piece, F.lit(name))
+            offends = ((double % 2 == 0) & (single % 2 == 0) & ends.isNotNull()
+                       & ~ends.isin(" ", "\t") & ~exempt)
+            found = F.when(state["found"].isNotNull(), state["found"]).when(offends, col)
+            return F.struct(double.alias("double"), single.alias("single"), col.alias("col"),
+                            found.alias("found"))
+
+        start = F.struct(F.lit(0).alias("double"), F.lit(0).alias("single"), F.lit(0).alias("col"),
+                         F.lit(None).cast("int").alias("found"))
+        return F.array(F.aggregate(F.sequence(F.lit(1), F.size(pieces) - 1), start, step)["found"])
+
+    body = F.regexp_replace(line, r"^[\s\p{Z}]+", "")
+    suspect = line.rlike(SUSPECT) & (body != "") & ~body.startswith("#")
+    return F.when(suspect, F.get(let(F.split(line, ":"), first), F.lit(0)))
 
 
 def first_offence(text: Column, namespaces=NAMESPACES) -> Column:

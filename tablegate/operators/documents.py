@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from tablegate import rules as R
 from tablegate.functions import kinds as K
 from tablegate.functions.findings import (
-    FAIL, WARN, all_of, explode_findings, finding, for_each, no_findings, union_findings,
-    when_found,
+    FAIL, all_of, explode_findings, explode_once, for_each, no_findings, union_findings, when_found,
 )
 from tablegate.functions.text import literal_rows
 from tablegate.operators import names, tags
@@ -164,8 +163,8 @@ def is_iso_date(text: Column) -> Column:
     # 28 December always lies in the last week of its year.
     last_week = F.weekofyear(F.try_to_date(F.concat(F.substring(text, 1, 4), F.lit("-12-28"))))
     in_week = week_form & (week >= 1) & (week <= last_week)
-    return (F.coalesce(calendar.isNotNull() | in_week, F.lit(False))
-            & ~text.startswith("0000"))
+    valid = F.coalesce(calendar.isNotNull() | in_week, F.lit(False)) & ~text.startswith("0000")
+    return F.when(text.isNotNull(), valid)
 
 
 def date(key: str = "date", check: str = "doc_date") -> Column:
@@ -268,33 +267,43 @@ def keywords(check: str = "doc_keywords") -> Column:
 
 def open_fields(opened: DataFrame) -> DataFrame:
     """Add ``entries``: the document's fields, each value looked up once."""
+    def unpack(e):
+        members = K.as_object(e["item"])
+        return F.struct(
+            e["pos"].alias("pos"), K.is_falsy(e["item"]).alias("empty"),
+            members.isNotNull().alias("is_object"), members.alias("of"),
+            K.as_object(members["qc"]).alias("qc"))
+
     def entry(e):
-        item = e["item"]
-        qc = K.member(item, "qc")
-        name = F.when(~K.is_falsy(K.member(item, "name")), K.as_text(K.member(item, "name")))
+        of, qc = e["of"], e["qc"]
+        none = F.array().cast("array<string>")
+
+        def filled(key):
+            return F.when(~K.is_falsy(of[key]), K.as_text(of[key]))
+
         return F.struct(
             e["pos"].alias("pos"),
-            K.is_falsy(item).alias("empty"),
-            (K.kind(item) == K.OBJECT).alias("is_object"),
-            F.coalesce(F.map_keys(K.as_object(item)), F.array().cast("array<string>")).alias("keys"),
-            name.alias("name"),
-            F.filter(_text_list(R.FIELD_REQUIRED), lambda k: K.is_falsy(
-                K.as_object(item)[k])).alias("missing"),
-            K.as_text(K.member(item, "unit")).alias("unit"),
-            K.as_text(K.member(item, "info")).alias("info"),
-            F.when(~K.is_falsy(K.member(item, "ucd")), K.as_text(K.member(item, "ucd"))).alias("ucd"),
-            F.when(~K.is_falsy(K.member(item, "data_type")),
-                   K.as_text(K.member(item, "data_type"))).alias("data_type"),
-            K.is_blank(qc).alias("qc_blank"),
-            K.kind(qc).alias("qc_kind"),
-            F.coalesce(F.map_keys(K.as_object(qc)), F.array().cast("array<string>")).alias("qc_keys"),
-            K.kind(K.member(qc, "min")).alias("min_kind"),
-            K.kind(K.member(qc, "max")).alias("max_kind"),
-            K.json_text(K.member(qc, "min")).alias("qc_min"),
-            K.json_text(K.member(qc, "max")).alias("qc_max"),
+            e["empty"].alias("empty"),
+            e["is_object"].alias("is_object"),
+            F.coalesce(F.map_keys(of), none).alias("keys"),
+            filled("name").alias("name"),
+            F.filter(_text_list(R.FIELD_REQUIRED), lambda k: K.is_falsy(of[k])).alias("missing"),
+            K.as_text(of["unit"]).alias("unit"),
+            K.as_text(of["info"]).alias("info"),
+            filled("ucd").alias("ucd"),
+            filled("data_type").alias("data_type"),
+            K.is_blank(of["qc"]).alias("qc_blank"),
+            qc.isNotNull().alias("qc_is_object"),
+            F.coalesce(F.map_keys(qc), none).alias("qc_keys"),
+            K.kind(qc["min"]).alias("min_kind"),
+            K.kind(qc["max"]).alias("max_kind"),
+            K.json_text(qc["min"]).alias("qc_min"),
+            K.json_text(qc["max"]).alias("qc_max"),
         )
 
-    return opened.withColumn(FIELD_ENTRY, F.transform(_elements("fields"), entry))
+    # Two steps: the members are looked up in maps built once per field.
+    unpacked = F.transform(_elements("fields"), unpack)
+    return opened.withColumn(FIELD_ENTRY, F.transform(unpacked, entry))
 
 
 def _label(e) -> Column:
@@ -378,7 +387,7 @@ def fields_qc(check: str = "fields_qc") -> Column:
             F.lit("qc has unexpected "), _joined(extra)))).otherwise(none)
         problems = (
             F.when(e["qc_blank"], F.array(F.lit("qc is empty")))
-            .when(e["qc_kind"] != K.OBJECT, F.array(F.lit("qc must be object")))
+            .when(~e["qc_is_object"], F.array(F.lit("qc must be object")))
             .otherwise(F.concat(extras, value_problem)))
         return F.transform(problems, lambda p: F.concat(_label(e), p))
 
@@ -400,7 +409,7 @@ def fields_names(check: str = "fields_names", book: RuleBook = DEFAULT_RULES) ->
 def field_rows(opened: DataFrame) -> DataFrame:
     """One row per declared field: ``file, pos, name, unit, info, ucd, data_type, qc_min, qc_max``."""
     with_entries = open_fields(opened) if FIELD_ENTRY not in opened.columns else opened
-    rows = with_entries.select("file", F.explode(FIELD_ENTRY).alias("e"))
+    rows = explode_once(with_entries, ["file"], F.col(FIELD_ENTRY), "e")
     return rows.select("file", "e.pos", "e.name", "e.unit", "e.info", "e.ucd", "e.data_type",
                        "e.qc_min", "e.qc_max")
 
@@ -472,8 +481,8 @@ def documents_to_fields(docs: DataFrame, findings: DataFrame) -> DataFrame:
     failed = findings.filter(F.col("severity") == FAIL).select("file").distinct()
     valid = docs.join(failed, "file", "left_anti")
     opened = open_documents(valid)
-    entries = open_fields(opened).select(
-        K.as_text(value("table")).alias("table"), F.explode(FIELD_ENTRY).alias("e"))
+    entries = explode_once(open_fields(opened), [K.as_text(value("table")).alias("table")],
+                           F.col(FIELD_ENTRY), "e")
     return (entries.filter(F.col("e.name").isNotNull())
             .groupBy("table", F.col("e.name").alias("column"))
             .agg(F.max_by(F.col("e"), F.col("e.pos")).alias("e"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tablegate import rules as R
 from tablegate.functions import kinds as K
 from tablegate.functions.findings import (
-    FAIL, explode_findings, union_findings, when_found,
+    FAIL, explode_findings, explode_once, union_findings, when_found,
 )
 from tablegate.operators import documents as D
 
@@ -49,7 +49,7 @@ top1_author = rollup_author
 def rollup_coauthors(docs: DataFrame) -> DataFrame:
     """Distinct coauthors with the place of their first mention (``first_file``,
     ``first_pos``), which is their order."""
-    rows = docs.select("dataset", "file", F.posexplode("coauthors").alias("pos", "coauthor"))
+    rows = explode_once(docs, ["dataset", "file"], F.col("coauthors"), "pos", "coauthor")
     first = rows.groupBy("dataset", "coauthor").agg(F.min(F.struct("file", "pos")).alias("at"))
     return first.select("dataset", "coauthor", F.col("at.file").alias("first_file"),
                         F.col("at.pos").alias("first_pos"))
@@ -125,7 +125,7 @@ def rollup_version_match(opened: DataFrame, releases: DataFrame, keys=("file",))
 def listed_tables(opened: DataFrame) -> DataFrame:
     """Tables a rollup document lists: ``dataset, name, version``; entries without a
     name are skipped, a repeated name counts once with its last version."""
-    entries = opened.select("dataset", F.posexplode(K.as_list(D.value("tables"))).alias("pos", "item"))
+    entries = explode_once(opened, ["dataset"], K.as_list(D.value("tables")), "pos", "item")
     named = entries.select(
         "dataset", "pos", K.as_text(K.member(F.col("item"), "name")).alias("name"),
         F.try_variant_get(K.member(F.col("item"), "version"), "$", "int").alias("version"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegate.functions.findings import explode_once
+
 _EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
 
@@ -35,7 +37,7 @@ def parse_manifest(lines: DataFrame, keys: list[str], drop_empty: bool = True) -
 def text_lines(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Lines of whole texts with their 0-based number."""
     body = F.regexp_replace(text, "\r\n?", "\n")
-    return texts.select(*keys, F.posexplode(F.split(body, "\n")).alias("line_no", "line"))
+    return explode_once(texts, keys, F.split(body, "\n"), "line_no", "line")
 
 
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:

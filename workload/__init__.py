@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.registry import ORACLES, QUERIES
 
-MODULES = ("values", "names")
+MODULES = ("values", "names", "documents")
 
 
 def load() -> None:

@@ -55,7 +55,7 @@ def candidate_names(spark, sf) -> DataFrame:
     """Names to check: seeded names of parts, every word of every document, urls,
     customers."""
     words = table(spark, sf, "documents").select(
-        F.explode(F.split("text", "[ \n]+")).alias("name"))
+        F.explode_outer(F.split("text", "[ \n]+")).alias("name"))
     urls = table(spark, sf, "pages").select(F.col("url").alias("name"))
     customers = table(spark, sf, "customer").select(F.col("c_name").alias("name"))
     return (part_names(spark, sf).unionByName(words).unionByName(urls).unionByName(customers)
@@ -86,19 +86,20 @@ FIRST_FIELD = (
     f"\"data_type\": \"int64\", \"qc\": {{\"min\": 0, \"max\": ' || {KEY_TEXT} || '}}}}'")
 SECOND_FIELD = (
     "'{\"name\": \"o_totalprice\", \"unit\": ' || " + choose(
-        f"{K} % 6", quoted('"usd"', '""', "null"), "'\"usd\"'")
+        f"{K} % 36", quoted('"usd"', '""', "null"), "'\"usd\"'")
     + " || ', \"info\": \"price\", \"ucd\": ' || " + choose(
-        f"{K} % 10", quoted('"phot.mag;em.opt"', '"em.opt;phot.mag"', '"meta.id;what"', '"bad tag"'),
+        f"{K} % 30", quoted('"phot.mag;em.opt"', '"em.opt;phot.mag"', '"meta.id;what"', '"bad tag"'),
         "'\"phot.mag\"'")
-    + " || ', \"data_type\": \"float64\"' || " + choose(f"{K} % 8", quoted(
+    + " || ', \"data_type\": \"float64\"' || " + choose(f"{K} % 32", quoted(
         ', "qc": {"min": 0.5, "max": 9.5}', ', "qc": {"min": 0, "max": 9.5}', ', "qc": null',
         ', "qc": {"min": 0.5}', ', "qc": [1, 2]', ', "qc": {"min": 0.5, "max": 1.5, "step": 1}',
-        ', "qc": {"min": true, "max": 2.5}', "")) + " || '}'")
+        ', "qc": {"min": true, "max": 2.5}', ""),
+        "', \"qc\": {\"min\": 0.25, \"max\": 500000.5}'") + " || '}'")
 THIRD_FIELD = (
-    "'{\"name\": ' || " + choose(f"{K} % 14", quoted(
+    "'{\"name\": ' || " + choose(f"{K} % 28", quoted(
         '"o_orderkey"', '"SDSS_u"', '"_status"', '""'), "'\"o_orderstatus\"'")
     + " || ', \"unit\": \"--\", \"info\": \"state\", \"ucd\": \"meta.code\", \"data_type\": ' || "
-    + choose(f"{K} % 9", quoted(
+    + choose(f"{K} % 36", quoted(
         '"text"', '"int32", "qc": {"min": 0.5, "max": 2}', '"boolean", "qc": {"min": 0, "max": 1}',
         'null', '"string", "extra": 1, "also": 2', '"int16", "qc": {"min": 1, "max": 2}'), "'\"string\"'")
     + " || '}'")
@@ -108,7 +109,7 @@ FIELDS = choose(
 DESCRIPTION = entry("description", choose(
     f"{K} % 37", ["'null'", "'\"\"'", "'12'"], "'\"Order of priority ' || o_orderpriority || '\"'"))
 COMMENTS = entry("comments", choose(
-    f"{K} % 5", quoted("[]", '["ok", "", null, 0]'), "'[\"fine\"]'"), f"{K} % 5 = 2")
+    f"{K} % 20", quoted("[]", '["ok", "", null, 0]'), "'[\"fine\"]'"), f"{K} % 5 = 2")
 LICENSE = entry("license", choose(
     f"{K} % 41", quoted('"GPL"', "null", '["MIT"]', '"Copyright WAVES [Private]"'), "'\"MIT\"'"),
     f"{K} % 41 = 4")
@@ -117,9 +118,9 @@ RAW_DOCUMENT = " || ".join([
     "'{\"survey\": ' || " + choose(
         f"{K} % 29", quoted("null", "5"),
         "CASE o_orderstatus WHEN 'F' THEN '\"WAVES\"' WHEN 'O' THEN '\"WAVES-StePS\"' "
-        "ELSE '\"SURVEY9\"' END"),
-    entry("dataset", choose(f"{C} % 13", quoted("null", '""', "17"),
-                            "'\"' || lower(o_orderpriority) || '\"'"), f"{C} % 7 = 0"),
+        f"ELSE CASE WHEN {C} % 2 = 0 THEN '\"SURVEY9\"' ELSE '\"WAVES-4C3R2\"' END END"),
+    entry("dataset", choose(f"{C} % 39", quoted("null", '""', "17"),
+                            "'\"' || lower(o_orderpriority) || '\"'"), f"{C} % 70 = 0"),
     entry("table", choose(f"{K} % 31", quoted('""', "null", "42"),
                           f"'\"order_' || CASE WHEN {C} % 11 = 0 THEN {CUSTOMER_TEXT} "
                           f"ELSE {KEY_TEXT} END || '\"'"), f"{K} % 31 = 3"),
@@ -132,14 +133,14 @@ RAW_DOCUMENT = " || ".join([
         '"Customer"', '"A B <nobody>"', "null", '"X <a..b@example.com>"', "7",
         '"Y<y@example.c0>"'),
         f"'\"Customer ' || {CUSTOMER_TEXT} || ' <c' || {CUSTOMER_TEXT} || '@example.com>\"'")),
-    entry("coauthors", choose(f"{K} % 13", quoted(
+    entry("coauthors", choose(f"{K} % 26", quoted(
         "[]", '"solo"', '["bad", "Good One <g@x.org>", null, 3]', "null"),
         f"'[\"Co C <co' || {CUSTOMER_TEXT} || '@example.org>\"]'"), f"{K} % 13 = 4"),
-    entry("DOIs", choose(f"{K} % 11", quoted(
+    entry("DOIs", choose(f"{K} % 33", quoted(
         "[]", '[{"DOI": "10.1/a", "type": ""}, {}]',
         '[{"DOI": "", "type": "self", "y": 1, "x": 2}, 7]', '{"DOI": "x"}'),
         f"'[{{\"DOI\": \"10.1/' || {KEY_TEXT} || '\", \"type\": \"self\"}}]'"), f"{K} % 11 > 7"),
-    entry("depends", choose(f"{K} % 7", quoted(
+    entry("depends", choose(f"{K} % 35", quoted(
         '[{"survey": "WAVES", "dataset": "d", "table": "t"}]',
         '[null, {"survey": "WAVES", "dataset": "d", "table": "t", "version": 0, "extra": true}]',
         '"none"'),
@@ -147,7 +148,7 @@ RAW_DOCUMENT = " || ".join([
         f"{K} % 7 = 6"),
     f"CASE WHEN {K} % 15 = 0 THEN {LICENSE} || {DESCRIPTION} || {COMMENTS} "
     f"ELSE {DESCRIPTION} || {COMMENTS} || {LICENSE} END",
-    entry("keywords", choose(f"{K} % 3", quoted('["a", ""]'), "'[\"a\"]'"), f"{K} % 3 = 2"),
+    entry("keywords", choose(f"{K} % 12", quoted('["a", ""]'), "'[\"a\"]'"), f"{K} % 3 = 2"),
     f"CASE WHEN {K} % 47 = 0 THEN ', \"notes\": \"x\", \"aux\": null' ELSE '' END",
     entry("MAML_version", choose(f"{K} % 43", quoted("1", '"1.1"', "1.0", "1.2"), "'1.1'")),
     entry("fields", FIELDS),
@@ -204,7 +205,7 @@ TAG = "replace(replace(line, ',', ''), ' ', ';')"
 
 def line_tags(spark, sf) -> DataFrame:
     """A tag per line of every document: its words in order."""
-    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    lines = table(spark, sf, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return lines.select("doc_id", F.expr(TAG).alias("ucd"))
 
 
