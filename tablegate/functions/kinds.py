@@ -40,15 +40,26 @@ def json_text(value: Column) -> Column:
     return F.to_json(value)
 
 
+BLANK_TEXTS = ("null", '""', "[]", "{}")
+FALSY_TEXTS = (*BLANK_TEXTS, "false", "0", "0.0", "-0.0")
+
+
+def falsy_text(text: Column) -> Column:
+    return F.coalesce(text.isin(*FALSY_TEXTS), F.lit(True))
+
+
+def blank_text(text: Column) -> Column:
+    return F.coalesce(text.isin(*BLANK_TEXTS), F.lit(True))
+
+
 def is_falsy(value: Column) -> Column:
     """Missing, null, empty text, zero, false, or an empty container."""
-    return F.coalesce(
-        json_text(value).rlike(r'^(null|""|false|\[\]|\{\}|-?0(\.0*)?([eE][-+]?\d+)?)$'), F.lit(True))
+    return falsy_text(json_text(value))
 
 
 def is_blank(value: Column) -> Column:
     """Missing, null, empty text or an empty container (zero and false count)."""
-    return F.coalesce(json_text(value).isin("null", '""', "[]", "{}"), F.lit(True))
+    return blank_text(json_text(value))
 
 
 def as_text(value: Column) -> Column:

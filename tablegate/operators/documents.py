@@ -23,15 +23,21 @@ FIELD_ENTRY = "entries"
 
 
 def open_documents(docs: DataFrame) -> DataFrame:
-    """Add ``keys`` (in document order) and ``body`` (key -> value)."""
+    """Add ``keys`` (in document order), ``body`` (key -> value) and ``kinds`` (key ->
+    kind); columns no check uses are pruned."""
     body = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
-    return docs.withColumn("keys", F.json_object_keys("raw")).withColumn("body", body)
+    opened = docs.withColumn("keys", F.json_object_keys("raw")).withColumn("body", body)
+    return opened.withColumn("kinds", F.transform_values("body", lambda _, v: K.kind(v)))
 
 
 def value(key: str) -> Column:
     return F.col("body")[key]
 
 
+def kind_of(key: str) -> Column:
+    return F.coalesce(F.col("kinds")[key], F.lit(K.NULL))
+
+
 def _text_list(items) -> Column:
     return literal_rows(list(items), "array<string>")
 
@@ -43,11 +49,11 @@ def _joined(items: Column) -> Column:
 # --- presence, kind, closed sets ---------------------------------------------
 
 def required(key: str, check: str = "doc_required") -> Column:
-    return when_found(K.is_null(value(key)), check, FAIL, f"{key} is missing")
+    return when_found(kind_of(key) == K.NULL, check, FAIL, f"{key} is missing")
 
 
 def has_kind(key: str, expected: str, check: str = "doc_type") -> Column:
-    found = K.kind(value(key))
+    found = kind_of(key)
     return when_found((found != expected) & (found != K.NULL), check, FAIL,
                       F.concat(F.lit(f"{key} must be {expected}, got "), found))
 
@@ -57,7 +63,7 @@ def required_kind(key: str, expected: str, check: str) -> Column:
 
 
 def optional_list(key: str, check: str = "doc_optional_list") -> Column:
-    found = K.kind(value(key))
+    found = kind_of(key)
     return all_of(
         when_found(~found.isin(K.NULL, K.LIST), check, FAIL,
                    F.concat(F.lit(f"{key} must be list, got "), found)),
@@ -74,7 +80,7 @@ def empty_optionals(required_keys=R.DOCUMENT_REQUIRED) -> Column:
 
 def one_of(key: str, allowed, check: str) -> Column:
     text = K.as_text(value(key))
-    is_text = K.kind(value(key)) == K.STRING
+    is_text = kind_of(key) == K.STRING
     return all_of(
         required_kind(key, K.STRING, check),
         when_found(is_text & ~text.isin(list(allowed)), check, FAIL,
@@ -95,7 +101,7 @@ def description(check: str = "doc_description") -> Column:
 
 
 def non_empty_text(key: str, check: str) -> Column:
-    empty = (K.kind(value(key)) == K.STRING) & (K.as_text(value(key)) == "")
+    empty = (kind_of(key) == K.STRING) & (K.as_text(value(key)) == "")
     return all_of(required_kind(key, K.STRING, check),
                   when_found(empty, check, FAIL, f"{key} is missing"))
 
@@ -122,7 +128,7 @@ def author_problem(text: Column) -> Column:
 
 
 def author(key: str = "author", check: str = "doc_author") -> Column:
-    text = F.when(K.kind(value(key)) == K.STRING, K.as_text(value(key)))
+    text = F.when(kind_of(key) == K.STRING, K.as_text(value(key)))
     problem = author_problem(text)
     return all_of(required_kind(key, K.STRING, check),
                   when_found(problem.isNotNull(), check, FAIL, F.concat(problem, text)))
@@ -130,7 +136,7 @@ def author(key: str = "author", check: str = "doc_author") -> Column:
 
 def _elements(key: str) -> Column:
     """Elements of a list value with their 1-based index; empty for anything else."""
-    items = F.when(K.kind(value(key)) == K.LIST, K.as_list(value(key)))
+    items = F.when(kind_of(key) == K.LIST, K.as_list(value(key)))
     return F.coalesce(
         F.transform(items, lambda item, i: F.struct((i + 1).alias("pos"), item.alias("item"))),
         F.array().cast("array<struct<pos:int,item:variant>>"))
@@ -168,7 +174,7 @@ def is_iso_date(text: Column) -> Column:
 
 
 def date(key: str = "date", check: str = "doc_date") -> Column:
-    text = F.when(K.kind(value(key)) == K.STRING, K.as_text(value(key)))
+    text = F.when(kind_of(key) == K.STRING, K.as_text(value(key)))
     return all_of(required_kind(key, K.STRING, check),
                   when_found(~is_iso_date(text), check, FAIL,
                              F.concat(F.lit("not an ISO date: "), text)))
@@ -201,7 +207,7 @@ def table(check: str = "doc_table") -> Column:
 
 def table_matches_file(check: str = "doc_table_matches_file") -> Column:
     stem = names.table_stem(F.col("file"))
-    actual = F.when(K.kind(value("table")) == K.STRING, K.as_text(value("table")))
+    actual = F.when(kind_of("table") == K.STRING, K.as_text(value("table")))
     return when_found(~actual.eqNullSafe(stem), check, FAIL,
                       F.concat(F.lit("table should be "), stem))
 
@@ -212,7 +218,7 @@ def version_int(check: str = "doc_version_int") -> Column:
 
 def schema_version(check: str = "doc_schema_version") -> Column:
     number = F.try_variant_get(value("MAML_version"), "$", "double")
-    wrong = (K.kind(value("MAML_version")) == K.NUMBER) & (number != F.lit(R.SCHEMA_VERSION))
+    wrong = (kind_of("MAML_version") == K.NUMBER) & (number != F.lit(R.SCHEMA_VERSION))
     return all_of(required_kind("MAML_version", K.NUMBER, check),
                   when_found(wrong, check, FAIL, f"MAML_version should be {R.SCHEMA_VERSION}"))
 
@@ -271,15 +277,20 @@ def open_fields(opened: DataFrame) -> DataFrame:
         members = K.as_object(e["item"])
         return F.struct(
             e["pos"].alias("pos"), K.is_falsy(e["item"]).alias("empty"),
-            members.isNotNull().alias("is_object"), members.alias("of"),
-            K.as_object(members["qc"]).alias("qc"))
+            members.isNotNull().alias("is_object"), members.alias("of"))
+
+    def spell(e):
+        return F.struct(
+            *[e[name].alias(name) for name in ("pos", "empty", "is_object", "of")],
+            F.transform_values(e["of"], lambda _, v: K.json_text(v)).alias("texts"),
+            K.as_object(e["of"]["qc"]).alias("qc"))
 
     def entry(e):
-        of, qc = e["of"], e["qc"]
+        of, texts, qc = e["of"], e["texts"], e["qc"]
         none = F.array().cast("array<string>")
 
         def filled(key):
-            return F.when(~K.is_falsy(of[key]), K.as_text(of[key]))
+            return F.when(~K.falsy_text(texts[key]), K.as_text(of[key]))
 
         return F.struct(
             e["pos"].alias("pos"),
@@ -287,23 +298,23 @@ def open_fields(opened: DataFrame) -> DataFrame:
             e["is_object"].alias("is_object"),
             F.coalesce(F.map_keys(of), none).alias("keys"),
             filled("name").alias("name"),
-            F.filter(_text_list(R.FIELD_REQUIRED), lambda k: K.is_falsy(of[k])).alias("missing"),
+            F.filter(_text_list(R.FIELD_REQUIRED), lambda k: K.falsy_text(texts[k])).alias("missing"),
             K.as_text(of["unit"]).alias("unit"),
             K.as_text(of["info"]).alias("info"),
             filled("ucd").alias("ucd"),
             filled("data_type").alias("data_type"),
-            K.is_blank(of["qc"]).alias("qc_blank"),
+            K.blank_text(texts["qc"]).alias("qc_blank"),
             qc.isNotNull().alias("qc_is_object"),
             F.coalesce(F.map_keys(qc), none).alias("qc_keys"),
-            K.kind(qc["min"]).alias("min_kind"),
-            K.kind(qc["max"]).alias("max_kind"),
+            F.when(qc.isNotNull(), K.kind(qc["min"])).alias("min_kind"),
+            F.when(qc.isNotNull(), K.kind(qc["max"])).alias("max_kind"),
             K.json_text(qc["min"]).alias("qc_min"),
             K.json_text(qc["max"]).alias("qc_max"),
         )
 
-    # Two steps: the members are looked up in maps built once per field.
-    unpacked = F.transform(_elements("fields"), unpack)
-    return opened.withColumn(FIELD_ENTRY, F.transform(unpacked, entry))
+    # In steps, so that the members are looked up in maps built once per field.
+    spelled = F.transform(F.transform(_elements("fields"), unpack), spell)
+    return opened.withColumn(FIELD_ENTRY, F.transform(spelled, entry))
 
 
 def _label(e) -> Column:

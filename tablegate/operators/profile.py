@@ -39,15 +39,21 @@ def sentinel_hit(column: Column, dtype: T.DataType, sentinel: int = SENTINEL) ->
     return column == (F.lit(str(sentinel)) if isinstance(dtype, T.StringType) else F.lit(sentinel))
 
 
+def _one_zero(column: Column, dtype: T.DataType) -> Column:
+    """Floats without negative zero: which of two equal zeros is met first must not show."""
+    return column + F.lit(0.0).cast(dtype) if is_floating(dtype) else column
+
+
 def column_max(column: Column, dtype: T.DataType) -> Column:
     """Largest value; NaN counts only when there is nothing else."""
+    value = _one_zero(column, dtype)
     if not is_floating(dtype):
-        return F.max(column)
-    return F.coalesce(F.max(F.when(~F.isnan(column), column)), F.max(column))
+        return F.max(value)
+    return F.coalesce(F.max(F.when(~F.isnan(value), value)), F.max(value))
 
 
 def column_min(column: Column, dtype: T.DataType) -> Column:
-    return F.min(column)
+    return F.min(_one_zero(column, dtype))
 
 
 def _quoted(name: str) -> Column:

@@ -103,7 +103,7 @@ def build_rollup(docs: DataFrame, releases: DataFrame, date: str,
 
 def rollup_dataset_match(opened: DataFrame, keys=("file",)) -> DataFrame:
     """The document's dataset is its folder's name (column ``dataset``)."""
-    actual = F.when(K.kind(D.value("dataset")) == K.STRING, K.as_text(D.value("dataset")))
+    actual = F.when(D.kind_of("dataset") == K.STRING, K.as_text(D.value("dataset")))
     return explode_findings(
         opened, list(keys), D.required_kind("dataset", K.STRING, "rollup_dataset_match"),
         when_found(actual != F.col("dataset"), "rollup_dataset_match", FAIL,
@@ -114,7 +114,7 @@ def rollup_version_match(opened: DataFrame, releases: DataFrame, keys=("file",))
     """The document's version is the dataset's next release."""
     joined = opened.join(releases.select("dataset", "next_release"), "dataset", "left")
     expected = F.coalesce("next_release", F.lit(1))
-    version = F.when(K.kind(D.value("version")) == K.INTEGER,
+    version = F.when(D.kind_of("version") == K.INTEGER,
                      F.try_variant_get(D.value("version"), "$", "bigint"))
     return explode_findings(
         joined, list(keys), D.required_kind("version", K.INTEGER, "rollup_version_match"),

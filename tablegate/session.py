@@ -15,6 +15,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, memory: str = "8g
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Small distinct sets still carry heavy per-row checks: keep them spread.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -15,7 +15,7 @@ from tablegate import rules as R
 def yaml_text(value: Column) -> Column:
     """A text as a double-quoted YAML scalar (JSON strings are valid YAML)."""
     quoted = F.to_json(F.array(value))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    return F.when(value.isNotNull(), F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def yaml_number(value: Column) -> Column:

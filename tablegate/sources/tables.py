@@ -37,3 +37,13 @@ def read_tables(spark: SparkSession, paths: dict[str, str]) -> tuple[dict, list[
         else:
             found[name] = df
     return found, absent
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores.
+
+    For work that is heavy per row over a table of few splits.  A table that already
+    has the splits, as any large one does, is left alone.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

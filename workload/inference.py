@@ -49,19 +49,18 @@ TAG_RULES = "tag_rules(grp, pos, name, wide, tag) AS (" + values(
     + [(2, i, w.name, True, w.tag) for i, w in enumerate(DEFAULT_RULES.filters)]) + ")"
 
 
-def repair(words: str, full: bool = False) -> str:
-    """Closed form over a list of {w, p, s} structs: the head is the first primary word
-    from which the longest arrangement can be built, secondary words follow in order."""
-    size = f"len({words})"
-    index = f"generate_series(1, {size})"
-    secondary = f"list_filter({index}, lambda i: {words}[i].s)"
-    reach = f"(1 + len({secondary}) - CASE WHEN {words}[h].s THEN 1 ELSE 0 END)"
-    heads = f"list_filter({index}, lambda h: {words}[h].p)"
-    longest = f"least({size}{'' if full else ' - 1'}, list_max(list_transform({heads}, lambda h: {reach})))"
-    head = f"list_filter({heads}, lambda h: {reach} >= {longest})[1]"
-    tail = f"list_filter({secondary}, lambda i: i <> {head})[1:{longest} - 1]"
-    return (f"CASE WHEN len({heads}) > 0 AND {longest} >= 2 THEN "
-            f"array_to_string(list_transform(list_prepend({head}, {tail}), lambda i: {words}[i].w), ';') ELSE '' END")
+def repaired(source: str, keys: str, output: str, full: bool = False) -> str:
+    """Closed form over a ``words`` list of {w, p, s} structs, in steps: the head is the
+    first primary word that starts the longest arrangement, secondary words follow."""
+    head = "list_filter(heads, lambda h: 1 + len(sec) - CASE WHEN words[h].s THEN 1 ELSE 0 END >= longest)[1]"
+    return f"""SELECT {keys}, CASE WHEN len(heads) > 0 AND longest >= 2 THEN array_to_string(list_transform(
+            list_prepend(head, list_filter(sec, lambda i: i <> head)[1:longest - 1]),
+            lambda i: words[i].w), ';') ELSE '' END AS {output}
+        FROM (SELECT *, {head} AS head FROM (
+            SELECT *, least(len(words){'' if full else ' - 1'}, list_max(list_transform(heads, lambda h:
+                1 + len(sec) - CASE WHEN words[h].s THEN 1 ELSE 0 END))) AS longest FROM (
+                SELECT {keys}, words, list_filter(generate_series(1, len(words)), lambda i: words[i].p) AS heads,
+                       list_filter(generate_series(1, len(words)), lambda i: words[i].s) AS sec FROM {source})))"""
 
 
 GUESS_SQL = f"""hits AS (SELECT n.name, r.grp, r.pos, r.tag FROM names n, tag_rules r WHERE CASE WHEN wide
@@ -74,15 +73,13 @@ GUESS_SQL = f"""hits AS (SELECT n.name, r.grp, r.pos, r.tag FROM names n, tag_ru
     listed AS (SELECT name, list(w ORDER BY k) AS ws FROM firsts GROUP BY 1),
     prefixed AS (SELECT name, CASE WHEN len(ws) = 1 AND name IN (SELECT name FROM banded)
         AND NOT contains(ws[1], 'phot.mag') THEN list_prepend('phot.mag', ws) ELSE ws END AS ws FROM listed),
-    judged AS (SELECT name, list({{'w': w, 'p': coalesce(is_primary, FALSE), 's': coalesce(is_secondary, FALSE)}}
+    judged AS (SELECT x.name, list({{'w': w, 'p': coalesce(is_primary, FALSE), 's': coalesce(is_secondary, FALSE)}}
             ORDER BY i) AS words FROM (
         SELECT p.name, i, ws[i] AS w FROM prefixed p, unnest(generate_series(1, len(ws))) AS t(i)) x
         LEFT JOIN vocab v ON lower(x.w) = v.name GROUP BY 1),
-    guessed AS MATERIALIZED (SELECT name, CASE WHEN words[1].p AND list_bool_and(list_transform(words[2:], lambda x: x.s))
-        THEN array_to_string(list_transform(words, lambda x: x.w), ';') ELSE {repair('words')} END AS ucd FROM judged)"""
-GUESS_SQL = GUESS_SQL.replace(
-    "list_bool_and(list_transform(words[2:], lambda x: x.s))",
-    "len(list_filter(words[2:], lambda x: NOT x.s)) = 0")
+    guessed AS MATERIALIZED (SELECT name, CASE WHEN words[1].p AND len(list_filter(words[2:], lambda x: NOT x.s)) = 0
+        THEN array_to_string(list_transform(words, lambda x: x.w), ';') ELSE fixed END AS ucd
+        FROM judged JOIN ({repaired('judged', 'name', 'fixed')}) USING (name))"""
 
 
 @query("guess_ucd", f"""WITH {I.NAMES_SQL}, {VOCAB_SQL}, {TAG_RULES}, {GUESS_SQL}
@@ -95,11 +92,12 @@ LINE_FLAGS = "list_transform(string_split(line, ' '), lambda w: {'w': w, " \
     "'p': length(w) % 4 = 0, 's': length(w) % 3 = 0})"
 
 
-@query("ucd_repair", f"""SELECT doc_id, line_no, {repair('words')} AS repaired, {repair('words', True)} AS rearranged
-    FROM (SELECT doc_id, line_no, {LINE_FLAGS} AS words FROM (
+@query("ucd_repair", f"""WITH flagged AS MATERIALIZED (SELECT doc_id, line_no, {LINE_FLAGS} AS words FROM (
         SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (
             SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
-            unnest(generate_series(1, len(lines))) AS g(i)))""")
+            unnest(generate_series(1, len(lines))) AS g(i)))
+    SELECT * FROM ({repaired('flagged', 'doc_id, line_no', 'repaired')})
+    JOIN ({repaired('flagged', 'doc_id, line_no', 'rearranged', True)}) USING (doc_id, line_no)""")
 def ucd_repair(spark, sf):
     lines = I.table(spark, sf, "documents").select(
         "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
@@ -144,7 +142,7 @@ def _fields_sql() -> str:
             dtype = "float32" if c in CASTS else d
             numeric = dtype in ("int32", "int64", "float32", "float64")
             value = f"CAST({c} AS FLOAT)" if c in CASTS else c
-            bounds = f"CAST(min({value}) AS DOUBLE), CAST(max({value}) AS DOUBLE)" if numeric else \
+            bounds = f"CAST(min({value}) AS DOUBLE) + 0.0::DOUBLE, CAST(max({value}) AS DOUBLE) + 0.0::DOUBLE" if numeric else \
                 "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
             rows.append(f"SELECT '{t}', {pos}, '{columns.get(c, c)}', '{dtype}', {bounds}, "
                         f"{'FALSE' if d.startswith('timestamp') else 'TRUE'} FROM {t} HAVING count(*) >= 0")
@@ -160,8 +158,11 @@ INFERRED_SQL = f"""{_fields_sql()}, {VOCAB_SQL}, {TAG_RULES}, {UNITS}, {GUESS_SQ
 @query("infer_fields", f"""WITH {INFERRED_SQL} SELECT "table", pos, name, data_type, unit, info, ucd,
     lo AS qc_min, hi AS qc_max, supported FROM inferred""")
 def infer_fields(spark, sf):
-    return inferred(spark, sf).withColumns({
-        "qc_min": F.col("qc_min").cast("double"), "qc_max": F.col("qc_max").cast("double")})
+    def number(column):
+        return F.when(F.col("data_type") == "float32", F.col(column).cast("float").cast("double")
+                      ).otherwise(F.col(column).cast("double"))
+
+    return inferred(spark, sf).withColumns({"qc_min": number("qc_min"), "qc_max": number("qc_max")})
 
 
 DATE = "2024-05-06"

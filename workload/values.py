@@ -145,8 +145,8 @@ NAN_VALUE = "CASE WHEN event_id % 50 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value E
 
 
 @query("profile_minmax", " UNION ALL ".join(
-    f"SELECT '{t}' AS \"table\", {pos} AS pos, '{c}' AS \"column\", CAST(min({v}) AS DOUBLE) AS lo, "
-    f"CAST(coalesce(max({v}) FILTER (WHERE NOT isnan(CAST({v} AS DOUBLE))), max({v})) AS DOUBLE) AS hi FROM {t}"
+    f"SELECT '{t}' AS \"table\", {pos} AS pos, '{c}' AS \"column\", CAST(min({v}) AS DOUBLE) + 0.0::DOUBLE AS lo, "
+    f"CAST(coalesce(max({v}) FILTER (WHERE NOT isnan(CAST({v} AS DOUBLE))), max({v})) AS DOUBLE) + 0.0::DOUBLE AS hi FROM {t}"
     for t, columns in PROFILED.items() for c, pos in columns.items()
     for v in [NAN_VALUE if c == "value" else c]))
 def profile_minmax(spark, sf):
