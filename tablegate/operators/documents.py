@@ -425,10 +425,20 @@ def field_rows(opened: DataFrame) -> DataFrame:
                        "e.qc_min", "e.qc_max")
 
 
+def declared(opened: DataFrame, key: str) -> DataFrame:
+    """``file, pos`` and one text of every field that fills it, without unpacking the
+    rest of the field."""
+    items = explode_once(opened, ["file"], _elements("fields"), "e")
+    held = items.select("file", F.col("e.pos").alias("pos"),
+                        K.member(F.col("e.item"), key).alias("held"))
+    return held.filter(~K.is_falsy(F.col("held"))).select(
+        "file", "pos", K.as_text(F.col("held")).alias(key))
+
+
 def field_name_findings(opened: DataFrame, book: RuleBook = DEFAULT_RULES) -> DataFrame:
     """Name-rule findings of declared fields: distinct names are checked once and the
     offending ones joined back."""
-    rows = field_rows(opened).filter(F.col("name").isNotNull()).select("file", "name")
+    rows = declared(opened, "name").select("file", "name")
     bad = names.validate_column_names(rows, "name", book)
     return rows.join(bad, "name").select(
         "file", F.lit("fields_names").alias("check"), "severity",
@@ -437,7 +447,7 @@ def field_name_findings(opened: DataFrame, book: RuleBook = DEFAULT_RULES) -> Da
 
 def field_tag_findings(opened: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Tag findings of declared fields against the vocabulary."""
-    rows = field_rows(opened).filter(F.col("ucd").isNotNull()).select("file", "pos", "ucd")
+    rows = declared(opened, "ucd")
     bad = tags.ucd_validate(rows.select("ucd"), vocabulary)
     return rows.join(bad, "ucd").select(
         "file", F.lit("ucd_validate").alias("check"), F.lit(FAIL).cast("tinyint").alias("severity"),
@@ -478,8 +488,8 @@ def validate_documents(docs: DataFrame, vocabulary: DataFrame | None = None,
     Row checks are one narrow pass.  Names and tags are checked once per distinct
     value, which needs a shuffle of the declared fields.
     """
-    opened = open_fields(open_documents(docs.filter(F.json_object_keys("raw").isNotNull())))
-    parts = [unreadable(docs), explode_findings(opened, ["file"], *row_checks(book)),
+    opened = open_documents(docs.filter(F.json_object_keys("raw").isNotNull()))
+    parts = [unreadable(docs), explode_findings(open_fields(opened), ["file"], *row_checks(book)),
              field_name_findings(opened, book)]
     if vocabulary is not None:
         parts.append(field_tag_findings(opened, vocabulary))
