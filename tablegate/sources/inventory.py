@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Files up to this size are hashed from their content in the JVM; larger ones are
-# streamed, so that no file has to fit into a row.
-INLINE_BYTES = 32 << 20
 CHUNK_BYTES = 1 << 20
 
 
@@ -35,12 +32,34 @@ def classify(files: DataFrame) -> DataFrame:
         "kind", file_kind(F.col("name")))
 
 
-def inventory(spark: SparkSession, folder: str) -> DataFrame:
+def _list_folders(batches):
+    """Files directly inside each folder.  Spark's own file sources leave out empty
+    files, which a release folder may well hold."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch["folder"]:
+            system, location = fs.FileSystem.from_uri(folder.rstrip("/"))
+            scheme = folder.rstrip("/").removesuffix(location)
+            found = [info for info in system.get_file_info(fs.FileSelector(location))
+                     if info.type == fs.FileType.File]
+            yield pd.DataFrame({
+                "path": [scheme + info.path for info in found],
+                "length": [info.size for info in found],
+                "modified": pd.to_datetime([info.mtime_ns // 1000 for info in found], unit="us", utc=True)})
+
+
+def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``path, length, modified`` of the files in the folders, one folder per task."""
+    given = spark.createDataFrame([(folder,) for folder in folders], "folder string")
+    return given.repartition(max(len(folders), 1), "folder").mapInPandas(
+        _list_folders, "path string, length bigint, modified timestamp")
+
+
+def inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Files directly inside release folders: ``dataset, path, name, length, modified,
-    stem, kind``.  ``folder`` may be a pattern over many folders.  Contents are not read."""
-    files = (spark.read.format("binaryFile").load(folder)
-             .select("path", "length", F.col("modificationTime").alias("modified")))
-    named = files.select(
+    stem, kind``.  Contents are not read."""
+    named = list_files(spark, folders).select(
         F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("dataset"), "path",
         file_name(F.col("path")).alias("name"), "length", "modified")
     return classify(named)
@@ -65,27 +84,19 @@ def _stream_hashes(batches):
         yield pd.DataFrame({"path": batch["path"], "sha1": digests})
 
 
-def file_hashes(spark: SparkSession, folder: str, inline_bytes: int = INLINE_BYTES) -> DataFrame:
-    """``path, sha1`` of every file in the folders.
-
-    The size condition reaches the file source, so contents of large files are never
-    loaded; those are dealt out one by one and streamed in constant memory.
-    """
-    files = spark.read.format("binaryFile").load(folder)
-    small = files.filter(F.col("length") <= inline_bytes).select(
-        "path", sha1_checksum(F.col("content")).alias("sha1"))
-    large = files.filter(F.col("length") > inline_bytes).select("path")
-    streamed = (large.repartition(F.col("path"))
-                .mapInPandas(_stream_hashes, "path string, sha1 string"))
-    return small.unionByName(streamed)
+def file_hashes(files: DataFrame) -> DataFrame:
+    """``path, sha1`` of listed files.  Files are dealt out by path and read in chunks,
+    so neither a large folder nor a large file weighs on one task's memory."""
+    return files.select("path").repartition(F.col("path")).mapInPandas(
+        _stream_hashes, "path string, sha1 string")
 
 
-def file_listing(spark: SparkSession, folder: str) -> DataFrame:
+def file_listing(spark: SparkSession, folders: list[str]) -> DataFrame:
     """One row per file: ``etag, file_name, modified, directory, sha1``.  Plain storage
     has no entity tag; length and change time stand in for it."""
-    files = inventory(spark, folder)
+    files = inventory(spark, folders)
     etag = F.concat_ws("-", F.hex(F.unix_micros("modified")), F.hex("length"))
-    return (files.join(file_hashes(spark, folder), "path", "left")
+    return (files.join(file_hashes(files), "path", "left")
             .select(etag.alias("etag"), F.col("name").alias("file_name"),
                     F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"),
                     F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("directory"), "sha1"))

@@ -99,7 +99,7 @@ def sha1_checksum(spark, sf):
 @query("src_file_listing")
 def src_file_listing(spark, sf):
     """The given folder's own files, hashed in full."""
-    return inventory.file_listing(spark, sf)
+    return inventory.file_listing(spark, [sf])
 
 
 # --- sinks -------------------------------------------------------------------
