@@ -18,11 +18,11 @@ def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.distinct().join(b, a.columns, "left_anti")
+    return a.subtract(b)
 
 
 def set_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.distinct().join(b, a.columns, "left_semi")
+    return a.intersect(b)
 
 
 def match_columns(columns: DataFrame, fields: DataFrame) -> DataFrame:

@@ -255,10 +255,9 @@ def set_union(spark, sf):
     return reconcile.set_union(event_values(spark, sf), customer_keys(spark, sf))
 
 
-@query("set_difference", "SELECT c_custkey AS key FROM customer EXCEPT " + ORDER_KEYS)
+@query("set_difference", f"{ORDER_KEYS} EXCEPT {EVENT_KEYS}")
 def set_difference(spark, sf):
-    customers = I.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"))
-    return reconcile.set_difference(customers, customer_keys(spark, sf))
+    return reconcile.set_difference(customer_keys(spark, sf), event_values(spark, sf))
 
 
 @query("set_intersection", f"{EVENT_KEYS} INTERSECT {ORDER_KEYS}")
