@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegate.functions.findings import explode_once
 from tablegate.functions.text import literal_rows, tokens
 from tablegate.operators.tags import is_valid, ucd_repair, vocab_join
 from tablegate.rules import DATA_TYPES, DEFAULT_RULES, FLOAT_TYPES, INTEGER_TYPES, RuleBook
@@ -68,17 +69,14 @@ def guess_ucd(names: DataFrame, vocabulary: DataFrame, column: str = "name",
     bounded by it; only names that match a rule are taken apart.
     """
     distinct = names.select(F.col(column).alias("name")).filter(F.length("name") > 0).distinct()
-    worded = distinct.select("name", tag_words(F.col("name"), book).alias("words"))
-    parts = worded.select("name", F.posexplode_outer("words").alias("pos", "word"))
-    judged = vocab_join(parts, vocabulary)
-    regrouped = judged.groupBy("name").agg(
-        F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct(
-            "pos", "word", "is_primary", "is_secondary")))).alias("words"))
+    parts = explode_once(distinct, ["name"], tag_words(F.col("name"), book), "pos", "word")
+    regrouped = vocab_join(parts, vocabulary).groupBy("name").agg(F.array_sort(F.collect_list(
+        F.struct("pos", "word", "is_primary", "is_secondary"))).alias("words"))
     words = F.col("words")
     plain = F.concat_ws(";", F.transform(words, lambda w: w["word"]))
-    return regrouped.select("name", F.when(F.size(words) == 0, F.lit(""))
-                            .when(is_valid(words), plain)
-                            .otherwise(ucd_repair(words)).alias("ucd"))
+    tagged = regrouped.select("name", F.when(is_valid(words), plain)
+                              .otherwise(ucd_repair(words)).alias("ucd"))
+    return distinct.join(tagged, "name", "left").select("name", F.coalesce("ucd", F.lit("")).alias("ucd"))
 
 
 def infer_fields(profiles: DataFrame, vocabulary: DataFrame,
