@@ -445,15 +445,6 @@ def field_name_findings(opened: DataFrame, book: RuleBook = DEFAULT_RULES) -> Da
         F.concat("name", F.lit(": "), "message").alias("message"))
 
 
-def field_tag_findings(opened: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Tag findings of declared fields against the vocabulary."""
-    rows = declared(opened, "ucd")
-    bad = tags.ucd_validate(rows.select("ucd"), vocabulary)
-    return rows.join(bad, "ucd").select(
-        "file", F.lit("ucd_validate").alias("check"), F.lit(FAIL).cast("tinyint").alias("severity"),
-        F.concat(F.lit("fields["), "pos", F.lit("]: "), "message").alias("message"))
-
-
 # --- suites ------------------------------------------------------------------
 
 def row_checks(book: RuleBook = DEFAULT_RULES) -> list[Column]:
@@ -471,14 +462,39 @@ def row_checks(book: RuleBook = DEFAULT_RULES) -> list[Column]:
     ]
 
 
-def unreadable(docs: DataFrame) -> DataFrame:
-    """Findings for documents that could not be read as a mapping."""
-    broken = F.json_object_keys("raw").isNull()
+def unreadable(docs: DataFrame) -> Column:
+    """The finding of an opened document that could not be read as a mapping."""
     reason = F.col("parse_error") if "parse_error" in docs.columns else F.lit(None).cast("string")
-    return explode_findings(docs, ["file"], when_found(
-        F.coalesce(broken, F.lit(True)), "src_documents", FAIL,
-        F.concat(F.lit("not a readable mapping"),
-                 F.coalesce(F.concat(F.lit(": "), reason), F.lit("")))))
+    return when_found(F.col("keys").isNull(), "src_documents", FAIL, F.concat(
+        F.lit("not a readable mapping"), F.coalesce(F.concat(F.lit(": "), reason), F.lit(""))))
+
+
+def declared_value_findings(opened: DataFrame, vocabulary: DataFrame | None = None,
+                            book: RuleBook = DEFAULT_RULES) -> DataFrame:
+    """Name and tag findings of declared fields with one join back to the documents."""
+    items = explode_once(opened, ["file"], _elements("fields"), "e")
+
+    def text(key):
+        held = K.member(F.col("e.item"), key)
+        return F.when(~K.is_falsy(held), K.as_text(held))
+
+    pairs = F.array(*[F.struct(F.lit(key).alias("key"), text(key).alias("value"))
+                      for key in ("name", "ucd")])
+    rows = (items.select("file", F.col("e.pos").alias("pos"), F.inline_outer(pairs))
+            .filter(F.col("value").isNotNull()))
+    bad_names = names.validate_column_names(rows.filter("key = 'name'"), "value", book).select(
+        F.lit("name").alias("key"), F.col("name").alias("value"), F.lit("fields_names").alias("check"),
+        "severity", F.concat("name", F.lit(": "), "message").alias("message"))
+    bad = bad_names
+    if vocabulary is not None:
+        bad_tags = tags.ucd_validate(rows.filter("key = 'ucd'"), vocabulary, "value").select(
+            F.lit("ucd").alias("key"), F.col("ucd").alias("value"), F.lit("ucd_validate").alias("check"),
+            F.lit(FAIL).cast("tinyint").alias("severity"), "message")
+        bad = bad_names.unionByName(bad_tags)
+    placed = F.concat(F.lit("fields["), "pos", F.lit("]: "), "message")
+    return rows.join(bad, ["key", "value"]).select(
+        "file", "check", "severity",
+        F.when(F.col("key") == "ucd", placed).otherwise(F.col("message")).alias("message"))
 
 
 def validate_documents(docs: DataFrame, vocabulary: DataFrame | None = None,
@@ -486,14 +502,14 @@ def validate_documents(docs: DataFrame, vocabulary: DataFrame | None = None,
     """The document suite: ``file, check, severity, message``.
 
     Row checks are one narrow pass.  Names and tags are checked once per distinct
-    value, which needs a shuffle of the declared fields.
+    value, which reads the documents again for the distinct values and for the join
+    back; keep parsed documents in a table rather than parsing them anew.
     """
-    opened = open_documents(docs.filter(F.json_object_keys("raw").isNotNull()))
-    parts = [unreadable(docs), explode_findings(open_fields(opened), ["file"], *row_checks(book)),
-             field_name_findings(opened, book)]
-    if vocabulary is not None:
-        parts.append(field_tag_findings(opened, vocabulary))
-    return union_findings(parts)
+    opened = open_documents(docs)
+    broken = unreadable(docs)
+    checks = F.when(F.col("keys").isNotNull(), all_of(*row_checks(book))).otherwise(broken)
+    return union_findings([explode_findings(open_fields(opened), ["file"], checks),
+                           declared_value_findings(opened, vocabulary, book)])
 
 
 def documents_to_fields(docs: DataFrame, findings: DataFrame) -> DataFrame:
