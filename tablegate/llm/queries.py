@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegate.llm import line_dedup, quality_rules
+from tablegate.llm import (decontaminate, line_dedup, packing, quality_rules, simhash, token_counts)
+
+#: The vocabulary files of public tokenizers; workers open them at the same path.
+TOKENIZERS = os.environ.get("TABLEGATE_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,9 +22,27 @@ def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    groups = simhash.simhash_groups(table(spark, sf, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op5_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.judged(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("tag")
+
+
 def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf, "documents")).drop("clean_text")
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op6_quality_rules)}
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf, "documents"), f"{TOKENIZERS}/word_bpe_49k.json").drop("digest")
+
+
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
+QUERIES = {f.__name__: f for f in (
+    op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules, op7_token_counts, op8_packing)}
 ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
