@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegate.llm import (decontaminate, line_dedup, packing, quality_rules, simhash, token_counts)
+from tablegate.llm import (classifier, decontaminate, line_dedup, packing, quality_rules, simhash, token_counts)
 
 #: The vocabulary files of public tokenizers; workers open them at the same path.
 TOKENIZERS = os.environ.get("TABLEGATE_TOKENIZERS", "/opt/tokenizers")
@@ -43,6 +43,13 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = classifier.train(docs, table(spark, sf, "labels"))
+    return classifier.scored(docs, model).drop("tag")
+
+
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules, op7_token_counts, op8_packing)}
+    op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules, op7_token_counts, op8_packing,
+    op10_quality_classifier)}
 ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
