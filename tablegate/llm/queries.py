@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegate.llm import (classifier, decontaminate, line_dedup, packing, quality_rules, simhash, token_counts)
+from tablegate.llm import (classifier, decontaminate, line_dedup, packing, quality_rules, simhash,
+                           substring_dedup, suffix_dedup, token_counts)
 
 #: The vocabulary files of public tokenizers; workers open them at the same path.
 TOKENIZERS = os.environ.get("TABLEGATE_TOKENIZERS", "/opt/tokenizers")
@@ -17,6 +18,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffix_dedup.suffix_dedup(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(table(spark, sf, "documents"), counts=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -43,6 +49,11 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = substring_dedup.substring_dedup(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = classifier.train(docs, table(spark, sf, "labels"))
@@ -50,6 +61,6 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules, op7_token_counts, op8_packing,
-    op10_quality_classifier)}
+    op1_suffix_dedup, op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules,
+    op7_token_counts, op8_packing, op9_substring_dedup, op10_quality_classifier)}
 ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
