@@ -29,12 +29,11 @@ from pyspark.sql import functions as F
 
 from tablegate.llm.common import keyed, same_document, slices, stored
 
-#: Units handled at once (places within fit 23 bits); distinct words a worker remembers.
-CHUNK, KNOWN = 1 << 22, 400_000
+#: Units handled at once: few enough for a core's cache.
+CHUNK = 1 << 16
 _TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
-_PLACE = np.uint64((1 << 23) - 1)
-_words: dict[bytes, int] = {}
+_PLACE = np.uint64((1 << 17) - 1)
 
 
 class Kind(NamedTuple):
@@ -51,15 +50,8 @@ def units_of(text: str, kind: Kind) -> np.ndarray:
     """A text's bytes, or the hashes of its words."""
     if not kind.words:
         return np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    if len(_words) > KNOWN:
-        _words.clear()
-    out = []
-    for w in word_list(text):
-        h = _words.get(w)
-        if h is None:
-            h = _words[w] = xxhash.xxh64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    words = word_list(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def _grams(values: np.ndarray, gram: int) -> np.ndarray:
@@ -92,6 +84,7 @@ def runs(units: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, n
     """Start, number of windows and anchor hash of each run in units of documents put end to end."""
     starts, numbers, anchors = [], [], []
     size = kind.size
+    limit = np.repeat(ends, np.diff(ends, prepend=0))  # where a unit's document ends
     for low in range(0, len(units) - size + 1, CHUNK):
         part = units[low:low + CHUNK + size - 1]
         values = part if kind.words else _TABLE[part]
@@ -100,7 +93,7 @@ def runs(units: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, n
         least = _least((hashes & ~_PLACE) | place, size - kind.gram + 1)
         at = (least & _PLACE).astype(np.int64)
         first = np.arange(low, low + len(at))
-        inside = first + size <= ends[ends.searchsorted(first, "right")]
+        inside = first + size <= limit[low:low + len(at)]
         new = inside.copy()
         new[1:] &= (at[1:] != at[:-1]) | ~inside[:-1]
         begin = np.nonzero(new)[0]
@@ -114,13 +107,16 @@ def runs(units: np.ndarray, ends: np.ndarray, kind: Kind) -> tuple[np.ndarray, n
             np.concatenate(anchors or [np.zeros(0, np.uint64)]))
 
 
-def _occurrences(frames: Iterator[pd.DataFrame], kind: Kind) -> Iterator[pd.DataFrame]:
+def _occurrences(frames: Iterator[pd.DataFrame], kind: Kind, placed: bool = True) -> Iterator[pd.DataFrame]:
     digest = xxhash.xxh3_64_intdigest
     for frame in slices(frames, size=1 << 21):
         units = [units_of(t, kind) for t in frame["text"]]
         ends = np.cumsum([len(u) for u in units])
         flat = np.concatenate(units)
         start, n, anchor = runs(flat, ends, kind)
+        if not placed:
+            yield pd.DataFrame({"anchor": anchor.view(np.int64)})
+            continue
         row = ends.searchsorted(start, "right")
         data, width = flat.tobytes(), flat.itemsize
         stop = (start + n + kind.size - 1) * width
@@ -134,17 +130,21 @@ def _occurrences(frames: Iterator[pd.DataFrame], kind: Kind) -> Iterator[pd.Data
             "start": start - base[row], "n": n.astype(np.int32)})
 
 
-def occurrences(docs: DataFrame, kind: Kind) -> DataFrame:
-    """All runs of keyed documents."""
-    return docs.mapInPandas(partial(_occurrences, kind=kind),
-                            "doc_id long, tag long, anchor long, content long, start long, n int")
+def occurrences(docs: DataFrame, kind: Kind, placed: bool = True) -> DataFrame:
+    """All runs of keyed documents, or (not ``placed``) their anchors alone."""
+    return docs.mapInPandas(
+        partial(_occurrences, kind=kind, placed=placed),
+        "doc_id long, tag long, anchor long, content long, start long, n int" if placed else "anchor long")
 
 
 def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
-    """The runs whose anchor occurs twice or more, stored."""
-    every = occurrences(docs, kind)
-    twice = every.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    return stored(every.join(twice, "anchor", "left_semi"))
+    """The runs whose anchor occurs twice or more, stored.
+
+    Texts are hashed twice, which costs less than keeping the runs of all texts on disk.
+    """
+    twice = (occurrences(docs, kind, placed=False).groupBy("anchor").agg(F.count("*").alias("times"))
+             .where("times > 1").select("anchor"))
+    return stored(occurrences(docs, kind).join(twice, "anchor", "left_semi"))
 
 
 def first_places(rows: DataFrame) -> DataFrame:
