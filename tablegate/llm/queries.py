@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegate.llm import (classifier, decontaminate, line_dedup, packing, quality_rules, simhash,
+from tablegate.llm import (classifier, decontaminate, license_scan, line_dedup, packing, quality_rules, simhash,
                            substring_dedup, suffix_dedup, token_counts)
 
 #: The vocabulary files of public tokenizers; workers open them at the same path.
@@ -23,6 +23,10 @@ def op1_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = line_dedup.line_dedup(table(spark, sf, "documents"), counts=True)
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -61,6 +65,6 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_suffix_dedup, op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules,
+    op1_suffix_dedup, op2_license_scan, op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules,
     op7_token_counts, op8_packing, op9_substring_dedup, op10_quality_classifier)}
 ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
