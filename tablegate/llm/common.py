@@ -84,6 +84,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for df in tables:
+        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", size: int = 8 << 20) -> Iterator[pd.DataFrame]:
     """The batches cut so that each holds about ``size`` characters, or one row."""
     for frame in frames:

@@ -27,10 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegate.llm.common import keyed, same_document, slices, stored
+from tablegate.llm.common import discard, same_document, slices, stored
 
 #: Units handled at once: few enough for a core's cache.
 CHUNK = 1 << 16
+#: A run's place: its start times this, plus its number of windows.
+PLACES = 256
+RUN = "shiftright(place, 8) AS start, CAST(place & 255 AS int) AS n"
 _TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
 _BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _PLACE = np.uint64((1 << 17) - 1)
@@ -127,14 +130,14 @@ def _occurrences(frames: Iterator[pd.DataFrame], kind: Kind, placed: bool = True
             else frame["doc_id"].to_numpy(np.int64)[row],
             "tag": frame["tag"].to_numpy()[row], "anchor": anchor.view(np.int64),
             "content": np.array(content, dtype=np.uint64).view(np.int64),
-            "start": start - base[row], "n": n.astype(np.int32)})
+            "place": (start - base[row]) * PLACES + n})
 
 
 def occurrences(docs: DataFrame, kind: Kind, placed: bool = True) -> DataFrame:
     """All runs of keyed documents, or (not ``placed``) their anchors alone."""
     return docs.mapInPandas(
         partial(_occurrences, kind=kind, placed=placed),
-        "doc_id long, tag long, anchor long, content long, start long, n int" if placed else "anchor long")
+        "doc_id long, tag long, anchor long, content long, place long" if placed else "anchor long")
 
 
 def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -148,29 +151,31 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def first_places(rows: DataFrame) -> DataFrame:
-    """``anchor, content, n, first`` (id, tag, start) of each distinct run, stored."""
-    return stored(rows.groupBy("anchor", "content", "n").agg(F.min(F.struct("doc_id", "tag", "start")).alias("first")))
+    """``anchor, content, first`` (id, tag, place) of each distinct run, stored."""
+    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first")))
 
 
 def covered(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``doc_id, tag, start, n``: runs that occur earlier as a whole."""
-    place = F.struct("doc_id", "tag", "start")
-    return rows.join(firsts, ["anchor", "content", "n"]).where(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "tag", "start", "n")
+    """``doc_id, tag, place``: runs that occur earlier as a whole."""
+    place = F.struct("doc_id", "tag", "place")
+    return rows.join(firsts, ["anchor", "content"]).where(~place.eqNullSafe(F.col("first"))).select(
+        "doc_id", "tag", "place")
 
 
 def variants(firsts: DataFrame) -> DataFrame:
-    """``anchor, doc_id, tag, start, n, kinds``: first places of runs whose anchor has other contents too."""
+    """``anchor, doc_id, tag, place, kinds``: first places of runs whose anchor has other contents too."""
     many = firsts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    return firsts.join(many, "anchor").select("anchor", "first.*", "n", "kinds")
+    return firsts.join(many, "anchor").select("anchor", "first.*", "kinds")
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, body: Callable, schema: str) -> DataFrame:
-    """``body`` over documents with their wanted runs (``runs``: anchor, start, n), texts joined once."""
-    lists = wanted.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("runs"))
-    # Repeated rows are one document: its runs are taken from one of them.
+    """``body`` over documents with their wanted runs (``runs``: anchor, start, n), texts joined once.
+
+    Repeated rows give their runs once each.
+    """
+    lists = wanted.groupBy("doc_id", "tag").agg(F.expr(f"collect_list(struct(anchor, {RUN}))").alias("runs"))
     return (docs.join(lists, same_document(docs, lists)).select(lists["doc_id"], lists["tag"], "text", "runs")
-            .mapInPandas(body, schema).distinct())
+            .mapInPandas(body, schema))
 
 
 def _windows(frames: Iterator[pd.DataFrame], kind: Kind) -> Iterator[pd.DataFrame]:
@@ -183,25 +188,31 @@ def _windows(frames: Iterator[pd.DataFrame], kind: Kind) -> Iterator[pd.DataFram
             for run in wanted:
                 for at in range(run["start"], run["start"] + run["n"]):
                     window = digest(data[at * width:(at + kind.size) * width])
-                    out.append((doc, tag, run["anchor"], window - (1 << 63), at))
-        out = pd.DataFrame(out, columns=["doc_id", "tag", "anchor", "window", "start"])
+                    out.append((doc, tag, run["anchor"], window - (1 << 63), at * PLACES + 1))
+        out = pd.DataFrame(out, columns=["doc_id", "tag", "anchor", "window", "place"])
         out["doc_id"] = out["doc_id"].astype("Int64")
         yield out
 
 
 def later_windows(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
-    """``doc_id, tag, start, n=1``: windows of the wanted runs that start earlier in another of them."""
+    """``doc_id, tag, place``: windows of the wanted runs that start earlier in another of them."""
     rows = stored(fetched(docs, wanted, partial(_windows, kind=kind),
-                          "doc_id long, tag long, anchor long, window long, start long"))
-    place = F.struct("doc_id", "tag", "start")
+                          "doc_id long, tag long, anchor long, window long, place long"))
+    place = F.struct("doc_id", "tag", "place")
     firsts = rows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
-    return rows.join(firsts, ["anchor", "window"]).where(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "tag", "start", F.lit(1).alias("n"))
+    later = stored(rows.join(firsts, ["anchor", "window"]).where(~place.eqNullSafe(F.col("first"))).select(
+        "doc_id", "tag", "place"))
+    discard(rows)
+    return later
+
+
+def lists_of(removed: DataFrame) -> DataFrame:
+    """A document's removed windows in one row (``spans``: start, n), stored."""
+    return stored(removed.groupBy("doc_id", "tag").agg(F.expr(f"collect_list(struct({RUN}))").alias("spans")))
 
 
-def with_spans(docs: DataFrame, removed: DataFrame) -> DataFrame:
-    """Keyed documents with ``spans``, the list of their removed windows (start, n); null for none."""
-    lists = stored(removed.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+def with_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Keyed documents with ``spans``, null where nothing goes."""
     return docs.join(lists, same_document(docs, lists), "left").select(docs["doc_id"], docs["tag"], "text", "spans")
 
 

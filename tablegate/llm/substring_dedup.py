@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from tablegate.llm import repeats
-from tablegate.llm.common import keyed, slices
+from tablegate.llm.common import discard, keyed, slices
 
 SIZE, GRAM = 20, 6
 SCHEMA = ("doc_id long, n_words long, n_removed long, spans array<struct<start: long, end: long>>, clean_text string")
@@ -55,5 +55,6 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     rows = repeats.repeated_runs(docs, kind)
     firsts = repeats.first_places(rows)
     later = repeats.later_windows(docs, repeats.variants(firsts), kind)
-    removed = repeats.covered(rows, firsts).unionByName(later)
-    return repeats.with_spans(docs, removed).mapInPandas(partial(_cleaned, size=size), SCHEMA)
+    lists = repeats.lists_of(repeats.covered(rows, firsts).unionByName(later))
+    discard(rows, firsts, later)
+    return repeats.with_spans(docs, lists).mapInPandas(partial(_cleaned, size=size), SCHEMA)
