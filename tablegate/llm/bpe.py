@@ -19,8 +19,9 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: A worker's table of units is emptied at this size; longer units are not kept.
-UNITS_KEPT, UNIT_LENGTH = 400_000, 48
+#: A worker keeps two generations of units, each of this size at most: when the young one is
+#: full it becomes the old one, and units met again move back.  Longer units are not kept.
+UNITS_KEPT, UNIT_LENGTH = 600_000, 48
 JOINED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 APART = re.compile(r"[^ \t-\r]+")
 #: White space (and the like) outside ASCII: texts that hold any are not cut.
@@ -41,6 +42,7 @@ class Encoder:
         parts = [re.escape(s) for s in specials] + ([ODD_SPACE.pattern] if joined else [])
         self.whole = re.compile("|".join(parts)) if parts else None
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes()
@@ -49,13 +51,15 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [None if self.whole and self.whole.search(t) else self.pattern.findall(t) for t in texts]
-        known = self.known
-        if len(known) > UNITS_KEPT:
-            known.clear()
+        if len(self.known) > UNITS_KEPT:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
         new = {u for units in cut if units is not None for u in units if u not in known}
         extra: dict[str, bytes] = {}
         if new:
-            new = list(new)
+            again = [u for u in new if u in old]
+            known.update(zip(again, map(old.__getitem__, again)))
+            new = list(new.difference(again))
             for unit, found in zip(new, self.library_ids(new)):
                 (known if len(unit) <= UNIT_LENGTH else extra)[unit] = found
         out = []
