@@ -22,6 +22,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: A worker keeps two generations of units, each of this size at most: when the young one is
 #: full it becomes the old one, and units met again move back.  Longer units are not kept.
 UNITS_KEPT, UNIT_LENGTH = 600_000, 48
+CLOSING = ".,;:!?"
 JOINED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 APART = re.compile(r"[^ \t-\r]+")
 #: White space (and the like) outside ASCII: texts that hold any are not cut.
@@ -57,11 +58,18 @@ class Encoder:
         new = {u for units in cut if units is not None for u in units if u not in known}
         extra: dict[str, bytes] = {}
         if new:
+            # A closing mark after a letter or digit begins a token of its own: most stems are known.
+            stems = {u: u.rstrip(CLOSING) for u in new}
+            stems = {u: s for u, s in stems.items() if len(s) < len(u) <= UNIT_LENGTH and s[-1:].isascii() and s[-1:].isalnum()}
+            new.difference_update(stems)
+            for u, s in stems.items():
+                new.update(x for x in (s, u[len(s):]) if x not in known)
             again = [u for u in new if u in old]
             known.update(zip(again, map(old.__getitem__, again)))
             new = list(new.difference(again))
             for unit, found in zip(new, self.library_ids(new)):
                 (known if len(unit) <= UNIT_LENGTH else extra)[unit] = found
+            known.update((u, known[s] + known[u[len(s):]]) for u, s in stems.items())
         out = []
         for text, units in zip(texts, cut):
             if units is None:

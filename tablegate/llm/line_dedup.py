@@ -21,18 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegate.llm.common import TAG, let
+from tablegate.llm.common import SPACES, TAG, let, stored
 
 MIN_SITES = 10
 LOG_K = 12
 #: Relative standard error of a sketch of 2**LOG_K registers.
 ERROR = 1.04 / 2 ** (LOG_K / 2)
-TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row per line with a word: document key, place, hashes, site."""
-    line = F.regexp_replace("line", TRIM, "")
+    line = F.btrim("line", F.lit(SPACES))
     return (docs.select("doc_id", TAG, F.col("source").cast("string").alias("site"),
                         F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
             .select("doc_id", TAG, "site", "pos", line.alias("line")).where("line != ''")
@@ -68,7 +67,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False
     """
     columns = docs.columns
     tagged = docs.withColumn(TAG, F.xxhash64("text"))
-    lines = _lines(tagged)
+    lines = stored(_lines(tagged))  # hashes and places; read three times
     removed = (lines.join(boilerplate(lines, min_sites), ["h", "g"], "left_semi")
                .groupBy("doc_id", TAG).agg(F.collect_set("pos").alias("removed"))
                .select(F.col("doc_id").alias("__tablegate_id"), F.col(TAG).alias("__tablegate_of"),
@@ -80,7 +79,7 @@ def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False
     out = [text.alias(c) if c == "text" else F.col(c) for c in columns]
     if counts:
         out += [F.coalesce(F.size(F.filter(F.split("text", "\n", -1),
-                                           lambda x: F.regexp_replace(x, TRIM, "") != "")), F.lit(0))
+                                           lambda x: F.btrim(x, F.lit(SPACES)) != "")), F.lit(0))
                 .cast("long").alias("n_lines"),
                 F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*out)
