@@ -14,13 +14,23 @@ NULL, INTEGER, NUMBER, BOOLEAN, STRING, LIST, OBJECT = (
     "null", "integer", "number", "boolean", "string", "list", "object")
 
 
+#: JSON has no infinities and no NaN: they are texts that begin with this noncharacter.
+NON_FINITE = "\ufdd0"
+
+
+def number_text(text: Column) -> Column:
+    """JSON text of a bound, with infinities and NaN spelt as Spark casts them."""
+    return F.regexp_replace(text, f'^"{NON_FINITE}(.*)"$', "$1")
+
+
 def kind(value: Column) -> Column:
     """Name of a value's kind; a missing value counts as null."""
     def name(schema):
         # A whole number beyond 64 bits is stored as a decimal of 19 digits or more.
         return (
             F.when(schema.isNull() | (schema == "VOID"), NULL)
-            .when(schema == "STRING", STRING)
+            .when(schema == "STRING", F.when(
+                F.startswith(as_text(value), F.lit(NON_FINITE)), NUMBER).otherwise(STRING))
             .when(schema == "BIGINT", INTEGER)
             .when(schema.startswith("ARRAY"), LIST)
             .when(schema.startswith("OBJECT"), OBJECT)

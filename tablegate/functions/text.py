@@ -24,8 +24,11 @@ def chars(text: Column) -> Column:
 
 
 def word_masks(word: str) -> dict[str, int]:
-    """Bit positions of every character of a word, as used by ``lcs_by_masks``."""
+    """Bit positions of every character of a word, as used by ``lcs_by_masks``; none for
+    a word of more characters than a mask holds, which is compared by rows."""
     masks: dict[str, int] = {}
+    if len(word) > MASK_BITS:
+        return masks
     for position, char in enumerate(word):
         masks[char] = masks.get(char, 0) | (1 << position)
     return masks
@@ -89,7 +92,8 @@ def lcs_by_rows(a: Column, b: Column) -> Column:
 def similarity(common: Column, total: Column) -> Column:
     """Integer percentage from a common-subsequence length and both lengths' sum."""
     distance = total - common * 2
-    return F.bround((F.lit(1.0) - distance / total) * 100, 0).cast("int")
+    return F.when(total == 0, F.lit(100)).otherwise(
+        F.bround((F.lit(1.0) - distance / F.nullif(total, F.lit(0))) * 100, 0).cast("int"))
 
 
 def let(value: Column, body) -> Column:
@@ -149,7 +153,9 @@ def near(text: Column, word: Column, size: Column, above: int) -> Column:
 
 def ratio_to_word(text: Column, rule: Column, word: str = "word", masks: str = "masks") -> Column:
     """Similarity in percent of a measured text and a rule's word."""
-    common = lcs_by_masks(text["text"], rule[masks], F.length(rule[word]))
+    size = F.length(rule[word])
+    common = F.when(size <= MASK_BITS, lcs_by_masks(text["text"], rule[masks], size)).otherwise(
+        lcs_by_rows(text["text"], rule[word]))
     return similarity(common, text["size"] + rule["size"])
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,9 +34,37 @@ def schema_rows(df: DataFrame, table: str) -> list[tuple]:
             for pos, field in enumerate(df.schema.fields)]
 
 
+def unsigned_columns(df: DataFrame) -> dict[str, str]:
+    """Columns that the Parquet footer declares unsigned, which Spark reads as wider signed
+    ones: name to declared type.  One footer is read, through Spark's own file system."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return {}
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    source = parquet.util.HadoopInputFile.fromPath(
+        hadoop.fs.Path(files[0]), spark._jsparkSession.sessionState().newHadoopConf())
+    reader = parquet.ParquetFileReader.open(source)
+    try:
+        found = {}
+        for field in reader.getFooter().getFileMetaData().getSchema().getFields():
+            logical = field.getLogicalTypeAnnotation()
+            match = re.fullmatch(r"INTEGER\((\d+),false\)", logical.toString() if logical is not None else "")
+            if match:
+                found[field.getName()] = f"uint{match[1]}"
+        return found
+    finally:
+        reader.close()
+
+
 def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """The catalog of several tables, read from their schemas (no data is scanned)."""
-    rows = [row for table, df in tables.items() for row in schema_rows(df, table)]
+    """The catalog of several tables as read from Parquet, from their schemas and one footer
+    each (no data is scanned)."""
+    rows = []
+    for table, df in tables.items():
+        unsigned = unsigned_columns(df)
+        rows += [(*row[:3], unsigned.get(row[2], row[3])) for row in schema_rows(df, table)]
     return spark.createDataFrame(rows, CATALOG_TYPE)
 
 

@@ -308,8 +308,8 @@ def open_fields(opened: DataFrame) -> DataFrame:
             F.coalesce(F.map_keys(qc), none).alias("qc_keys"),
             F.when(qc.isNotNull(), K.kind(qc["min"])).alias("min_kind"),
             F.when(qc.isNotNull(), K.kind(qc["max"])).alias("max_kind"),
-            K.json_text(qc["min"]).alias("qc_min"),
-            K.json_text(qc["max"]).alias("qc_max"),
+            K.number_text(K.json_text(qc["min"])).alias("qc_min"),
+            K.number_text(K.json_text(qc["max"])).alias("qc_max"),
         )
 
     # In steps, so that the members are looked up in maps built once per field.
@@ -539,8 +539,12 @@ def get_fields(fields: DataFrame, wanted: DataFrame, attribute: str) -> DataFram
 
 
 def set_fields(fields: DataFrame, updates: DataFrame, attribute: str) -> DataFrame:
-    """Fields with an attribute replaced where ``updates`` (``table, column, value``)
-    names the column."""
-    new = updates.select("table", "column", F.col("value").alias("__new"))
-    joined = fields.join(new, ["table", "column"], "left")
-    return joined.withColumn(attribute, F.coalesce("__new", attribute)).drop("__new")
+    """Fields with an attribute replaced (null included) where ``updates`` (``table, column,
+    value``) names the column; of repeated updates the largest value holds.  An update of a
+    column that is not declared is an error, raised when the result is computed."""
+    new = updates.groupBy("table", "column").agg(F.max("value").alias("__new")).withColumn("__given", F.lit(True))
+    joined = fields.withColumn("__known", F.lit(True)).join(new, ["table", "column"], "full")
+    unknown = F.raise_error(F.concat(F.lit("unknown column "), F.coalesce("column", F.lit("null"))))
+    value = (F.when(F.col("__known").isNull(), unknown.cast("string"))
+             .when(F.col("__given"), F.col("__new")).otherwise(F.col(attribute)))
+    return joined.withColumn(attribute, value).select(*fields.columns)

@@ -17,10 +17,6 @@ from tablegate.rules import SENTINEL
 PROFILE_TYPE = ("struct<pos:int,column:string,dtype:string,n_rows:bigint,n_null:bigint,"
                 "n_nan:bigint,min_value:string,max_value:string,has_sentinel:boolean>")
 
-# Whole-stage code generation stops at 100 fields per operator
-# (spark.sql.codegen.maxFields); five aggregates per column and one row count.
-COLUMNS_PER_PASS = 18
-
 
 def is_floating(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType))
@@ -91,24 +87,15 @@ def _profile_row(pos: int, field: T.StructField) -> Column:
     ).cast(PROFILE_TYPE)
 
 
-def profile_table(df: DataFrame, table: str, sentinel: int = SENTINEL,
-                  columns_per_pass: int = COLUMNS_PER_PASS) -> DataFrame:
+def profile_table(df: DataFrame, table: str, sentinel: int = SENTINEL) -> DataFrame:
     """Profile rows ``table, pos, column, dtype, n_rows, n_null, n_nan, min_value,
-    max_value, has_sentinel`` of one table.
-
-    Very wide tables are cut into column groups: the storage is columnar, so each
-    group reads only its own columns and the total input stays one table.
-    """
+    max_value, has_sentinel`` of one table: one scan, one aggregate, however wide."""
     fields = list(enumerate(df.schema.fields))
-    parts = []
-    for start in range(0, len(fields), columns_per_pass):
-        group = fields[start:start + columns_per_pass]
-        aggregates = [agg for pos, field in group for agg in _aggregates(pos, field, sentinel)]
-        wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
-        parts.append(wide.select(
-            F.lit(table).alias("table"),
-            F.inline(F.array(*[_profile_row(pos, field) for pos, field in group]))))
-    return union_findings(parts)
+    aggregates = [agg for pos, field in fields for agg in _aggregates(pos, field, sentinel)]
+    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
+    return wide.select(
+        F.lit(table).alias("table"),
+        F.inline(F.array(*[_profile_row(pos, field) for pos, field in fields])))
 
 
 def profile_tables(tables: dict[str, DataFrame], sentinel: int = SENTINEL) -> DataFrame:

@@ -92,31 +92,40 @@ def _folder_findings(rows: DataFrame, check: str, message: str) -> DataFrame:
     return explode_findings(rows, ["dataset", "name"], when_found(F.lit(True), check, FAIL, message))
 
 
-def _unpaired(files: DataFrame, kind: str, partner: str, check: str) -> DataFrame:
+def _per_folder(files: DataFrame, datasets: DataFrame | None, condition) -> DataFrame:
+    """``dataset, n``: how many files meet a condition, also for given datasets without files."""
+    counted = files.groupBy("dataset").agg(F.count_if(condition).alias("n"))
+    if datasets is None:
+        return counted
+    nothing = datasets.select("dataset", F.lit(0).cast("bigint").alias("n"))
+    return counted.unionByName(nothing).groupBy("dataset").agg(F.max("n").alias("n"))
+
+
+def _unpaired(files: DataFrame, kind: str, partner: str, check: str, datasets: DataFrame | None) -> DataFrame:
     own, other = _of_kind(files, kind), _of_kind(files, partner)
     alone = own.join(other.select("dataset", "stem"), ["dataset", "stem"], "left_anti")
-    without = files.groupBy("dataset").agg(
-        F.count_if(F.col("kind") == kind).alias("n")).filter("n = 0")
+    without = _per_folder(files, datasets, F.col("kind") == kind).filter("n = 0")
     return union_findings([
         _folder_findings(alone, check, f"no .{partner} of the same name"),
         _folder_findings(without.withColumn("name", F.lit("")), check, f"no .{kind} files"),
     ])
 
 
-def docs_without_table(files: DataFrame) -> DataFrame:
-    """Table documents without a table of the same stem; folders without documents."""
-    return _unpaired(files, DOCUMENT, TABLE, "docs_without_table")
+def docs_without_table(files: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """Table documents without a table of the same stem; folders without documents.
+    ``datasets`` names the folders, so that one without any file is found too."""
+    return _unpaired(files, DOCUMENT, TABLE, "docs_without_table", datasets)
 
 
-def tables_without_doc(files: DataFrame) -> DataFrame:
-    return _unpaired(files, TABLE, DOCUMENT, "tables_without_doc")
+def tables_without_doc(files: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    return _unpaired(files, TABLE, DOCUMENT, "tables_without_doc", datasets)
 
 
-def notes_check(files: DataFrame) -> DataFrame:
+def notes_check(files: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
     """A folder needs ``<dataset>.md``; its other notes need a table.  A folder
     without its own notes gets that one finding only."""
     own = (F.col("kind") == NOTES) & (F.col("name") == F.concat("dataset", F.lit(".md")))
-    folders = files.groupBy("dataset").agg(F.count_if(own).alias("n"))
+    folders = _per_folder(files, datasets, own)
     missing = folders.filter("n = 0").select("dataset", F.concat("dataset", F.lit(".md")).alias("name"))
     complete = folders.filter("n > 0").select("dataset")
     others = _of_kind(files, NOTES).filter(~own)

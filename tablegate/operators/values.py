@@ -108,6 +108,8 @@ def profile_in_range(lo: Column, hi: Column, closed: str) -> Column:
 
     ``lo`` and ``hi`` are text.  Integers compare as decimals (no loss beyond
     2^53), 32-bit floats against the bound rounded to 32 bits, NaN never fits.
+    Bounds may be infinite; true and false are 1 and 0; nothing fits a bound
+    that is no number.
     """
     dtype = F.col("dtype")
     left = closed in ("left", "both")
@@ -115,14 +117,18 @@ def profile_in_range(lo: Column, hi: Column, closed: str) -> Column:
 
     def compare(kind: str, through: str | None = None) -> Column:
         def number(text):
-            return (text.cast(through) if through else text).cast(kind)
+            return (text.try_cast(through) if through else text).try_cast(kind)
+
+        def bound(text):
+            return F.when(text == "true", F.lit("1")).when(text == "false", F.lit("0")).otherwise(text)
 
         low, high = number(F.col("min_value")), number(F.col("max_value"))
-        a, b = number(lo), number(hi)
+        a, b = number(bound(lo)), number(bound(hi))
         return (low >= a if left else low > a) & (high <= b if right else high < b)
 
     fits = (
-        F.when(dtype.isin(list(INTEGER_TYPES)), compare("decimal(38,10)"))
+        # An infinite or huge bound is no decimal: both are then compared as doubles.
+        F.when(dtype.isin(list(INTEGER_TYPES)), F.coalesce(compare("decimal(38,10)"), compare("double")))
         .when(dtype == "float32", compare("double", "float"))
         .when(dtype == "float64", compare("double"))
         .otherwise(F.lit(False)))

@@ -22,15 +22,16 @@ FOLDER_CHECKS = (
 
 
 def check_directory(files: DataFrame, docs: DataFrame, declared: DataFrame,
-                    expected: DataFrame) -> DataFrame:
+                    expected: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
     """The folder suite: ``dataset, subject, check, severity, message``.
 
     ``files``: inventory; ``docs``: ``dataset, name, declared_dataset``; ``declared``:
-    ``dataset, table, version``; ``expected``: ``dataset, table, next_version``.
+    ``dataset, table, version``; ``expected``: ``dataset, table, next_version``;
+    ``datasets``: ``dataset`` of every folder, also of empty ones.
     """
     folder = union_findings([
-        reconcile.docs_without_table(files), reconcile.tables_without_doc(files),
-        reconcile.notes_check(files), reconcile.extra_files(files),
+        reconcile.docs_without_table(files, datasets), reconcile.tables_without_doc(files, datasets),
+        reconcile.notes_check(files, datasets), reconcile.extra_files(files),
         reconcile.dataset_name_check(docs),
     ]).withColumnRenamed("name", "subject")
     versions = history.version_check(declared, expected).withColumnRenamed("table", "subject")

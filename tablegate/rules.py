@@ -200,11 +200,6 @@ PROTECTED_WORDS = (
 
 # ---------------------------------------------------------------------------
 
-# Rules travel as literals inside every task's plan, so their number is bounded.
-MAX_RULES_PER_KIND = 2000
-MAX_RULE_LENGTH = 62
-
-
 @dataclass(frozen=True)
 class ProtectedWord:
     name: str
@@ -243,21 +238,6 @@ class RuleBook:
     banned: tuple[str, ...] = BANNED_WORDS
     namespaces: tuple[str, ...] = NAMESPACES
 
-    def __post_init__(self) -> None:
-        words = {
-            "protected": [m for word in self.protected for m in (word.name, *word.mistakes)],
-            "filters": [word.name for word in self.filters],
-            "exceptions": [word.name for word in self.exceptions],
-            "banned": list(self.banned),
-            "namespaces": list(self.namespaces),
-        }
-        for kind, entries in words.items():
-            if len(entries) > MAX_RULES_PER_KIND:
-                raise ValueError(f"{len(entries)} {kind} rules, at most {MAX_RULES_PER_KIND}")
-            for entry in entries:
-                if not 0 < len(entry) <= MAX_RULE_LENGTH:
-                    raise ValueError(f"{kind} rule {entry!r} must have 1-{MAX_RULE_LENGTH} characters")
-
     @classmethod
     def from_mappings(cls, protected=None, filters=None, exceptions=None, namespaces=None,
                       banned=BANNED_WORDS) -> "RuleBook":

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegate.functions.kinds import NON_FINITE
+from tablegate.functions.findings import FAIL
 from tablegate.functions.lint import lint_findings
 
 
@@ -29,13 +31,13 @@ def _loader():
 
 
 def _plain(node):
-    """Replace what JSON cannot hold: NaN and infinities, non-text keys, odd types."""
+    """Replace what JSON cannot hold: non-text keys, odd types, NaN and infinities (marked texts)."""
     if isinstance(node, dict):
         return {key if isinstance(key, str) else str(key): _plain(item) for key, item in node.items()}
     if isinstance(node, (list, tuple, set)):
         return [_plain(item) for item in node]
     if isinstance(node, float) and not math.isfinite(node):
-        return None
+        return NON_FINITE + ("NaN" if math.isnan(node) else "Infinity" if node > 0 else "-Infinity")
     if node is None or isinstance(node, (bool, int, float, str)):
         return node
     return str(node)
@@ -45,13 +47,15 @@ def _convert(batches):
     yaml, loader = _loader()
 
     def convert(text):
-        try:
+        try:  # whatever one document does to the parser, its row says so and the others go on
             loaded = yaml.load(text, Loader=loader)
-        except (yaml.YAMLError, ValueError, RecursionError) as error:
-            return None, " ".join(str(error).split())
-        if not isinstance(loaded, dict):
-            return None, "expected a mapping at the top level"
-        return json.dumps(_plain(loaded), ensure_ascii=False), None
+            if not isinstance(loaded, dict):
+                return None, "expected a mapping at the top level"
+            raw = json.dumps(_plain(loaded), ensure_ascii=False)
+            raw.encode()
+            return raw, None
+        except Exception as error:  # noqa: BLE001
+            return None, " ".join(f"{type(error).__name__} {error}".split())
 
     for batch in batches:
         converted = [convert(text) for text in batch["text"]]
@@ -74,7 +78,18 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return parse_documents(read_texts(spark, path))
+    """``file, raw, parse_error`` of the documents under a path.  A document with a spacing
+    offence is rejected like one that cannot be parsed."""
+    return reject_offences(read_texts(spark, path))
+
+
+def reject_offences(texts: DataFrame) -> DataFrame:
+    """Parsed documents; those the lint objects to have its first message and no content."""
+    first = (lint_documents(texts).where(F.col("severity") == FAIL)
+             .groupBy("file").agg(F.min("message").alias("offence")))
+    return parse_documents(texts).join(first, "file", "left").select(
+        "file", F.when(F.col("offence").isNull(), F.col("raw")).alias("raw"),
+        F.coalesce("parse_error", "offence").alias("parse_error"))
 
 
 def lint_documents(texts: DataFrame) -> DataFrame:

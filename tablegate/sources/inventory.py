@@ -32,37 +32,48 @@ def classify(files: DataFrame) -> DataFrame:
         "kind", file_kind(F.col("name")))
 
 
+#: Rows of a folder's listing that are passed on at once.
+LISTED = 10_000
+
+
 def _list_folders(batches):
-    """Files directly inside each folder.  Spark's own file sources leave out empty
-    files, which a release folder may well hold."""
+    """Entries directly inside each folder, subfolders with a null length.  Spark's own file
+    sources leave out empty files, which a release folder may well hold."""
     from pyarrow import fs
 
     for batch in batches:
         for folder in batch["folder"]:
             system, location = fs.FileSystem.from_uri(folder.rstrip("/"))
             scheme = folder.rstrip("/").removesuffix(location)
-            found = [info for info in system.get_file_info(fs.FileSelector(location))
-                     if info.type == fs.FileType.File]
-            yield pd.DataFrame({
-                "path": [scheme + info.path for info in found],
-                "length": [info.size for info in found],
-                "modified": pd.to_datetime([info.mtime_ns // 1000 for info in found], unit="us", utc=True)})
+            found = system.get_file_info(fs.FileSelector(location))
+            for low in range(0, len(found), LISTED):
+                part = found[low:low + LISTED]
+                yield pd.DataFrame({
+                    "path": [scheme + info.path for info in part],
+                    "length": pd.array([info.size if info.type == fs.FileType.File else None for info in part], "Int64"),
+                    "modified": pd.to_datetime([info.mtime_ns // 1000 for info in part], unit="us", utc=True)})
 
 
 def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``path, length, modified`` of the files in the folders, one folder per task."""
+    """``path, length, modified`` of the entries of the folders, one folder per task."""
     given = spark.createDataFrame([(folder,) for folder in folders], "folder string")
     return given.repartition(max(len(folders), 1), "folder").mapInPandas(
         _list_folders, "path string, length bigint, modified timestamp")
 
 
 def inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """Files directly inside release folders: ``dataset, path, name, length, modified,
-    stem, kind``.  Contents are not read."""
+    """Entries of release folders: ``dataset, path, name, length, modified, stem, kind``.
+    Contents are not read; subfolders have no length and count as extra files."""
     named = list_files(spark, folders).select(
         F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("dataset"), "path",
         file_name(F.col("path")).alias("name"), "length", "modified")
-    return classify(named)
+    return classify(named).withColumn("kind", F.when(F.col("length").isNull(), "extra").otherwise(F.col("kind")))
+
+
+def datasets_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """``dataset`` of each release folder, also of those that hold nothing."""
+    names = sorted({folder.rstrip("/").rsplit("/", 1)[-1] for folder in folders})
+    return spark.createDataFrame([(name,) for name in names], "dataset string")
 
 
 def sha1_checksum(content: Column) -> Column:
@@ -94,7 +105,7 @@ def file_hashes(files: DataFrame) -> DataFrame:
 def file_listing(spark: SparkSession, folders: list[str]) -> DataFrame:
     """One row per file: ``etag, file_name, modified, directory, sha1``.  Plain storage
     has no entity tag; length and change time stand in for it."""
-    files = inventory(spark, folders)
+    files = inventory(spark, folders).where("length IS NOT NULL")
     etag = F.concat_ws("-", F.hex(F.unix_micros("modified")), F.hex("length"))
     return (files.join(file_hashes(files), "path", "left")
             .select(etag.alias("etag"), F.col("name").alias("file_name"),

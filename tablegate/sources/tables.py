@@ -37,17 +37,3 @@ def read_tables(spark: SparkSession, paths: dict[str, str]) -> tuple[dict, list[
         else:
             found[name] = df
     return found, absent
-
-
-# A table of fewer splits than this is at most a few gigabytes: cheap to deal out.
-MAX_SPREAD = 64
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The same rows in more partitions, where a small table has fewer than cores.
-
-    For work that is heavy per row over a table of few splits.  Any table of
-    ``MAX_SPREAD`` splits or more is left alone, so nothing large is ever shuffled.
-    """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -408,9 +408,8 @@ def fields_accessors(spark, sf):
     rows = D.field_rows(I.opened_fields(spark, sf)).filter(F.col("name").isNotNull())
     fields = rows.groupBy(F.col("file").alias("table"), F.col("name").alias("column")).agg(
         F.max_by("unit", "pos").alias("unit"))
-    updates = I.table(spark, sf, "orders").select(
-        F.expr(I.DOCUMENT_FILE).alias("table"), F.lit("o_totalprice").alias("column"),
-        F.lit("money").alias("value"))
+    updates = fields.filter(F.col("column") == "o_totalprice").select(
+        "table", "column", F.lit("money").alias("value"))
     wanted = I.table(spark, sf, "lineitem").select(
         F.expr("'order_' || CAST(l_orderkey AS STRING) || '.maml'").alias("table"),
         F.expr("CASE WHEN l_returnflag = 'R' THEN 'o_totalprice' WHEN l_returnflag = 'A' "

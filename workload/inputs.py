@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from tablegate.operators import documents as D
 from tablegate.sources import inventory as I
 from tablegate.sources import vocabulary as V
-from tablegate.sources.tables import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -55,7 +54,7 @@ PART_NAMES_SQL = f"part_names AS MATERIALIZED (SELECT DISTINCT {PART_NAME} AS na
 def candidate_names(spark, sf) -> DataFrame:
     """Names to check: seeded names of parts, every word of every document, urls,
     customers."""
-    words = spread(table(spark, sf, "documents").select("text")).select(
+    words = table(spark, sf, "documents").select(
         F.explode_outer(F.split("text", "[ \n]+")).alias("name"))
     urls = table(spark, sf, "pages").select(F.col("url").alias("name"))
     customers = table(spark, sf, "customer").select(F.col("c_name").alias("name"))
@@ -162,7 +161,8 @@ def documents(spark, sf) -> DataFrame:
     """One metadata document per order: ``file, raw``."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                                "o_orderdate", "o_orderpriority")
-    return spread(orders).select(
+    # A document is made, parsed and checked per order: dealt out by key, whatever the files.
+    return orders.repartition("o_orderkey").select(
         F.expr(DOCUMENT_FILE).alias("file"), F.expr(RAW_DOCUMENT).alias("raw"))
 
 
@@ -208,7 +208,8 @@ TAG = "replace(replace(line, ',', ''), ' ', ';')"
 
 def line_tags(spark, sf) -> DataFrame:
     """A tag per line of every document: its words in order."""
-    lines = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
+    lines = table(spark, sf, "documents").select(
+        "doc_id", F.explode_outer(F.split("text", "\n")).alias("line"))
     return lines.select("doc_id", F.expr(TAG).alias("ucd"))
 
 

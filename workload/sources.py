@@ -8,7 +8,6 @@ from tablegate.functions import kinds as K
 from tablegate.operators import documents as D
 from tablegate.sources import documents as S
 from tablegate.sources import inventory, manifests, sinks
-from tablegate.sources.tables import spread
 from tablegate.sources.vocabulary import parse_vocabulary
 from workload import inference as N
 from workload import inputs as I
@@ -34,10 +33,10 @@ YAML_TEXT = "CASE " \
     CASE WHEN o_custkey % 9 > 1 THEN CAST(o_custkey AS STRING) || ' integer' END AS version,
     CASE WHEN o_custkey % 9 > 1 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) || ' string' END AS date,
     CASE WHEN o_custkey % 9 > 1 THEN o_orderpriority || '|' || o_orderstatus END AS keywords,
-    CASE WHEN o_custkey % 9 > 1 THEN 'number null' END AS kinds FROM orders""")
+    CASE WHEN o_custkey % 9 > 1 THEN 'number number' END AS kinds FROM orders""")
 def src_documents(spark, sf):
-    orders = spread(I.table(spark, sf, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"))
+    orders = I.table(spark, sf, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority").repartition("o_orderkey")
     texts = orders.select(
         F.expr(I.DOCUMENT_FILE).alias("file"), F.expr(YAML_TEXT).alias("text"))
     docs = D.open_documents(S.parse_documents(texts))
