@@ -129,9 +129,11 @@ def search(numbers: np.ndarray, tests: TestSet) -> tuple[np.ndarray, np.ndarray]
 
 def _matches(window, place, owner, tests: TestSet) -> np.ndarray:
     """Longest verbatim matches: rows (document, item, start in the shard, start in the item, words)."""
+    if not len(window):
+        return np.zeros((0, 5), dtype=np.int64)
     counts = np.array([len(p) for p in tests.places], dtype=np.int64)[window]
     at = np.repeat(place, counts)
-    where = np.concatenate([tests.places[w] for w in window]) if len(window) else np.zeros((0, 2), np.int64)
+    where = np.concatenate([tests.places[w] for w in window])
     length = np.repeat(np.array([len(w) for w in tests.windows], dtype=np.int64)[window], counts)
     order = np.lexsort((at, at - where[:, 1], where[:, 0]))
     at, where, length = at[order], where[order], length[order]

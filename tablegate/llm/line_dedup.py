@@ -41,15 +41,16 @@ def _lines(docs: DataFrame) -> DataFrame:
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Hashes of the lines on ``min_sites`` sites or more."""
     margin = max(1.0, 5 * ERROR * min_sites)
-    sketched = (lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
-                .select("h", "g", F.hll_sketch_estimate("sketch").alias("sites"))
-                .where(F.col("sites") >= min_sites - margin))
+    # Few lines are left; stored, so that the joins with them are of plain shuffles, which split.
+    sketched = stored(lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
+                      .select("h", "g", F.hll_sketch_estimate("sketch").alias("sites"))
+                      .where(F.col("sites") >= min_sites - margin))
     sure = sketched.where(F.col("sites") > min_sites + margin).select("h", "g")
     near = sketched.where(F.col("sites") <= min_sites + margin).select("h", "g")
     exact = (lines.join(near, ["h", "g"], "left_semi").select("h", "g", "site").distinct()
              .groupBy("h", "g").agg(F.count("site").alias("sites"))
              .where(F.col("sites") >= min_sites).select("h", "g"))
-    return sure.unionByName(exact)
+    return stored(sure.unionByName(exact))
 
 
 def _without(text: Column, removed: Column) -> Column:

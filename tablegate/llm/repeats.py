@@ -145,9 +145,12 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
 
     Texts are hashed twice, which costs less than keeping the runs of all texts on disk.
     """
-    twice = (occurrences(docs, kind, placed=False).groupBy("anchor").agg(F.count("*").alias("times"))
-             .where("times > 1").select("anchor"))
-    return stored(occurrences(docs, kind).join(twice, "anchor", "left_semi"))
+    # Stored on its own: a join of two plain shuffles can be split where an anchor is hot.
+    twice = stored(occurrences(docs, kind, placed=False).groupBy("anchor").agg(F.count("*").alias("times"))
+                   .where("times > 1").select("anchor"))
+    rows = stored(occurrences(docs, kind).join(twice, "anchor", "left_semi"))
+    discard(twice)
+    return rows
 
 
 def first_places(rows: DataFrame) -> DataFrame:
@@ -199,10 +202,11 @@ def later_windows(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     rows = stored(fetched(docs, wanted, partial(_windows, kind=kind),
                           "doc_id long, tag long, anchor long, window long, place long"))
     place = F.struct("doc_id", "tag", "place")
-    firsts = rows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1")
+    firsts = stored(rows.groupBy("anchor", "window").agg(F.min(place).alias("first"), F.count("*").alias("times"))
+                    .where("times > 1"))
     later = stored(rows.join(firsts, ["anchor", "window"]).where(~place.eqNullSafe(F.col("first"))).select(
         "doc_id", "tag", "place"))
-    discard(rows)
+    discard(rows, firsts)
     return later
 
 
