@@ -21,8 +21,9 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker keeps two generations of units, each of this size at most: when the young one is
 #: full it becomes the old one, and units met again move back.  Longer units are not kept.
-UNITS_KEPT, UNIT_LENGTH = 600_000, 48
+UNITS_KEPT, UNIT_LENGTH = 250_000, 48
 CLOSING = ".,;:!?"
+PORTION = 4096
 JOINED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 APART = re.compile(r"[^ \t-\r]+")
 #: White space (and the like) outside ASCII: texts that hold any are not cut.
@@ -46,8 +47,9 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def library_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        # In portions: the library's results are far larger than the ids taken from them.
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for low in range(0, len(texts), PORTION)
+                for e in self.library.encode_batch_fast(texts[low:low + PORTION], add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""

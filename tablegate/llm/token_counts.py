@@ -42,7 +42,7 @@ def version_of(path: str) -> str:
 
 
 def _counts(frames: Iterator[pd.DataFrame], path: str, version: str) -> Iterator[pd.DataFrame]:
-    for frame in slices(frames):
+    for frame in slices(frames, size=2 << 20):
         found = encoder(path, joined=False).ids(frame["text"].tolist())
         yield pd.DataFrame({"digest": frame["digest"].to_numpy(), "version": version,
                             "n_tokens": [len(x) // 4 for x in found]})
