@@ -17,19 +17,23 @@ import re
 
 import numpy as np
 
+from tablegate.llm.common import SPACES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker keeps two generations of units, each of this size at most: when the young one is
 #: full it becomes the old one, and units met again move back.  Longer units are not kept.
-UNITS_KEPT, UNIT_LENGTH = 250_000, 48
-CLOSING = ".,;:!?"
+UNITS_KEPT, UNIT_LENGTH = 400_000, 48
+CLOSING = ".,;:!?#$%&*"
+#: Other ASCII white space: such texts are cut by the pattern, others at their spaces and line ends.
+RARE = "\t\x0b\x0c\r"
+SPACE = "\u0120"  # as byte-level vocabularies spell it
 PORTION = 4096
 JOINED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 APART = re.compile(r"[^ \t-\r]+")
 #: White space (and the like) outside ASCII: texts that hold any are not cut.
 ODD = [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029,
        0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]
-ODD_SPACE = re.compile("[" + "".join(map(chr, ODD)) + "]")
 
 _open: dict = {}
 
@@ -41,8 +45,13 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.pattern = JOINED if joined else APART
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        parts = [re.escape(s) for s in specials] + ([ODD_SPACE.pattern] if joined else [])
-        self.whole = re.compile("|".join(parts)) if parts else None
+        #: Texts that hold any of these are not cut.
+        self.apart = specials + (list(map(chr, ODD)) if joined else [])
+        self.opens = None
+        if joined:  # ids of the tokens that begin with a space
+            vocabulary = self.library.get_vocab()
+            self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -51,35 +60,69 @@ class Encoder:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for low in range(0, len(texts), PORTION)
                 for e in self.library.encode_batch_fast(texts[low:low + PORTION], add_special_tokens=False)]
 
+    def unit_ids(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit.  Those of a space and a word are encoded end to end: their only space
+        stands first, so the ids of one reach from a token that begins with a space to the next."""
+        if self.opens is None:
+            return self.library_ids(units)
+        out: dict[str, bytes] = {}
+        spaced = [u for u in units if u[0] == " " and u[1:2] not in SPACES]
+        for low in range(0, len(spaced), PORTION):
+            part = spaced[low:low + PORTION]
+            ids = self.library_ids(["".join(part)])[0]
+            starts = np.nonzero(self.opens[np.frombuffer(ids, dtype="<u4")])[0] * 4
+            if len(starts) == len(part):
+                ends = [*starts[1:].tolist(), len(ids)]
+                out.update(zip(part, [ids[a:b] for a, b in zip(starts.tolist(), ends)]))
+        rest = [u for u in units if u not in out]
+        out.update(zip(rest, self.library_ids(rest)))
+        return [out[u] for u in units]
+
+    def keys(self, text: str) -> list[str]:
+        """A text's units as they are kept: without the space before a word, a space before
+        all others but those that begin with a line end."""
+        if any(p in text for p in RARE):
+            return [u[1:] if u[0] == " " and u[1:2] not in SPACES else u if u[0] == "\n" else " " + u
+                    for u in self.pattern.findall(text)]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[:1] = [" " + keys[0]] if keys[0] else []
+        if "" in keys or "\n" in keys:  # white space next to white space, or at the end
+            return [u[1:] if u[0] == " " and u[1:2] not in SPACES else u if u[0] == "\n" else " " + u
+                    for u in self.pattern.findall(text)]
+        return keys
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [None if self.whole and self.whole.search(t) else self.pattern.findall(t) for t in texts]
+        keys_of, mark = (self.pattern.findall, "") if self.opens is None else (self.keys, " ")
+        cut = [None if any(p in t for p in self.apart) else keys_of(t) for t in texts]
         if len(self.known) > UNITS_KEPT:
             self.known, self.old = {}, self.known
         known, old = self.known, self.old
-        new = {u for units in cut if units is not None for u in units if u not in known}
+        met: set[str] = set()
+        for units in cut:
+            met.update(units or ())
+        new = met.difference(known)
         extra: dict[str, bytes] = {}
         if new:
-            # A closing mark after a letter or digit begins a token of its own: most stems are known.
-            stems = {u: u.rstrip(CLOSING) for u in new}
-            stems = {u: s for u, s in stems.items() if len(s) < len(u) <= UNIT_LENGTH and s[-1:].isascii() and s[-1:].isalnum()}
+            # A closing mark after a Latin letter or digit begins a token of its own: most stems are known.
+            stems = {u: s for u in new if u[-1] in CLOSING and len(u) <= UNIT_LENGTH
+                     and (s := u.rstrip(CLOSING))[-1:].isalnum() and s[-1] < "\u0100"}
             new.difference_update(stems)
             for u, s in stems.items():
-                new.update(x for x in (s, u[len(s):]) if x not in known)
-            again = [u for u in new if u in old]
+                new.update(x for x in (s, mark + u[len(s):]) if x not in known)
+            again = new.intersection(old)
             known.update(zip(again, map(old.__getitem__, again)))
             new = list(new.difference(again))
-            for unit, found in zip(new, self.library_ids(new)):
+            spelt = new if self.opens is None else [
+                u[1:] if u[0] == " " else u if u[0] == "\n" else " " + u for u in new]
+            for unit, found in zip(new, self.unit_ids(spelt)):
                 (known if len(unit) <= UNIT_LENGTH else extra)[unit] = found
-            known.update((u, known[s] + known[u[len(s):]]) for u, s in stems.items())
-        out = []
-        for text, units in zip(texts, cut):
-            if units is None:
-                out.append(self.library_ids([text])[0])
-            elif extra:
-                out.append(b"".join([known[u] if u in known else extra[u] for u in units]))
-            else:
-                out.append(b"".join(map(known.__getitem__, units)))
+            known.update((u, known[s] + known[mark + u[len(s):]]) for u, s in stems.items())
+        known.update(extra)  # for this call
+        out = [self.library_ids([text])[0] if units is None else b"".join(map(known.__getitem__, units))
+               for text, units in zip(texts, cut)]
+        for unit in extra:
+            del known[unit]
         return out
 
 

@@ -155,7 +155,7 @@ def test_token_counts_and_cache(spark, docs, rows, empty, tmp_path):
 def test_ids_equal_the_library():
     rnd = random.Random(9)
     parts = ["a", "Bé", " ", "  ", "\n", "\t", "\xa0", " ", "'s", "!", "..", "3", "字", "<|endoftext|>", "<|startoftext|>",
-             "é", "Σ", "\x1c", "ſ", "word", ",", "̸", "İ"]
+             "é", "Σ", "\x1c", "ſ", "word", ",", "̸", "İ", "$%&", "é#", "²", "ª", "x" * 60]
     odd = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)]
     for path, joined in ((BYTES, True), (WORDS, False)):
         encoder = bpe.Encoder(path, joined)
