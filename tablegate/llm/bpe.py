@@ -23,7 +23,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: A worker keeps two generations of units, each of this size at most: when the young one is
 #: full it becomes the old one, and units met again move back.  Longer units are not kept.
-UNITS_KEPT, UNIT_LENGTH = 400_000, 48
+UNITS_KEPT, UNIT_LENGTH = 125_000, 48
 CLOSING = ".,;:!?#$%&*"
 #: Other ASCII white space: such texts are cut by the pattern, others at their spaces and line ends.
 RARE = "\t\x0b\x0c\r"

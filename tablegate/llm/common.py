@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +105,4 @@ def slices(frames: Iterator[pd.DataFrame], column: str = "text", size: int = 8 <
             stop = max(int(ends.searchsorted(base + size, "right")), start + 1)
             yield frame.iloc[start:stop]
             start, base = stop, int(ends[stop - 1])
+        pa.default_memory_pool().release_unused()  # workers live on, and what they hold adds up

@@ -32,7 +32,7 @@ from tablegate.llm.common import TAG, slices, whole
 
 WINDOW = 10
 #: Bytes of benchmark text in a block, characters of training text in a shard.
-BLOCK, SHARD = 32 << 20, 6 << 20
+BLOCK, SHARD = 32 << 20, 3 << 20
 _WORDS = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
                else 32 for c in range(256))
 
