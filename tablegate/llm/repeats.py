@@ -18,7 +18,7 @@ adaptive execution can split them.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -215,6 +215,12 @@ def lists_of(removed: DataFrame) -> DataFrame:
     return stored(removed.groupBy("doc_id", "tag").agg(F.expr(f"collect_list(struct({RUN}))").alias("spans")))
 
 
+def joined_lists(*lists: DataFrame) -> DataFrame:
+    """The lists of each document put together, stored."""
+    rows = reduce(DataFrame.unionByName, lists)
+    return stored(rows.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
 def with_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """Keyed documents with ``spans``, null where nothing goes."""
     return docs.join(lists, same_document(docs, lists), "left").select(docs["doc_id"], docs["tag"], "text", "spans")
