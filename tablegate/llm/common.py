@@ -73,7 +73,7 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, **options: str) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back.
 
     Cuts the lineage: a lost executor costs the tasks that read it, nothing before them.
@@ -81,7 +81,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tablegate/{uuid.uuid4().hex}"
     with shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

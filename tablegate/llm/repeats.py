@@ -148,14 +148,15 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
     # Stored on its own: a join of two plain shuffles can be split where an anchor is hot.
     twice = stored(occurrences(docs, kind, placed=False).groupBy("anchor").agg(F.count("*").alias("times"))
                    .where("times > 1").select("anchor"))
-    rows = stored(occurrences(docs, kind).join(twice, "anchor", "left_semi"))
+    rows = stored(occurrences(docs, kind).join(twice, "anchor", "left_semi"), compression="zstd")
     discard(twice)
     return rows
 
 
 def first_places(rows: DataFrame) -> DataFrame:
     """``anchor, content, first`` (id, tag, place) of each distinct run, stored."""
-    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first")))
+    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first")),
+                  compression="zstd")
 
 
 def covered(rows: DataFrame, firsts: DataFrame) -> DataFrame:
