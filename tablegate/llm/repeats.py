@@ -212,8 +212,8 @@ def later_windows(docs: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
 
 
 def lists_of(removed: DataFrame) -> DataFrame:
-    """A document's removed windows in one row (``spans``: start, n), stored."""
-    return stored(removed.groupBy("doc_id", "tag").agg(F.expr(f"collect_list(struct({RUN}))").alias("spans")))
+    """A document's removed windows in one row (``spans``: places, 8 bytes each), stored."""
+    return stored(removed.groupBy("doc_id", "tag").agg(F.collect_list("place").alias("spans")))
 
 
 def joined_lists(*lists: DataFrame) -> DataFrame:
@@ -231,8 +231,7 @@ def mask(spans, units: int, size: int) -> np.ndarray:
     """Which units lie in a removed window."""
     edge = np.zeros(units + 1, dtype=np.int64)
     if spans is not None and len(spans):
-        start = np.array([s["start"] for s in spans], dtype=np.int64)
-        n = np.array([s["n"] for s in spans], dtype=np.int64)
+        start, n = np.divmod(np.asarray(spans, dtype=np.int64), PLACES)
         np.add.at(edge, start, 1)
         np.add.at(edge, start + n + size - 1, -1)
     return np.cumsum(edge[:-1]) > 0
