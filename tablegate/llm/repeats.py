@@ -154,16 +154,17 @@ def repeated_runs(docs: DataFrame, kind: Kind) -> DataFrame:
 
 
 def first_places(rows: DataFrame) -> DataFrame:
-    """``anchor, content, first`` (id, tag, place) of each distinct run, stored."""
-    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first")),
-                  compression="zstd")
+    """``anchor, content, first`` (id, tag, place), ``times`` of each distinct run, stored."""
+    return stored(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tag", "place")).alias("first"),
+                                                        F.count("*").alias("times")), compression="zstd")
 
 
 def covered(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """``doc_id, tag, place``: runs that occur earlier as a whole."""
+    """``doc_id, tag, place``: runs that occur earlier as a whole, stored."""
     place = F.struct("doc_id", "tag", "place")
-    return rows.join(firsts, ["anchor", "content"]).where(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "tag", "place")
+    repeated = firsts.where("times > 1").select("anchor", "content", "first")
+    return stored(rows.join(repeated, ["anchor", "content"]).where(~place.eqNullSafe(F.col("first"))).select(
+        "doc_id", "tag", "place"), compression="zstd")
 
 
 def variants(firsts: DataFrame) -> DataFrame:

@@ -54,7 +54,9 @@ def substring_dedup(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> Data
     docs = keyed(docs)
     rows = repeats.repeated_runs(docs, kind)
     firsts = repeats.first_places(rows)
+    whole = repeats.covered(rows, firsts)
+    discard(rows)
     later = repeats.later_windows(docs, repeats.variants(firsts), kind)
-    lists = repeats.lists_of(repeats.covered(rows, firsts).unionByName(later))
-    discard(rows, firsts, later)
+    lists = repeats.lists_of(whole.unionByName(later))
+    discard(whole, firsts, later)
     return repeats.with_spans(docs, lists).mapInPandas(partial(_cleaned, size=size), SCHEMA)
