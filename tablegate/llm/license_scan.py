@@ -1,7 +1,7 @@
 """Licence scan by conditional compression.
 
 1. Candidate blocks of a whole text are its paragraphs (runs of lines without an empty one
-   between) and lines with a licence cue.
+   between) that hold a licence cue, with all their lines; a cue may go over a line's end.
 2. Every block is compressed alone and with each template as a raw zstandard dictionary.
    What a dictionary saves ranks the templates (the share of the block's own size).
 3. The winners are confirmed in rank order by exact wording: the words of the template have to
@@ -55,7 +55,8 @@ TEMPLATES = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla 2.0"),
 }
 CUE = re.compile(
-    "licen[cs]e|copyright|public domain|spdx|permission is hereby|redistribution and use|creative commons", re.I)
+    r"licen[cs]e|copyright|public\W+domain|spdx|permission\W+is\W+hereby|redistribution\W+and\W+use|creative\W+commons",
+    re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 MAX_DIFFERENCE, TRIED, BLOCK, OVERLAP = 0.2, 4, 20_000, 2_000
 SCHEMA = ("doc_id long, block int, start long, end long, license string, saved double, "
@@ -108,15 +109,15 @@ class Scanner:
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """Places of candidate blocks: the cued lines of a paragraph with the lines between them."""
-    at, begin, end = 0, None, None
+    """Places of candidate blocks: whole paragraphs with a cue, the long ones in pieces."""
+    at, begin, end = 0, None, 0
     for line in [*text.split("\n"), ""]:
-        cued = CUE.search(line) is not None
-        if cued:
+        if line.strip():
             begin, end = (at if begin is None else begin), at + len(line)
-        if not line.strip() and begin is not None or at + len(line) >= len(text) and begin is not None:
-            for low in range(begin, max(end - OVERLAP, begin + 1), BLOCK - OVERLAP):
-                yield low, min(low + BLOCK, end)
+        elif begin is not None:
+            if CUE.search(text, begin, end):
+                for low in range(begin, max(end - OVERLAP, begin + 1), BLOCK - OVERLAP):
+                    yield low, min(low + BLOCK, end)
             begin = None
         at += len(line) + 1
 

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -219,6 +220,28 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def licenses(text):
+    """Rows of one text without Spark: places and licences."""
+    frame = next(license_scan._scan(iter([pd.DataFrame({"doc_id": [1], "text": [text]})])))
+    return [(r.start, r.end, r.license) for r in frame.itertuples() if isinstance(r.license, str)]
+
+
+@pytest.mark.parametrize("name, notice", [
+    ("BSD", "Redistribution and use in source and binary forms, with or without\n modification, are permitted provided "
+            "that the following conditions\n are met:"),
+    ("BSD", "# Redistribution\n# and use in source and binary forms, with or without modification,\n# are permitted "
+            "provided that the following conditions are met"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."),
+    ("MIT", "Released under\nthe MIT\nLicense"),
+    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and "
+                 "associated documentation files (the \"Software\"),\nto deal in the Software without restriction"),
+    ("GPL-3.0", "This work is\nlicensed under the GNU General Public\nLicense,\nversion 3")])
+def test_wrapped_notices(name, notice):
+    assert [x[2] for x in licenses(notice)] == [name]
+    assert [x[2] for x in licenses(f"Some text.\n\n{notice}\n \nmore text")] == [name]
+    assert list(license_scan.blocks(f"a\n\n{notice}\nb\n\nc")) == [(3, len(notice) + 5)]
+
+
 def test_classifier(spark, docs, empty):
     rnd = random.Random(1)
     prose = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + rnd.choice(["", ".\n"]) for _ in range(80))
