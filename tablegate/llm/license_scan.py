@@ -2,10 +2,11 @@
 
 1. Candidate blocks of a whole text are its paragraphs (runs of lines without an empty one
    between) that hold a licence cue, with all their lines; a cue may go over a line's end.
-2. Every block is compressed alone and with each template as a raw zstandard dictionary.
-   What a dictionary saves ranks the templates (the share of the block's own size).
-3. The winners are confirmed in rank order by exact wording: the words of the template have to
-   stand in the block, in order, with at most ``MAX_DIFFERENCE`` of them missing, and none of
+2. Every block is compressed in overlapping pieces of about the templates' size, alone and with
+   each template as a raw zstandard dictionary.  The most that a dictionary saves of a piece
+   (the share of its own size) ranks the templates; it rules none out.
+3. All templates whose telling words stand in the block are confirmed in rank order by exact
+   wording: the words of the template have to stand in the block, in order, with at most ``MAX_DIFFERENCE`` of them missing, and none of
    the words that tell it from its relatives (names, version numbers).  The confirmed template
    with the fewest differing words wins; ties go by rank, then by name.
 
@@ -59,6 +60,9 @@ CUE = re.compile(
     re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 MAX_DIFFERENCE, TRIED, BLOCK, OVERLAP = 0.2, 4, 20_000, 2_000
+#: Characters of a compressed piece; every second one starts in the middle of another, so that a notice of
+#: half the size lies whole in one.
+PIECE = 512
 SCHEMA = ("doc_id long, block int, start long, end long, license string, saved double, "
           "missing int, extra int")
 
@@ -76,10 +80,14 @@ class Scanner:
             for name, (text, key) in templates.items()}
 
     def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Share of the block's compressed size that each template saves, best first."""
-        data = block.encode("utf-8", "surrogatepass")
-        size = len(self.alone.compress(data))
-        return sorted(((len(c.compress(data)) / size - 1, n) for n, (c, _, _) in self.given.items()))
+        """Share of a piece's compressed size that each template saves at most, best first."""
+        best = dict.fromkeys(self.given, np.inf)
+        for at in range(0, max(len(block) - PIECE // 2, 1), PIECE // 2):
+            data = block[at:at + PIECE].encode("utf-8", "surrogatepass")
+            size = len(self.alone.compress(data))
+            for name, (compressor, _, _) in self.given.items():
+                best[name] = min(best[name], len(compressor.compress(data)) / size - 1)
+        return sorted((saved, name) for name, saved in best.items())
 
     def differences(self, block: list[str], name: str) -> tuple[int, int] | None:
         """Words of the template that are missing and words put between, or None if it isn't this one."""
@@ -95,8 +103,7 @@ class Scanner:
 
     def license(self, block: str) -> tuple[str, float, int, int] | None:
         words, confirmed = words_of(block), []
-        ranked = [(saved, name) for saved, name in self.ranked(block) if saved < 0]
-        for rank, (saved, name) in enumerate(ranked):
+        for rank, (saved, name) in enumerate(self.ranked(block)):
             if rank >= TRIED and confirmed:
                 break
             found = self.differences(words, name)

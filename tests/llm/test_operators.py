@@ -242,6 +242,16 @@ def test_wrapped_notices(name, notice):
     assert list(license_scan.blocks(f"a\n\n{notice}\nb\n\nc")) == [(3, len(notice) + 5)]
 
 
+@pytest.mark.parametrize("name", ["MIT", "CC-BY-4.0", "Apache-2.0", "GPL-3.0", "MIT-text", "BSD"])
+def test_notices_in_long_lines(name):
+    rnd = random.Random(8)
+    known = ["".join(rnd.choice("abcdefghilmnorstu") for _ in range(rnd.randint(2, 9))) for _ in range(600)]
+    for size in (700, 5_000, 10_000, 17_000, 17_000):
+        words = [known[int(600 * rnd.random() ** 2)] for _ in range(size // 6)]
+        words.insert(rnd.randrange(len(words)), license_scan.TEMPLATES[name][0] + ".")
+        assert [x[2] for x in licenses(" ".join(words))] == [name]
+
+
 def test_classifier(spark, docs, empty):
     rnd = random.Random(1)
     prose = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + rnd.choice(["", ".\n"]) for _ in range(80))
