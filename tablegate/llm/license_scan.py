@@ -5,23 +5,29 @@
 2. Every block is compressed in overlapping pieces of about the templates' size, alone and with
    each template as a raw zstandard dictionary.  The most that a dictionary saves of a piece
    (the share of its own size) ranks the templates; it rules none out.
-3. All templates whose telling words stand in the block are confirmed in rank order by exact
-   wording: the words of the template have to stand in the block, in order, with at most ``MAX_DIFFERENCE`` of them missing, and none of
-   the words that tell it from its relatives (names, version numbers).  The confirmed template
-   with the fewest differing words wins; ties go by rank, then by name.
+3. Every template whose telling words (names, version numbers: what tells it from its relatives)
+   stand in the block is looked for by exact wording: a match is a shortest run of words that
+   holds the template's words in order, with at most ``MAX_DIFFERENCE`` of them missing, and all
+   its telling words.  Words between are counted (``extra``), not bounded.
+4. A block has a row per match, in the order of fewest differing words, then of the longer
+   template, the rank and the name.  A match gives way to an earlier one with whose telling
+   words it shares a place, if it lies inside that one, misses a word, or has the same telling
+   words; and to an earlier one of its own template that it overlaps.
 
 Every document is scanned where it lies; nothing is shuffled.
 
 Defined cases: a null or empty text has no blocks; repeated rows are scanned each; a block
-longer than ``BLOCK`` characters is cut there into overlapping pieces that are all scanned;
-an empty table gives an empty result; extra columns are ignored.
+longer than ``BLOCK`` characters is cut there into overlapping pieces that are all scanned (and
+the matches of two pieces chosen from alike); an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -59,7 +65,7 @@ CUE = re.compile(
     r"licen[cs]e|copyright|public\W+domain|spdx|permission\W+is\W+hereby|redistribution\W+and\W+use|creative\W+commons",
     re.I)
 WORD = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
-MAX_DIFFERENCE, TRIED, BLOCK, OVERLAP = 0.2, 4, 20_000, 2_000
+MAX_DIFFERENCE, BLOCK, OVERLAP = 0.2, 20_000, 2_000
 #: Characters of a compressed piece; every second one starts in the middle of another, so that a notice of
 #: half the size lies whole in one.
 PIECE = 512
@@ -67,52 +73,121 @@ SCHEMA = ("doc_id long, block int, start long, end long, license string, saved d
           "missing int, extra int")
 
 
+class Match(NamedTuple):
+    """In the order of choice; ``told`` has the places of the telling words, all places are of the text."""
+    differing: int
+    shorter: int
+    rank: int
+    start: int
+    end: int
+    license: str
+    block: int
+    saved: float
+    missing: int
+    extra: int
+    told: frozenset[int]
+    key: frozenset[str]
+
+    def yields(self, other: Match) -> bool:
+        """Whether this is no notice of its own beside one that was chosen earlier."""
+        if self.license == other.license:
+            return self.start < other.end and other.start < self.end
+        inside = other.start <= self.start and self.end <= other.end
+        return bool(self.told & other.told) and (self.missing > 0 or inside or self.key == other.key)
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
 
+def shortest(block: list[str], wanted: list[str]) -> Iterator[tuple[int, int, int]]:
+    """Shortest runs of words with the wanted ones in order: first and last place, words missing.
+
+    ``latest[i][m]`` is the latest start of a run with the first ``i`` words, ``m`` of them missing;
+    a run that starts no later than an earlier one with as many missing holds that one.
+    """
+    n, most = len(wanted), int(MAX_DIFFERENCE * len(wanted))
+    places: dict[str, list[int]] = {}
+    for i in reversed(range(n)):
+        places.setdefault(wanted[i], []).append(i)
+    latest = [[-1] * (most + 1) for _ in range(n + 1)]
+    for at, word in enumerate(block):
+        for i in places.get(word, ()):
+            for m in range(most + 1):
+                start = at if m == i else latest[i][m]
+                for skipped in range(min(most - m, n - i - 1) + 1) if start >= 0 else ():
+                    row, k = latest[i + 1 + skipped], m + skipped
+                    if start > row[k]:
+                        row[k] = start
+                        if i + 1 + skipped == n:
+                            yield start, at, k
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, str]] = TEMPLATES):
         self.alone = zstandard.ZstdCompressor(level=9)
         self.given = {
             name: (zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(
-                text.encode() + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)), words_of(text), set(key.split()))
+                text.encode() + b"\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)), words_of(text), frozenset(key.split()))
             for name, (text, key) in templates.items()}
 
-    def ranked(self, block: str) -> list[tuple[float, str]]:
-        """Share of a piece's compressed size that each template saves at most, best first."""
-        best = dict.fromkeys(self.given, np.inf)
+    def savings(self, block: str) -> dict[str, list[float]]:
+        """Share of each piece's compressed size that each template saves."""
+        saved: dict[str, list[float]] = {name: [] for name in self.given}
         for at in range(0, max(len(block) - PIECE // 2, 1), PIECE // 2):
             data = block[at:at + PIECE].encode("utf-8", "surrogatepass")
             size = len(self.alone.compress(data))
             for name, (compressor, _, _) in self.given.items():
-                best[name] = min(best[name], len(compressor.compress(data)) / size - 1)
-        return sorted((saved, name) for name, saved in best.items())
+                saved[name].append(1 - len(compressor.compress(data)) / size)
+        return saved
 
-    def differences(self, block: list[str], name: str) -> tuple[int, int] | None:
-        """Words of the template that are missing and words put between, or None if it isn't this one."""
+    def runs(self, block: list[str], name: str) -> Iterator[tuple[int, int, int, int, frozenset[int]]]:
+        """Matches of a template: first and last word, words missing and between, places of telling words."""
         _, wanted, key = self.given[name]
-        if not key <= set(block):
-            return None
-        parts = [m for m in SequenceMatcher(None, block, wanted, autojunk=False).get_matching_blocks() if m.size]
-        found = sum(m.size for m in parts)
-        if len(wanted) - found > MAX_DIFFERENCE * len(wanted):
-            return None
-        inside = parts[-1].a + parts[-1].size - parts[0].a
-        return len(wanted) - found, inside - found
-
-    def license(self, block: str) -> tuple[str, float, int, int] | None:
-        words, confirmed = words_of(block), []
-        for rank, (saved, name) in enumerate(self.ranked(block)):
-            if rank >= TRIED and confirmed:
-                break
-            found = self.differences(words, name)
-            if found is not None:
-                confirmed.append((sum(found), -len(self.given[name][1]), rank, name, saved, *found))
-        if not confirmed:
-            return None
-        _, _, _, name, saved, missing, extra = min(confirmed)
-        return name, -saved, missing, extra
+        told = {w: [i for i, x in enumerate(block) if x == w] for w in key}
+        if not all(told.values()):
+            return
+        for first, last, missing in shortest(block, wanted):
+            for places in told.values():  # one out of order is taken from nearby
+                k = bisect_left(places, first)
+                if k == len(places) or places[k] > last:
+                    near = min(places[max(k - 1, 0):k + 1], key=lambda i: max(first - i, i - last))
+                    first, last = min(first, near), max(last, near)
+            inside = frozenset(i for places in told.values()
+                               for i in places[bisect_left(places, first):bisect_right(places, last)])
+            yield first, last, missing, last - first + 1 - (len(wanted) - missing), inside
+
+    def matches(self, text: str, low: int, high: int, block: int) -> Iterator[Match]:
+        """All matches of all templates in a block."""
+        found, saved = list(WORD.finditer(text, low, high)), self.savings(text[low:high])
+        if found and found[0].start() == low > 0 and WORD.match(text[low - 1]):
+            del found[0]  # the rest of a word
+        if found and found[-1].end() == high and WORD.match(text[high:high + 1]):
+            del found[-1]
+        words = [w[0].lower() for w in found]
+        ranked = sorted((-max(shares), name) for name, shares in saved.items())
+        for rank, (_, name) in enumerate(ranked):
+            _, wanted, key = self.given[name]
+            for first, last, missing, extra, told in self.runs(words, name):
+                start, end = found[first].start(), found[last].end()
+                step = PIECE // 2
+                shares = saved[name][max((start - low) // step - 1, 0):(end - 1 - low) // step + 1]
+                yield Match(missing + extra, -len(wanted), rank, start, end, name, block, max(shares), missing, extra,
+                            frozenset(found[i].start() for i in told), key)
+
+    def notices(self, text: str) -> Iterator[tuple]:
+        """Rows of a text without its key: block, start, end, license, saved, missing, extra."""
+        held: list[Match] = []  # chosen, and not yet given out
+        for block, (low, high) in enumerate(blocks(text)):
+            yield from (m[6:7] + m[3:6] + m[7:10] for m in held if m.end <= low)
+            kept: list[Match] = []
+            for new in sorted([*(m for m in held if m.end > low), *self.matches(text, low, high, block)]):
+                if not any(new.yields(m) for m in kept):
+                    kept.append(new)
+            held = sorted(kept, key=lambda m: m.start)
+            if not held:
+                yield block, low, high, None, 0.0, 0, 0
+        yield from (m[6:7] + m[3:6] + m[7:10] for m in held)
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -134,19 +209,15 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in slices(frames):
         rows = []
         for doc, text in zip(frame["doc_id"], frame["text"]):
-            number = 0
-            for start, end in blocks(text) if CUE.search(text) else ():
-                found = scanner.license(text[start:end]) or (None, 0.0, 0, 0)
-                rows.append((doc, number, start, end, *found))
-                number += 1
-            if not number:
-                rows.append((doc, None, None, None, None, None, None, None))
+            found = list(scanner.notices(text)) if CUE.search(text) else []
+            rows += [(doc, *row) for row in found or [(None,) * 7]]
         out = pd.DataFrame(rows, columns=["doc_id", "block", "start", "end", "license", "saved", "missing", "extra"])
         whole_numbers = ["doc_id", "block", "start", "end", "missing", "extra"]
         yield out.astype(dict.fromkeys(whole_numbers, "Int64") | {"saved": "Float64", "license": object})
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """A row per candidate block (places in characters), and one with null ``block`` for a
-    document without any; ``license`` is null where no template is confirmed."""
+    """A row per notice with its own place (in characters); one with the block's place and null
+    ``license`` per candidate block in which no template is confirmed; and one with null ``block``
+    for a document without any."""
     return docs.select("doc_id", whole().alias("text")).mapInPandas(_scan, SCHEMA)

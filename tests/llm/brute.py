@@ -49,6 +49,22 @@ def op1(rows):
     return sorted(out)
 
 
+def op2(paragraph, templates):
+    """Templates whose telling words are in the paragraph and four fifths of whose words are, in order."""
+    word = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
+    have, out = word.findall(paragraph.lower()), set()
+    for name, (text, key) in templates.items():
+        want = word.findall(text.lower())
+        best = [0] * (len(want) + 1)  # longest common subsequence
+        for x in have:
+            old = best[:]
+            for k, w in enumerate(want):
+                best[k + 1] = old[k] + 1 if w == x else max(old[k + 1], best[k])
+        if set(key.split()) <= set(have) and best[-1] >= 0.8 * len(want) - 1e-9:
+            out.add(name)
+    return out
+
+
 def op9(rows):
     texts = [SPACED.findall(t or "") for _, t in rows]
     out = []

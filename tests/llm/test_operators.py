@@ -252,6 +252,46 @@ def test_notices_in_long_lines(name):
         assert [x[2] for x in licenses(" ".join(words))] == [name]
 
 
+def test_every_notice_of_a_block_is_a_row():
+    text = "Released under the MIT License.\nLicensed under CC BY 4.0."
+    assert licenses(text) == [(0, 30, "MIT"), (32, 56, "CC-BY-4.0")]
+    notices = [(name, t) for name, (t, _) in license_scan.TEMPLATES.items()] * 2
+    random.Random(3).shuffle(notices)
+    for gap in (" x\n", "\n" + "prose without a notice\n" * 40):  # one block, and pieces of one
+        text, want = "", []
+        for name, notice in notices:
+            want.append((len(text), len(text) + len(notice), name))
+            text += notice + gap
+        assert licenses(text) == want
+    assert [x[2] for x in licenses("Dual licensed under the MIT License and CC BY 4.0")] == ["CC-BY-4.0", "MIT"]
+    assert [x[2] for x in licenses("Dual licensed under CC BY 4.0 and the MIT License")] == ["CC-BY-4.0", "MIT"]
+    for cut in range(17_900, 20_100, 37):  # across the pieces of a long paragraph
+        text = "w " * (cut // 2) + license_scan.TEMPLATES["Apache-2.0-header"][0] + " w" * 6000
+        assert [x[2] for x in licenses(text)] == ["Apache-2.0-header"]
+
+
+def test_license_scan_equals_a_plain_version():
+    rnd = random.Random(11)
+    terms = [*license_scan.TEMPLATES.items()]
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(1, 4)):
+            words = rnd.choice(terms)[1][0].split()
+            for _ in range(rnd.randint(0, 3)):
+                k = rnd.randrange(len(words))
+                words[k:k + rnd.randint(0, 1)] = [rnd.choice(["odd", "the", "License", words[k]])] * rnd.randint(0, 1)
+            parts.append(" ".join(words))
+            parts.append(rnd.choice(["\n", " ", "\n\n", ". text of the version\n"]))
+        text = "".join(parts)
+        for paragraph in text.split("\n\n"):
+            found = {x[2] for x in licenses(paragraph)}
+            fits = brute.op2(paragraph, license_scan.TEMPLATES)
+            relatives = {n: frozenset(license_scan.TEMPLATES[n][1].split()) for n in fits}
+            assert found <= fits and bool(found) == bool(fits and license_scan.CUE.search(paragraph))
+            for name in fits - found if found else ():  # given up for a relative only
+                assert any(relatives[name] & relatives[x] for x in found), (name, found, paragraph)
+
+
 def test_classifier(spark, docs, empty):
     rnd = random.Random(1)
     prose = lambda: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta"]) + rnd.choice(["", ".\n"]) for _ in range(80))
