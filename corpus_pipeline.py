@@ -21,8 +21,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites go; ``n_chars`` follows the text."""
-    out = line_dedup.line_dedup(docs)
+    """Lines that stand on many sites in different texts go; ``n_chars`` follows the text.
+
+    Exact copies count once here: the next stage keeps one document of them.
+    """
+    out = line_dedup.line_dedup(docs, distinct_texts=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -8,6 +8,11 @@ Native: DataFrame functions only.
    the margin (five standard errors, and one site at least) get an exact distinct count.
 3. Lines on ``min_sites`` sites or more are boilerplate: all their occurrences go.
 
+With ``distinct_texts`` rows of one text count with the smallest of their sites only, so that a
+whole document copied to many sites keeps its lines (its copies are left to near-copy removal).
+Copies can only add sites: the sketches over all rows then tell which lines come into question,
+and all of these get an exact count, over one row per line and text.
+
 Lines travel as hashes (64 + 32 bits); texts are joined once with the removed positions.
 A hot line is one sketch per map task after the partial aggregation; a hot site is one value.
 
@@ -38,13 +43,19 @@ def _lines(docs: DataFrame) -> DataFrame:
             .select("doc_id", TAG, "site", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g")))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, distinct_texts: bool = False) -> DataFrame:
     """Hashes of the lines on ``min_sites`` sites or more."""
     margin = max(1.0, 5 * ERROR * min_sites)
     # Few lines are left; stored, so that the joins with them are of plain shuffles, which split.
     sketched = stored(lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", LOG_K).alias("sketch"))
                       .select("h", "g", F.hll_sketch_estimate("sketch").alias("sites"))
                       .where(F.col("sites") >= min_sites - margin))
+    if distinct_texts:
+        # Stored, so that a hot line's rows are dealt by line and text, not by line as in the join.
+        found = stored(lines.join(sketched, ["h", "g"], "left_semi").select("h", "g", TAG, "site"))
+        once = found.groupBy("h", "g", TAG).agg(F.min("site").alias("site")).select("h", "g", "site").distinct()
+        return stored(once.groupBy("h", "g").agg(F.count("site").alias("sites"))
+                      .where(F.col("sites") >= min_sites).select("h", "g"))
     sure = sketched.where(F.col("sites") > min_sites + margin).select("h", "g")
     near = sketched.where(F.col("sites") <= min_sites + margin).select("h", "g")
     exact = (lines.join(near, ["h", "g"], "left_semi").select("h", "g", "site").distinct()
@@ -61,15 +72,16 @@ def _without(text: Column, removed: Column) -> Column:
     return let(F.split(text, "\n", -1), keep)
 
 
-def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False,
+               distinct_texts: bool = False) -> DataFrame:
     """The documents, their columns and all rows, with cleaned ``text``.
 
-    ``counts`` adds ``n_lines`` (lines with a word) and ``n_removed``.
+    ``distinct_texts`` lets exact copies count as one document; ``counts`` adds ``n_lines`` (lines with a word) and ``n_removed``.
     """
     columns = docs.columns
     tagged = docs.withColumn(TAG, F.xxhash64("text"))
     lines = stored(_lines(tagged))  # hashes and places; read three times
-    removed = (lines.join(boilerplate(lines, min_sites), ["h", "g"], "left_semi")
+    removed = (lines.join(boilerplate(lines, min_sites, distinct_texts), ["h", "g"], "left_semi")
                .groupBy("doc_id", TAG).agg(F.collect_set("pos").alias("removed"))
                .select(F.col("doc_id").alias("__tablegate_id"), F.col(TAG).alias("__tablegate_of"),
                        F.col("removed").alias("__tablegate_removed")))

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import xxhash
+from pyspark.sql import Row
 from tokenizers import Tokenizer
 
 SPACED = re.compile("[^\x20\x09-\x0D]+")
@@ -65,6 +66,20 @@ def op2(paragraph, templates):
     return out
 
 
+def op3(rows, least):
+    """Cleaned texts, where rows of one text count with the smallest of their sites."""
+    smallest, sites = {}, defaultdict(set)
+    for r in rows:
+        if r.text is not None and r.source is not None:
+            smallest[r.text] = min(r.source, smallest.get(r.text, r.source))
+    for text, site in smallest.items():
+        for line in text.split("\n"):
+            sites[line.strip(" \t\n\x0b\x0c\r")].add(site)
+    gone = {line for line, found in sites.items() if line and len(found) >= least}
+    return [Row(doc_id=r.doc_id, text=None if r.text is None else "\n".join(
+        x for x in r.text.split("\n") if x.strip(" \t\n\x0b\x0c\r") not in gone)) for r in rows]
+
+
 def op9(rows):
     texts = [SPACED.findall(t or "") for _, t in rows]
     out = []

@@ -220,6 +220,19 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.license_scan(empty).count() == 0
 
 
+def test_lines_of_whole_copies_stay(spark, docs):
+    copied = "First line of a copied page.\nshared line\nLast line of it."
+    rows = [(i, copied, f"c{i}", "x", 1, 0.5, 3) for i in range(2000, 2015)]
+    rows += [(i, f"Body {i % 12}\nshared line", f"s{i % 12}" if i % 5 else None, "x", 1, 0.5, 3) for i in range(3000, 3040)]
+    frame = docs.unionByName(spark.createDataFrame(rows, SCHEMA))
+    kept = {r.doc_id: r.text for r in corpus_pipeline.lines(spark, frame, "").collect()}
+    assert {kept[i] for i in range(2000, 2015)} == {"First line of a copied page.\nLast line of it."}
+    assert all(kept[i] == f"Body {i % 12}" for i in range(3000, 3040))
+    for least in (4, 10, 12, 13):
+        out = line_dedup.line_dedup(frame, least, distinct_texts=True).select("doc_id", "text").collect()
+        assert sorted(map(str, out)) == sorted(map(str, brute.op3(frame.collect(), least)))
+
+
 def licenses(text):
     """Rows of one text without Spark: places and licences."""
     frame = next(license_scan._scan(iter([pd.DataFrame({"doc_id": [1], "text": [text]})])))
