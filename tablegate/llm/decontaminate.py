@@ -1,7 +1,8 @@
 """Benchmark decontamination by suffix arrays over the training texts.
 
 1. The benchmark's items are a query set, taken in blocks of bounded size (their words are
-   read from the benchmark's files, ``BLOCK`` bytes at a time).
+   read from the benchmark's files, ``BLOCK`` bytes at a time).  The rows with their matches are
+   stored between two blocks, so that the driver and a task hold one block at a time.
 2. Every task cuts its documents into shards of bounded size and sorts, per shard, the
    suffixes (by word numbers of the block's vocabulary) that could begin a match.  Words
    outside the vocabulary, and the ends of documents, are number 0 and match nothing.
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablegate.llm.common import TAG, slices, whole
+from tablegate.llm.common import TAG, discard, slices, stored, whole
 
 WINDOW = 10
 #: Bytes of benchmark text in a block, characters of training text in a shard.
@@ -191,11 +192,11 @@ def _digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 MATCHES = "array<struct<item_id: long, item: int, start: long, item_start: long, n_words: long>>"
 
 
-def blocks(benchmark: DataFrame, window: int, size: int = BLOCK) -> Iterator[TestSet]:
+def blocks(benchmark: DataFrame, window: int, size: int | None = None) -> Iterator[TestSet]:
     """The items, a bounded number of bytes at a time; at least one block, maybe empty."""
     rows = benchmark.select("item_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    number = max(1, -(-total // size))
+    number = max(1, -(-total // (size or BLOCK)))
     for k in range(number):
         mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(number)) == k)
         items = sorted(map(tuple, mine.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -206,7 +207,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     """``doc_id, tag, text, n_words, matches`` of every row: its longest verbatim matches and where."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tag"), whole().alias("text"),
                        F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCHES).alias("matches"))
-    for tests in blocks(benchmark, window):
+    before = None
+    for k, tests in enumerate(blocks(benchmark, window)):
+        if k:  # a plan holds one block only: the matches so far are stored
+            rows = stored(rows)
+            if before is not None:
+                discard(before)
+            before = rows
         rows = rows.mapInPandas(partial(_scan, tests=tests),
                                 f"doc_id long, tag long, text string, n_words long, matches {MATCHES}")
     return rows

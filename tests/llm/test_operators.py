@@ -142,6 +142,18 @@ def test_decontaminate(spark, docs, rows, empty, monkeypatch):
     assert decontaminate.judged(docs, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def test_a_plan_holds_one_block_of_the_benchmark(spark, docs, rows, monkeypatch):
+    words = brute.LETTERS.findall(brute.lower(rows[12][1]))
+    items = [(i, " ".join(words[i:i + 12])) for i in range(6)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK", 40)
+    assert len(list(decontaminate.blocks(benchmark, 10))) > 2
+    found = decontaminate.matches(docs, benchmark)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert got(decontaminate.judged(docs, benchmark), "doc_id", "n_words", "n_hit", "n_items", "items_sha256",
+               "contaminated") == brute.op5(rows, items)
+
+
 def test_token_counts_and_cache(spark, docs, rows, empty, tmp_path):
     cache = f"file://{tmp_path}/cache"
     columns = ("doc_id", "n_bytes", "n_tokens", "over_limit")
