@@ -47,15 +47,17 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    Only a local session that names none, as in tests, gets a temporary folder; a cluster's is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="tablegate-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise ValueError("intermediate tables need a shared folder: set spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablegate-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 

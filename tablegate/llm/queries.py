@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegate.llm import (classifier, decontaminate, license_scan, line_dedup, packing, quality_rules, simhash,
-                           substring_dedup, suffix_dedup, token_counts)
+from tablegate.llm import (classifier, decontaminate, license_scan, line_dedup, packing, periodic_runs, quality_rules,
+                           secret_scan, simhash, substring_dedup, suffix_dedup, token_counts)
+from tablegate.llm.common import let, whole
 
 #: The vocabulary files of public tokenizers; workers open them at the same path.
 TOKENIZERS = os.environ.get("TABLEGATE_TOKENIZERS", "/opt/tokenizers")
@@ -64,7 +65,38 @@ def op10_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return classifier.scored(docs, model).drop("tag")
 
 
+def planted(text: Column, doc_id: Column) -> Column:
+    """A tenth of the texts, told by their ids, get a periodic tail; the others stay."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def tail(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        return let(F.struct((g % n).alias("a"), n.alias("n")), lambda s: let(
+            F.lit(1) + F.floor((s["n"] - s["a"]) / (3 + g % 8)),
+            lambda p: F.array_join(F.transform(words, lambda w, i: F.when(i < s["a"], w).otherwise(
+                F.get(words, (s["a"] + (i - s["a"]) % p).cast("int")))), " ")))
+
+    words = quality_rules.words_of(text)
+    return F.when((h % 10 == 0) & (text.rlike(r"[^\x20\x09-\x0D]")), let(words, tail)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = periodic_runs.periodic_runs(docs.select("doc_id", planted(whole(), F.col("doc_id")).alias("text")))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_license_scan, op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules,
-    op7_token_counts, op8_packing, op9_substring_dedup, op10_quality_classifier)}
+    op7_token_counts, op8_packing, op9_substring_dedup, op10_quality_classifier, op11_periodic_runs, op13_secret_scan)}
 ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
