@@ -177,7 +177,7 @@ def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         for s, n, p in zip(start[a:b], length[a:b], period[a:b])])
             stays = kept[base[k]:base[k] + size[k]]
             collapsed.append(" ".join(text if a == b else [w for w, stay in zip(text, stays) if stay]))
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": size, "runs": out, "collapsed": collapsed})
+        yield pd.DataFrame({"id": frame["id"], "n_words": size, "runs": out, "collapsed": collapsed})
 
 
 def periodic_runs(docs: DataFrame) -> DataFrame:
@@ -186,9 +186,10 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     ``collapsed`` is the text's words joined by one space, without those that any run holds after
     its first ``period`` words.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole().alias("text")).mapInPandas(
-        _found, f"doc_id {kind}, n_words long, runs {RUNS}, collapsed string")
+    # An id travels as text: a null among whole numbers would make them floats.
+    found = docs.select(F.col("doc_id").cast("string").alias("id"), whole().alias("text")).mapInPandas(
+        _found, f"id string, n_words long, runs {RUNS}, collapsed string")
+    return found.select(F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "n_words", "runs", "collapsed")
 
 
 def strongest(runs: Column) -> Column:

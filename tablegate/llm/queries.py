@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegate.llm import (classifier, decontaminate, license_scan, line_dedup, packing, periodic_runs, quality_rules,
-                           secret_scan, simhash, substring_dedup, suffix_dedup, token_counts)
+                           ranked_search, secret_scan, simhash, substring_dedup, suffix_dedup, token_counts)
 from tablegate.llm.common import let, whole
 
 #: The vocabulary files of public tokenizers; workers open them at the same path.
@@ -92,11 +92,17 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return ranked_search.ranked_search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op13_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_license_scan, op3_line_dedup, op4_simhash, op5_decontaminate, op6_quality_rules,
-    op7_token_counts, op8_packing, op9_substring_dedup, op10_quality_classifier, op11_periodic_runs, op13_secret_scan)}
-ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL}
+    op7_token_counts, op8_packing, op9_substring_dedup, op10_quality_classifier, op11_periodic_runs,
+    op12_ranked_search, op13_secret_scan)}
+ORACLES = {"op3_line_dedup": line_dedup.SQL, "op6_quality_rules": quality_rules.SQL,
+           "op12_ranked_search": ranked_search.SQL}

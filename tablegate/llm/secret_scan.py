@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegate.llm.common import slices, stored, whole
+from tablegate.llm.common import discard, slices, stored, whole
 
 REACH = 400
 #: Kinds in the order of equal starts; the first three are the base.
@@ -45,18 +45,25 @@ STRONG = ("assign", "access")
 LEAST = {"assign": 12, "access": 18, "hex": 16, "short": 6}
 
 ANY_CASE = re.ASCII | re.IGNORECASE
-ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ANY_CASE)
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", ANY_CASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
-#: Weak kinds: a named account, a mail address, an unlabelled token, a place to log in.
+#: Weak kinds: a named account, an unlabelled token, a place to log in (by its scheme, its name or its number).
 IDENT = re.compile(
-    r"""\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._+-]{3,})""",
+    r"""\b(?:access_?key(?:_?id)?|client_?id|account|user(?:_?name)?|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9@._+-]{3,}""",
     ANY_CASE)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
-ENDPOINT = re.compile(
-    r"""\b(?:https?|ftp|jdbc:[a-z0-9]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+"""
-    r"""|\b(?:host(?:name)?|endpoint|server|base_?url|bucket)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._:/-]{3,}"""
-    r"""|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{2,5})?(?![0-9.])""", ANY_CASE)
+BLOB = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+SCHEME = re.compile(
+    r"""\b(?:https?|ftp|jdbc:[a-z0-9]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s"'<>]+""", ANY_CASE)
+HOST = re.compile(
+    r"""\b(?:host(?:name)?|endpoint|server|base_?url|bucket)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9._:/-]{3,}""", ANY_CASE)
+ADDRESS = re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{2,5})?(?![0-9.])")
+#: What a text that matches has to hold in lower case; a search for it is far faster than the pattern.
+HINTS = {
+    ASSIGN: ("password", "passwd", "secret", "token", "apikey", "api_key"), ACCESS: ("akia",),
+    IDENT: ("access", "client", "account", "user", "login"), SCHEME: ("://",),
+    HOST: ("host", "endpoint", "server", "base", "bucket")}
 SCOPE = re.compile(r"\n[ \t\r]*\n\s*")
 #: Least Shannon entropy of an unlabelled token, bits a character.
 ENTROPY = 3.5
@@ -73,15 +80,19 @@ def _random(token: str) -> bool:
 
 def parts(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` of all candidate spans of a text, in order."""
-    found = set()
-    for m in ASSIGN.finditer(text):
+    found, low = set(), text.lower()
+
+    def matches(pattern: re.Pattern) -> Iterator[re.Match]:
+        return pattern.finditer(text) if any(x in low for x in HINTS[pattern]) else iter(())
+
+    for m in matches(ASSIGN):
         if len(m[2]) >= LEAST["assign"]:
             found.add((m.start(), 0, m.end()))
         elif len(m[2]) >= LEAST["short"]:
             found.add((m.start(), 4, m.end()))
-    found |= {(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST["access"]}
+    found |= {(m.start(), 1, m.end()) for m in matches(ACCESS) if m.end() - m.start() >= LEAST["access"]}
     found |= {(m.start(), 2, m.end()) for m in HEX.finditer(text)}
-    found |= {(m.start(), 3, m.end()) for m in IDENT.finditer(text)}
+    found |= {(m.start(), 3, m.end()) for m in matches(IDENT)}
     taken = sorted((a, b) for a, _, b in found)
     starts = [a for a, _ in taken]
     ends = np.maximum.accumulate([b for _, b in taken]) if taken else np.zeros(0, int)
@@ -89,19 +100,21 @@ def parts(text: str) -> list[tuple[int, int, int]]:
         k = int(np.searchsorted(starts, m.start(), "right"))
         if (not k or ends[k - 1] < m.end()) and _random(m[0]):  # not the value of another span
             found.add((m.start(), 5, m.end()))
-    found |= {(m.start(), 6, m.end()) for m in ENDPOINT.finditer(text)}
+    found |= {(m.start(), 6, m.end()) for pattern in (SCHEME, HOST) for m in matches(pattern)}
+    found |= {(m.start(), 6, m.end()) for m in ADDRESS.finditer(text)
+              if not m.start() or text[m.start() - 1] not in "0123456789."}
     return sorted(found)
 
 
 def _found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in slices(frames):
+    for frame in slices(frames):  # an id travels as text: a null among whole numbers would make them floats
         out = []
         for text in frame["text"]:
             spans = parts(text)
             breaks = [m.start() for m in SCOPE.finditer(text)] if spans else []
             scope = np.searchsorted(breaks, [s for s, _, _ in spans], "left")
             out.append([{"start": a, "kind": k, "end": b, "scope": int(z)} for (a, k, b), z in zip(spans, scope)])
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "found": out})
+        yield pd.DataFrame({"id": frame["id"], "found": out})
 
 
 def _named(kind: Column, values: dict[str, object]) -> Column:
@@ -137,14 +150,17 @@ def secret_spans(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
     ``kind`` is the place in ``KINDS``.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = stored(docs.select("doc_id", whole().alias("text")).mapInPandas(_found, f"doc_id {kind}, found {SPANS}")
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), whole().alias("text"))
+    rows = stored(texts.mapInPandas(_found, f"id string, found {SPANS}")
                   .withColumn("row", F.monotonically_increasing_id()))  # read from files, a row keeps its number
     weak = F.exists("found", lambda x: x["kind"] >= len(BASE))
     added = linked(rows.where(weak & (F.size("found") > 1)), reach)
     base = F.filter("found", lambda x: x["kind"] < len(BASE))
-    return rows.join(added, "row", "left").select("doc_id", F.array_sort(F.concat(
-        base, F.coalesce("linked", F.array().cast(SPANS)))).alias("spans"))
+    out = stored(rows.join(added, "row", "left").select(
+        F.col("id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+        F.array_sort(F.concat(base, F.coalesce("linked", F.array().cast(SPANS)))).alias("spans")))
+    discard(rows)
+    return out
 
 
 def secret_scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
