@@ -14,13 +14,15 @@ NULL, INTEGER, NUMBER, BOOLEAN, STRING, LIST, OBJECT = (
     "null", "integer", "number", "boolean", "string", "list", "object")
 
 
-#: JSON has no infinities and no NaN: they are texts that begin with this noncharacter.
+#: JSON has no infinities and no NaN: they are the texts below.  A document's own text that begins with
+#: this noncharacter has it twice in the JSON (see ``sources.documents``), so nothing else is taken for them.
 NON_FINITE = "\ufdd0"
+NON_FINITE_TEXTS = tuple(NON_FINITE + name for name in ("NaN", "Infinity", "-Infinity"))
 
 
 def number_text(text: Column) -> Column:
     """JSON text of a bound, with infinities and NaN spelt as Spark casts them."""
-    return F.regexp_replace(text, f'^"{NON_FINITE}(.*)"$', "$1")
+    return F.regexp_replace(text, f'^"{NON_FINITE}(NaN|-?Infinity)"$', "$1")
 
 
 def kind(value: Column) -> Column:
@@ -30,7 +32,7 @@ def kind(value: Column) -> Column:
         return (
             F.when(schema.isNull() | (schema == "VOID"), NULL)
             .when(schema == "STRING", F.when(
-                F.startswith(as_text(value), F.lit(NON_FINITE)), NUMBER).otherwise(STRING))
+                F.try_variant_get(value, "$", "string").isin(*NON_FINITE_TEXTS), NUMBER).otherwise(STRING))
             .when(schema == "BIGINT", INTEGER)
             .when(schema.startswith("ARRAY"), LIST)
             .when(schema.startswith("OBJECT"), OBJECT)
@@ -73,7 +75,8 @@ def is_blank(value: Column) -> Column:
 
 
 def as_text(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
+    """A scalar as text: as the document has it, numbers that are not finite by their names."""
+    return F.regexp_replace(F.try_variant_get(value, "$", "string"), f"^{NON_FINITE}", "")
 
 
 def as_list(value: Column) -> Column:

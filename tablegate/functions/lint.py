@@ -60,10 +60,14 @@ def first_offence(text: Column, namespaces=NAMESPACES) -> Column:
     return F.get(F.filter(judged, lambda j: j["col"].isNotNull()), F.lit(0))
 
 
+def offence_message(at: Column) -> Column:
+    """What a first offence is reported as; null when there is none."""
+    return F.when(at.isNotNull(), F.concat(F.lit("no space after colon on line "), at["line"]))
+
+
 def lint_findings(texts: DataFrame, keys: list, column: str, namespaces=NAMESPACES) -> DataFrame:
     """One finding per text with an offence, at its first offending line."""
     marked = texts.filter(F.col(column).rlike(SUSPECT)).select(
         *keys, first_offence(F.col(column), namespaces).alias("at"))
     return explode_findings(marked, keys, when_found(
-        F.col("at").isNotNull(), "yaml_colon_lint", FAIL,
-        F.concat(F.lit("no space after colon on line "), F.col("at.line"))))
+        F.col("at").isNotNull(), "yaml_colon_lint", FAIL, offence_message(F.col("at"))))

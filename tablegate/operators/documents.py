@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from tablegate import rules as R
 from tablegate.functions import kinds as K
 from tablegate.functions.findings import (
-    FAIL, all_of, explode_findings, explode_once, for_each, no_findings, union_findings, when_found,
+    FAIL, all_of, explode_findings, explode_once, finding, for_each, when_found,
 )
-from tablegate.functions.text import literal_rows
+from tablegate.functions.text import let, literal_rows
 from tablegate.operators import names, tags
-from tablegate.rules import DEFAULT_RULES, RuleBook
+from tablegate.rules import AUTHOR_PATTERN, DEFAULT_RULES, RuleBook
+from tablegate.sources.store import stored
 
 FIELD_ENTRY = "entries"
 
@@ -108,7 +109,6 @@ def non_empty_text(key: str, check: str) -> Column:
 
 # --- people and dates --------------------------------------------------------
 
-AUTHOR_PATTERN = r"^.+?\s*<([^>]+)>$"
 _ATOM = r"[\p{L}\p{N}!#$%&'*+\-/=?^_`{|}~]+"
 _LABEL = r"[\p{L}\p{N}]([\p{L}\p{N}\-]{0,61}[\p{L}\p{N}])?"
 EMAIL_PATTERN = rf"\A{_ATOM}(\.{_ATOM})*@({_LABEL}\.)+{_LABEL}\z"
@@ -342,22 +342,28 @@ def fields_required(check: str = "fields_required") -> Column:
 
 
 def fields_duplicates(check: str = "fields_duplicates") -> Column:
-    """Repeated names, citing the earlier positions.  Documents whose names are all
-    distinct, nearly all of them, are settled by comparing two array sizes."""
+    """Repeated names, citing the earlier positions: names are sorted, those with an equal neighbour
+    are left, and each of their stretches is one group.  Linear but for the sort and the positions cited."""
     named = F.filter(F.col(FIELD_ENTRY), lambda e: _usable(e) & e["name"].isNotNull())
-    all_names = F.transform(named, lambda e: e["name"])
+    ordered = F.array_sort(F.transform(named, lambda e: F.struct(e["name"].alias("name"), e["pos"].alias("pos"))))
 
-    def earlier(e):
-        same = F.filter(named, lambda o: (o["name"] == e["name"]) & (o["pos"] < e["pos"]))
-        return F.struct(e["pos"].alias("pos"), e["name"].alias("name"),
-                        F.transform(same, lambda o: o["pos"]).alias("at"))
+    def same(a, b) -> Column:
+        return F.coalesce(a["name"] == b["name"], F.lit(False))
 
-    repeated = F.filter(F.transform(named, earlier), lambda r: F.size(r["at"]) > 0)
-    return F.when(
-        F.size(F.array_distinct(all_names)) < F.size(all_names),
-        for_each(repeated, check, FAIL, lambda r: F.concat(
-            _label(r), r["name"], F.lit(" repeats "), F.concat_ws(",", r["at"].cast("array<string>"))))
-    ).otherwise(no_findings())
+    def groups(twins: Column) -> Column:
+        starts = F.filter(F.transform(twins, lambda t, i: F.when(~same(F.get(twins, i - 1), t), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.slice(
+            twins, i + 1, F.coalesce(F.get(at, k + 1), F.size(twins)) - i)))
+
+    def later(group: Column) -> Column:
+        rest = F.slice(group, F.lit(2), F.size(group) - 1)
+        return F.transform(rest, lambda t, k: F.struct(t["pos"].alias("pos"), t["name"].alias("name"), F.transform(
+            F.slice(group, F.lit(1), k + 1), lambda o: o["pos"].cast("string")).alias("at")))
+
+    twins = let(ordered, lambda s: F.filter(s, lambda t, i: same(F.get(s, i - 1), t) | same(F.get(s, i + 1), t)))
+    repeated = F.flatten(F.transform(let(twins, groups), later))
+    return F.transform(repeated, lambda r: finding(check, FAIL, F.concat(
+        _label(r), r["name"], F.lit(" repeats "), F.concat_ws(",", r["at"]))))
 
 
 def fields_data_type(check: str = "fields_data_type") -> Column:
@@ -445,7 +451,7 @@ def field_name_findings(opened: DataFrame, book: RuleBook = DEFAULT_RULES) -> Da
         F.concat("name", F.lit(": "), "message").alias("message"))
 
 
-# --- suites ------------------------------------------------------------------
+# --- the row checks ------------------------------------------------------------
 
 def row_checks(book: RuleBook = DEFAULT_RULES) -> list[Column]:
     """Every document check that needs the document alone."""
@@ -469,57 +475,124 @@ def unreadable(docs: DataFrame) -> Column:
         F.lit("not a readable mapping"), F.coalesce(F.concat(F.lit(": "), reason), F.lit(""))))
 
 
-def declared_value_findings(opened: DataFrame, vocabulary: DataFrame | None = None,
-                            book: RuleBook = DEFAULT_RULES) -> DataFrame:
-    """Name and tag findings of declared fields with one join back to the documents."""
-    items = explode_once(opened, ["file"], _elements("fields"), "e")
+# --- one opening of a document -------------------------------------------------
 
-    def text(key):
-        held = K.member(F.col("e.item"), key)
-        return F.when(~K.is_falsy(held), K.as_text(held))
-
-    pairs = F.array(*[F.struct(F.lit(key).alias("key"), text(key).alias("value"))
-                      for key in ("name", "ucd")])
-    rows = (items.select("file", F.col("e.pos").alias("pos"), F.inline_outer(pairs))
-            .filter(F.col("value").isNotNull()))
-    bad_names = names.validate_column_names(rows.filter("key = 'name'"), "value", book).select(
-        F.lit("name").alias("key"), F.col("name").alias("value"), F.lit("fields_names").alias("check"),
-        "severity", F.concat("name", F.lit(": "), "message").alias("message"))
-    bad = bad_names
-    if vocabulary is not None:
-        bad_tags = tags.ucd_validate(rows.filter("key = 'ucd'"), vocabulary, "value").select(
-            F.lit("ucd").alias("key"), F.col("ucd").alias("value"), F.lit("ucd_validate").alias("check"),
-            F.lit(FAIL).cast("tinyint").alias("severity"), "message")
-        bad = bad_names.unionByName(bad_tags)
-    placed = F.concat(F.lit("fields["), "pos", F.lit("]: "), "message")
-    return rows.join(bad, ["key", "value"]).select(
-        "file", "check", "severity",
-        F.when(F.col("key") == "ucd", placed).otherwise(F.col("message")).alias("message"))
+FIELD_TYPE = ("array<struct<pos:int,name:string,unit:string,info:string,ucd:string,data_type:string,"
+              "qc_min:string,qc_max:string>>")
+
+
+def _scalar(key: str, kind: str, read: Column) -> Column:
+    return F.when(kind_of(key) == kind, read).alias(key)
+
+
+def _list_of(key: str, item) -> Column:
+    """A list value element by element; null for anything else and for an empty list."""
+    items = F.transform(_elements(key), lambda e: item(e["item"]))
+    return F.when(F.size(items) > 0, items)
+
+
+def _plain_text(item: Column) -> Column:
+    """A scalar's text; of lists and objects their JSON."""
+    return F.when(~K.is_null(item), F.coalesce(K.as_text(item), K.json_text(item)))
+
+
+def header() -> Column:
+    """An opened document's header as a typed struct.  A value of another kind than its key's is null, so
+    that also a document with findings has a header."""
+    def texts(item):
+        return _plain_text(item)
+
+    def members(*names: tuple[str, str]):
+        return lambda item: F.struct(*[_plain_text(K.member(item, key)).alias(name) for key, name in names])
 
+    return F.struct(
+        *[_scalar(key, K.STRING, K.as_text(value(key))) for key in ("survey", "dataset", "table")],
+        _scalar("version", K.INTEGER, F.try_variant_get(value("version"), "$", "bigint")),
+        *[_scalar(key, K.STRING, K.as_text(value(key))) for key in ("date", "author")],
+        _list_of("coauthors", texts).alias("coauthors"),
+        _list_of("DOIs", members(("DOI", "doi"), ("type", "doi_type"))).alias("dois"),
+        _list_of("depends", members(*[(k, k) for k in R.DEPENDS_KEYS])).alias("depends"),
+        _scalar("description", K.STRING, K.as_text(value("description"))),
+        _list_of("comments", texts).alias("comments"),
+        _scalar("license", K.STRING, K.as_text(value("license"))),
+        _list_of("keywords", texts).alias("keywords"),
+        _scalar("MAML_version", K.NUMBER, F.try_variant_get(value("MAML_version"), "$", "double")).alias("maml_version"))
+
+
+def typed_documents(docs: DataFrame, book: RuleBook = DEFAULT_RULES) -> DataFrame:
+    """Every document opened once: ``file, header, fields, found``.
+
+    ``header`` is a typed struct, ``fields`` the declared fields that are objects, ``found`` the row checks'
+    findings.  Findings, declared columns and headers are all read from here; keep it as a table
+    (``sources.store.stored``) where more than one of them is wanted.
+    """
+    opened = open_fields(open_documents(docs))
+    readable = F.col("keys").isNotNull()
+    checks = F.when(readable, all_of(*row_checks(book))).otherwise(unreadable(docs))
+    objects = F.filter(F.col(FIELD_ENTRY), lambda e: ~e["empty"] & e["is_object"])
+    return opened.select(
+        "file", F.when(readable, header()).alias("header"),
+        F.transform(objects, lambda e: F.struct(*[e[name].alias(name) for name in (
+            "pos", "name", "unit", "info", "ucd", "data_type", "qc_min", "qc_max")])).cast(FIELD_TYPE).alias("fields"),
+        checks.alias("found"))
+
+
+def _typed(docs: DataFrame, book: RuleBook = DEFAULT_RULES) -> DataFrame:
+    return docs if "found" in docs.columns else typed_documents(docs, book)
+
+
+# --- suites ------------------------------------------------------------------
 
 def validate_documents(docs: DataFrame, vocabulary: DataFrame | None = None,
                        book: RuleBook = DEFAULT_RULES) -> DataFrame:
     """The document suite: ``file, check, severity, message``.
 
-    Row checks are one narrow pass.  Names and tags are checked once per distinct
-    value, which reads the documents again for the distinct values and for the join
-    back; keep parsed documents in a table rather than parsing them anew.
+    Documents (``file, raw``, or the table of ``typed_documents``) are opened once: what the row checks find
+    and the declared names and tags leave as one long relation, kept as a table.  Names and tags are
+    checked once per distinct value, and only offending values are joined back, so that a name that stands
+    in every document is one row on that side.
     """
-    opened = open_documents(docs)
-    broken = unreadable(docs)
-    checks = F.when(F.col("keys").isNotNull(), all_of(*row_checks(book))).otherwise(broken)
-    return union_findings([explode_findings(open_fields(opened), ["file"], checks),
-                           declared_value_findings(opened, vocabulary, book)])
+    typed = _typed(docs, book)
+    none = F.lit(None).cast("string")
+
+    def values(key: str) -> Column:
+        held = F.filter("fields", lambda e: e[key].isNotNull())
+        return F.transform(held, lambda e: F.struct(
+            none.alias("check"), F.lit(None).cast("tinyint").alias("severity"), none.alias("message"),
+            F.lit(key).alias("key"), e[key].alias("value"), e["pos"].alias("pos")))
+
+    found = F.transform("found", lambda f: F.struct(
+        f["check"].alias("check"), f["severity"].alias("severity"), f["message"].alias("message"),
+        none.alias("key"), none.alias("value"), F.lit(None).cast("int").alias("pos")))
+    given = [found, values("name")] + ([values("ucd")] if vocabulary is not None else [])
+    rows = stored(typed.select("file", F.inline_outer(F.concat(*given))).filter("check IS NOT NULL OR value IS NOT NULL"))
+
+    # A name's and a tag's findings in one shape, whatever found them.
+    bad = names.validate_column_names(rows.filter("key = 'name'"), "value", book).select(
+        F.lit("name").alias("key"), F.col("name").alias("value"), F.lit("fields_names").alias("as_check"),
+        F.col("severity").alias("as_severity"), F.concat("name", F.lit(": "), "message").alias("as_message"))
+    if vocabulary is not None:
+        bad = bad.unionByName(tags.ucd_validate(rows.filter("key = 'ucd'"), vocabulary, "value").select(
+            F.lit("ucd").alias("key"), F.col("ucd").alias("value"), F.lit("ucd_validate").alias("as_check"),
+            F.lit(FAIL).cast("tinyint").alias("as_severity"), F.col("message").alias("as_message")))
+    placed = F.concat(F.lit("fields["), "pos", F.lit("]: "), "as_message")
+    judged = rows.filter("key IS NOT NULL").join(bad, ["key", "value"]).select(
+        "file", F.col("as_check").alias("check"), F.col("as_severity").alias("severity"),
+        F.when(F.col("key") == "ucd", placed).otherwise(F.col("as_message")).alias("message"))
+    return rows.filter("check IS NOT NULL").select("file", "check", "severity", "message").unionByName(judged)
+
+
+def valid_documents(docs: DataFrame, findings: DataFrame) -> DataFrame:
+    """The documents about which nothing found is a failure."""
+    failed = findings.filter(F.col("severity") == FAIL).select("file").distinct()
+    return docs.join(failed, "file", "left_anti")
 
 
 def documents_to_fields(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """Declared columns of the valid documents: ``table, column, pos, unit, info, ucd,
-    data_type, qc_min, qc_max``; of a repeated name the last declaration holds."""
-    failed = findings.filter(F.col("severity") == FAIL).select("file").distinct()
-    valid = docs.join(failed, "file", "left_anti")
-    opened = open_documents(valid)
-    entries = explode_once(open_fields(opened), [K.as_text(value("table")).alias("table")],
-                           F.col(FIELD_ENTRY), "e")
+    data_type, qc_min, qc_max``; of a repeated name the last declaration holds.  ``docs`` may be the
+    table of ``typed_documents``, which is not opened again."""
+    entries = explode_once(_typed(valid_documents(docs, findings)), [F.col("header.table").alias("table")], F.col("fields"), "e")
     return (entries.filter(F.col("e.name").isNotNull())
             .groupBy("table", F.col("e.name").alias("column"))
             .agg(F.max_by(F.col("e"), F.col("e.pos")).alias("e"))
@@ -527,6 +600,14 @@ def documents_to_fields(docs: DataFrame, findings: DataFrame) -> DataFrame:
                     "e.qc_min", "e.qc_max"))
 
 
+def documents_to_headers(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
+    """Typed headers: ``file, survey, dataset, table, version, date, author, coauthors, dois, depends,
+    description, comments, license, keywords, maml_version``; of the valid documents where ``findings``
+    are given, else of all that are readable (values of a wrong kind are null)."""
+    chosen = docs if findings is None else valid_documents(docs, findings)
+    return _typed(chosen).filter(F.col("header").isNotNull()).select("file", "header.*")
+
+
 # --- accessors over the declared columns -------------------------------------
 
 def get_fields(fields: DataFrame, wanted: DataFrame, attribute: str) -> DataFrame:

@@ -26,6 +26,10 @@ SENTINEL = -999
 
 SCHEMA_VERSION = 1.1
 
+# An author's name and address; characters a tag may not hold.
+AUTHOR_PATTERN = r"^.+?\s*<([^>]+)>$"
+ILLEGAL = r"[^A-Za-z0-9_.;\-]"
+
 SURVEYS = ("WAVES", "WAVES-4C3R2", "WAVES-StePS", "WAVES-ORCHIDSS")
 DEFAULT_SURVEY = "WAVES"
 

@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegate.functions.kinds import NON_FINITE
-from tablegate.functions.findings import FAIL
-from tablegate.functions.lint import lint_findings
+from tablegate.functions.lint import SUSPECT, first_offence, lint_findings, offence_message
 
 
 def _loader():
@@ -31,16 +30,18 @@ def _loader():
 
 
 def _plain(node):
-    """Replace what JSON cannot hold: non-text keys, odd types, NaN and infinities (marked texts)."""
+    """Replace what JSON cannot hold: non-text keys, odd types, NaN and infinities (marked texts; a text
+    that begins with the mark gets a second one)."""
     if isinstance(node, dict):
         return {key if isinstance(key, str) else str(key): _plain(item) for key, item in node.items()}
     if isinstance(node, (list, tuple, set)):
         return [_plain(item) for item in node]
     if isinstance(node, float) and not math.isfinite(node):
         return NON_FINITE + ("NaN" if math.isnan(node) else "Infinity" if node > 0 else "-Infinity")
-    if node is None or isinstance(node, (bool, int, float, str)):
+    if node is None or isinstance(node, (bool, int, float)):
         return node
-    return str(node)
+    text = str(node)
+    return NON_FINITE + text if text.startswith(NON_FINITE) else text
 
 
 def _convert(batches):
@@ -58,7 +59,8 @@ def _convert(batches):
             return None, " ".join(f"{type(error).__name__} {error}".split())
 
     for batch in batches:
-        converted = [convert(text) for text in batch["text"]]
+        converted = [convert(text) if offence is None else (None, offence)
+                     for text, offence in zip(batch["text"], batch["offence"])]
         yield pd.DataFrame({
             "file": batch["file"],
             "raw": [raw for raw, _ in converted],
@@ -66,8 +68,10 @@ def _convert(batches):
 
 
 def parse_documents(texts: DataFrame) -> DataFrame:
-    """``file, text`` to ``file, raw, parse_error``; unreadable documents keep their row."""
-    return texts.select("file", "text").mapInPandas(
+    """``file, text`` to ``file, raw, parse_error``; unreadable documents keep their row.  With a column
+    ``offence``, a text that has one is not parsed and this is its error."""
+    offence = F.col("offence") if "offence" in texts.columns else F.lit(None).cast("string")
+    return texts.select("file", "text", offence.alias("offence")).mapInPandas(
         _convert, "file string, raw string, parse_error string")
 
 
@@ -84,12 +88,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reject_offences(texts: DataFrame) -> DataFrame:
-    """Parsed documents; those the lint objects to have its first message and no content."""
-    first = (lint_documents(texts).where(F.col("severity") == FAIL)
-             .groupBy("file").agg(F.min("message").alias("offence")))
-    return parse_documents(texts).join(first, "file", "left").select(
-        "file", F.when(F.col("offence").isNull(), F.col("raw")).alias("raw"),
-        F.coalesce("parse_error", "offence").alias("parse_error"))
+    """Parsed documents; those the lint objects to have its first message and no content.  One pass: the
+    lint is an expression of the row that is then parsed."""
+    offence = F.when(F.col("text").rlike(SUSPECT), offence_message(first_offence(F.col("text"))))
+    return parse_documents(texts.select("file", "text", offence.alias("offence")))
 
 
 def lint_documents(texts: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import json
 import yaml
 from pyspark.sql import functions as F
 
+from tablegate.functions import kinds
 from tablegate.operators import documents as D
 from tablegate.operators import history, infer, profile, reconcile, rollup
 from tablegate.plans import suites
@@ -93,7 +94,8 @@ def test_documents_are_read_from_files(spark, tmp_path):
     assert json.loads(rows["good.maml"].raw) == GOOD
     assert rows["broken.maml"].raw is None and rows["broken.maml"].parse_error
     assert "mapping" in rows["text.maml"].parse_error
-    assert json.loads(rows["dates.maml"].raw) == {"survey": "WAVES", "date": "2024-05-06", "x": None}
+    assert json.loads(rows["dates.maml"].raw) == {
+        "survey": "WAVES", "date": "2024-05-06", "x": kinds.NON_FINITE + "Infinity"}
 
 
 def test_inventory_and_hashes(spark, tmp_path):
