@@ -257,12 +257,18 @@ def _highest(frames: Iterator[pd.DataFrame], queries: Queries, k: int) -> Iterat
     for frame in frames:
         for block in frame.itertuples():
             bounds = queries.bounds(block)
-            for place, row in enumerate(bounds):
-                top = np.argpartition(-row, k)[:k] if len(row) > k else np.arange(len(row))
-                top = top[row[top] > 0]
-                if len(top):
-                    yield pd.DataFrame({"place": place, "id": [block.ids[i] for i in top],
-                                        "tag": np.asarray(block.tags)[top], "bound": row[top]})
+            few = min(k, bounds.shape[1])
+            column = np.argpartition(-bounds, few - 1, axis=1)[:, :few].ravel()
+            place = np.repeat(np.arange(len(bounds)), few)
+            some = bounds[place, column] > 0
+            place, column = place[some], column[some]
+            if len(place):
+                yield _candidates(block, bounds, place, column)
+
+
+def _candidates(block, bounds: np.ndarray, place: np.ndarray, column: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"place": place, "id": np.array(block.ids, object)[column],
+                         "tag": np.asarray(block.tags)[column], "bound": bounds[place, column]})
 
 
 def _reaching(frames: Iterator[pd.DataFrame], queries: Queries, least: np.ndarray) -> Iterator[pd.DataFrame]:
@@ -272,8 +278,7 @@ def _reaching(frames: Iterator[pd.DataFrame], queries: Queries, least: np.ndarra
             bounds = queries.bounds(block)
             place, column = np.nonzero(bounds >= least[:, None])
             if len(place):
-                yield pd.DataFrame({"place": place, "id": [block.ids[i] for i in column],
-                                    "tag": np.asarray(block.tags)[column], "bound": bounds[place, column]})
+                yield _candidates(block, bounds, place, column)
 
 
 def _scored(frames: Iterator[pd.DataFrame], queries: Queries) -> Iterator[pd.DataFrame]:
