@@ -588,11 +588,13 @@ def valid_documents(docs: DataFrame, findings: DataFrame) -> DataFrame:
     return docs.join(failed, "file", "left_anti")
 
 
-def documents_to_fields(docs: DataFrame, findings: DataFrame) -> DataFrame:
+def documents_to_fields(docs: DataFrame, findings: DataFrame, table: Column | None = None) -> DataFrame:
     """Declared columns of the valid documents: ``table, column, pos, unit, info, ucd,
     data_type, qc_min, qc_max``; of a repeated name the last declaration holds.  ``docs`` may be the
-    table of ``typed_documents``, which is not opened again."""
-    entries = explode_once(_typed(valid_documents(docs, findings)), [F.col("header.table").alias("table")], F.col("fields"), "e")
+    table of ``typed_documents``, which is not opened again.  ``table`` tells the tables apart by
+    something else than the name their document gives, such as its file."""
+    key = F.col("header.table") if table is None else table
+    entries = explode_once(_typed(valid_documents(docs, findings)), [key.alias("table")], F.col("fields"), "e")
     return (entries.filter(F.col("e.name").isNotNull())
             .groupBy("table", F.col("e.name").alias("column"))
             .agg(F.max_by(F.col("e"), F.col("e.pos")).alias("e"))

@@ -48,17 +48,43 @@ def snapshot_last_seen(states: DataFrame) -> DataFrame:
     return newest.select("dataset", "table", "s.release", "s.sha1", "s.table_version")
 
 
+def last_seen_by_file(local: DataFrame, checksums: DataFrame, versions: DataFrame) -> DataFrame:
+    """Newest published state of local tables (``dataset, table, file``): the newest release whose manifest
+    holds the file and whose rollup holds the table.  ``checksums``: ``dataset, release, file, sha1``;
+    ``versions``: ``dataset, release, table, table_version``.
+
+    A file that was renamed, or a table that was, is looked up under its present name only; a release that
+    has one of the two is passed over.  Both lookups are equi-joins, and one row for a table and file is
+    kept on each partition before the last shuffle.
+    """
+    wanted = local.select("dataset", "table", "file").distinct()
+    files = checksums.filter(F.col("sha1").isNotNull()).select("dataset", "release", "file", "sha1")
+    tables = versions.filter(F.col("table_version").isNotNull()).select("dataset", "release", "table", "table_version")
+    newest = (wanted.join(files, ["dataset", "file"]).join(tables, ["dataset", "release", "table"])
+              .groupBy("dataset", "table", "file")
+              .agg(F.max_by(F.struct("release", "sha1", "table_version"), F.col("release")).alias("s")))
+    return newest.select("dataset", "table", "file", "s.release", "s.sha1", "s.table_version")
+
+
 def next_table_version(local: DataFrame, last_seen: DataFrame) -> DataFrame:
     """Version each local table (``dataset, table, sha1``) must carry: 1 when new, the
     last one when its content is unchanged, else one more.  A table without a local
-    file counts as changed."""
-    seen = last_seen.select("dataset", "table", F.col("sha1").alias("seen_sha1"),
+    file counts as changed.
+
+    Where both sides name the ``file`` (``last_seen_by_file``), they meet by table and file; of a table
+    that several files declare, the last file's version holds.
+    """
+    by_file = "file" in local.columns and "file" in last_seen.columns
+    keys = ["dataset", "table", *(["file"] if by_file else [])]
+    seen = last_seen.select(*keys, F.col("sha1").alias("seen_sha1"),
                             F.col("table_version").alias("seen_version"))
     same = F.coalesce(F.col("sha1"), F.lit("")) == F.col("seen_sha1")
     version = (F.when(F.col("seen_version").isNull(), F.lit(1))
                .when(same, F.col("seen_version")).otherwise(F.col("seen_version") + 1))
-    return local.join(seen, ["dataset", "table"], "left").select(
-        "dataset", "table", version.cast("int").alias("next_version"))
+    decided = local.join(seen, keys, "left").select(*keys, version.cast("int").alias("next_version"))
+    if not by_file:
+        return decided
+    return decided.groupBy("dataset", "table").agg(F.max_by("next_version", "file").alias("next_version"))
 
 
 def version_check(declared: DataFrame, expected: DataFrame) -> DataFrame:

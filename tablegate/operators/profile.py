@@ -87,19 +87,44 @@ def _profile_row(pos: int, field: T.StructField) -> Column:
     ).cast(PROFILE_TYPE)
 
 
-def profile_table(df: DataFrame, table: str, sentinel: int = SENTINEL) -> DataFrame:
-    """Profile rows ``table, pos, column, dtype, n_rows, n_null, n_nan, min_value,
-    max_value, has_sentinel`` of one table: one scan, one aggregate, however wide."""
-    fields = list(enumerate(df.schema.fields))
+def _profiled(df: DataFrame, fields: list, keys: list[str], sentinel: int) -> tuple[DataFrame, Column]:
+    """The one aggregate over a table, and its columns' profile rows."""
     aggregates = [agg for pos, field in fields for agg in _aggregates(pos, field, sentinel)]
-    wide = df.agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
-    return wide.select(
-        F.lit(table).alias("table"),
-        F.inline(F.array(*[_profile_row(pos, field) for pos, field in fields])))
+    wide = df.groupBy(*[_quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
+    return wide, F.inline(F.array(*[_profile_row(pos, field) for pos, field in fields]))
+
+
+def profile_table(df: DataFrame, table: str, sentinel: int = SENTINEL, footers: DataFrame | None = None) -> DataFrame:
+    """Profile rows ``table, pos, column, dtype, n_rows, n_null, n_nan, min_value,
+    max_value, has_sentinel`` of one table: one scan, one aggregate, however wide.
+
+    Spark reads unsigned Parquet columns as wider signed ones; with ``footers``
+    (``catalog.file_columns``) the type is the one the files declare.
+    """
+    wide, rows = _profiled(df, list(enumerate(df.schema.fields)), [], sentinel)
+    profiles = wide.select(F.lit(table).alias("table"), rows)
+    return profiles if footers is None else with_declared_types(profiles, footers)
+
+
+def profile_groups(df: DataFrame, keys: list[str], sentinel: int = SENTINEL) -> DataFrame:
+    """Profile rows of many tables of one schema that lie in one: one scan and one grouped aggregate.
+    ``keys`` tell the tables and come first; a table of many rows is combined before the shuffle."""
+    fields = list(enumerate(f for f in df.schema.fields if f.name not in keys))
+    wide, rows = _profiled(df, fields, keys, sentinel)
+    return wide.select(*keys, rows)
+
+
+def with_declared_types(profiles: DataFrame, footers: DataFrame) -> DataFrame:
+    """Profile rows with the types that the files' footers declare where these are unsigned."""
+    declared = (footers.filter(F.col("dtype").startswith("uint")).groupBy("table", "column")
+                .agg(F.min("dtype").alias("__declared")))
+    return profiles.join(declared, ["table", "column"], "left").select(
+        *[F.coalesce("__declared", "dtype").alias("dtype") if c == "dtype" else c for c in profiles.columns])
 
 
-def profile_tables(tables: dict[str, DataFrame], sentinel: int = SENTINEL) -> DataFrame:
-    return union_findings([profile_table(df, name, sentinel) for name, df in tables.items()])
+def profile_tables(tables: dict[str, DataFrame], sentinel: int = SENTINEL, footers: DataFrame | None = None) -> DataFrame:
+    profiles = union_findings([profile_table(df, name, sentinel) for name, df in tables.items()])
+    return profiles if footers is None else with_declared_types(profiles, footers)
 
 
 def profile_minmax(profiles: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablegate.functions.findings import FAIL, explode_findings, union_findings, when_found
+from tablegate.functions.findings import FAIL, FINDING_TYPE, explode_findings, finding, union_findings, when_found
 from tablegate.operators.values import profile_in_range
 
 DOCUMENT, TABLE, NOTES, EXTRA = "maml", "parquet", "md", "extra"
@@ -124,25 +124,70 @@ def tables_without_doc(files: DataFrame, datasets: DataFrame | None = None) -> D
 def notes_check(files: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
     """A folder needs ``<dataset>.md``; its other notes need a table.  A folder
     without its own notes gets that one finding only."""
-    own = (F.col("kind") == NOTES) & (F.col("name") == F.concat("dataset", F.lit(".md")))
-    folders = _per_folder(files, datasets, own)
-    missing = folders.filter("n = 0").select("dataset", F.concat("dataset", F.lit(".md")).alias("name"))
-    complete = folders.filter("n > 0").select("dataset")
-    others = _of_kind(files, NOTES).filter(~own)
-    alone = (others.join(_of_kind(files, TABLE).select("dataset", "stem"),
-                         ["dataset", "stem"], "left_anti")
-             .join(complete, "dataset", "left_semi"))
-    return union_findings([
-        _folder_findings(missing, "notes_check", "notes of the dataset are missing"),
-        _folder_findings(alone, "notes_check", "no .parquet of the same name"),
-    ])
+    return folder_checks(files, datasets, ("notes_check",))
+
+
+def _own_extra() -> Column:
+    """A dataset's manifest and its rollup document."""
+    return ((F.col("name") == F.concat("dataset", F.lit(".checksums")))
+            | (F.col("name") == F.concat("dataset", F.lit(".daml"))))
 
 
 def extra_files(files: DataFrame) -> DataFrame:
     """Files of no known kind, except the dataset's manifest and rollup document."""
-    known = ((F.col("name") == F.concat("dataset", F.lit(".checksums")))
-             | (F.col("name") == F.concat("dataset", F.lit(".daml"))))
-    return _folder_findings(_of_kind(files, EXTRA).filter(~known), "extra_files", "unexpected file")
+    return _folder_findings(_of_kind(files, EXTRA).filter(~_own_extra()), "extra_files", "unexpected file")
+
+
+def folder_checks(files: DataFrame, datasets: DataFrame | None = None,
+                  checks: tuple[str, ...] = ("docs_without_table", "tables_without_doc", "notes_check", "extra_files")
+                  ) -> DataFrame:
+    """The checks on a folder's files together: ``dataset, name, check, severity, message``.
+
+    Two reads of the inventory, whatever the checks: files of one stem are a group of at most four
+    (document, table, notes, anything else), and a folder is one row of counts.
+    """
+    kind, dataset = F.col("kind"), F.col("dataset")
+    own = (kind == NOTES) & (F.col("name") == F.concat("dataset", F.lit(".md")))
+    known = _own_extra()
+
+    def name_of(what: str, also=F.lit(True)) -> Column:
+        return F.max(F.when((kind == what) & also, F.col("name")))
+
+    def about(name: Column, found: Column, late: bool = False) -> Column:
+        return F.transform(found, lambda f: F.struct(name.alias("name"), f.alias("f"), F.lit(late).alias("late")))
+
+    def alone(name: str, partner: Column, check: str, message: str) -> Column:
+        return about(F.col(name), when_found(F.col(name).isNotNull() & partner.isNull(), check, FAIL, message),
+                     check == "notes_check")
+
+    stems = files.groupBy("dataset", "stem").agg(
+        name_of(DOCUMENT).alias("document"), name_of(TABLE).alias("table"), name_of(NOTES, ~own).alias("notes"),
+        F.collect_set(F.when((kind == EXTRA) & ~known, F.col("name"))).alias("extras"))
+    of_files = {
+        "docs_without_table": alone("document", F.col("table"), "docs_without_table", f"no .{TABLE} of the same name"),
+        "tables_without_doc": alone("table", F.col("document"), "tables_without_doc", f"no .{DOCUMENT} of the same name"),
+        "notes_check": alone("notes", F.col("table"), "notes_check", f"no .{TABLE} of the same name"),
+        "extra_files": F.transform("extras", lambda n: F.struct(
+            n.alias("name"), finding("extra_files", FAIL, "unexpected file").alias("f"), F.lit(False).alias("late")))}
+    rows = stems.select("dataset", F.inline_outer(F.concat(*[of_files[c] for c in checks]))).filter(F.col("f").isNotNull())
+
+    counts = files.groupBy("dataset").agg(
+        F.count_if(kind == DOCUMENT).alias("documents"), F.count_if(kind == TABLE).alias("tables"), F.count_if(own).alias("notes"))
+    if datasets is not None:
+        nothing = datasets.select("dataset", *[F.lit(0).cast("bigint").alias(c) for c in ("documents", "tables", "notes")])
+        counts = counts.unionByName(nothing).groupBy("dataset").agg(*[F.max(c).alias(c) for c in ("documents", "tables", "notes")])
+    of_folders = {
+        "docs_without_table": ("documents", F.lit(""), f"no .{DOCUMENT} files"),
+        "tables_without_doc": ("tables", F.lit(""), f"no .{TABLE} files"),
+        "notes_check": ("notes", F.concat(dataset, F.lit(".md")), "notes of the dataset are missing")}
+    whole = [about(name, when_found(F.col(count) == 0, check, FAIL, message))
+             for check, (count, name, message) in of_folders.items() if check in checks]
+    folders = counts.select("dataset", F.inline_outer(F.concat(*whole) if whole else F.lit(None).cast(
+        f"array<struct<name:string,f:{FINDING_TYPE},late:boolean>>"))).filter(F.col("f").isNotNull())
+    # Notes without a table count only in a folder that has its own.
+    has_notes = counts.select("dataset", (F.col("notes") > 0).alias("complete"))
+    kept = rows.join(has_notes, "dataset", "left").filter(~F.col("late") | F.col("complete"))
+    return folders.select("dataset", "name", "f.*").unionByName(kept.select("dataset", "name", "f.*"))
 
 
 def dataset_name_check(docs: DataFrame) -> DataFrame:

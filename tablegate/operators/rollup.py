@@ -7,13 +7,13 @@ with the keys that order them; nothing gathers a dataset into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegate import rules as R
 from tablegate.functions import kinds as K
 from tablegate.functions.findings import (
-    FAIL, explode_findings, explode_once, union_findings, when_found,
+    FAIL, FINDING_TYPE, all_of, explode_findings, explode_once, no_findings, when_found,
 )
 from tablegate.operators import documents as D
 
@@ -59,69 +59,86 @@ def rollup_tables(docs: DataFrame) -> DataFrame:
     return docs.select("dataset", "file", F.col("table").alias("name"), "version")
 
 
+SECTION = R.ROLLUP_KEYS.index
+
+
 def build_rollup(docs: DataFrame, releases: DataFrame, date: str,
                  license_name: str = R.DEFAULT_LICENSE) -> DataFrame:
     """Rollup documents in long form: ``dataset, section, key, order_file, order_pos,
     value, version``.  ``section`` follows the key order of the document; keys without
-    a value are left out, an empty description stays to be filled in."""
-    def lines(rows, key, value, file=None, pos=None, version=None):
-        none = F.lit(None)
-        return rows.select(
-            "dataset", F.lit(R.ROLLUP_KEYS.index(key)).alias("section"), F.lit(key).alias("key"),
-            (file if file is not None else F.lit("")).alias("order_file"),
-            (pos if pos is not None else F.lit(0)).alias("order_pos"),
-            value.cast("string").alias("value"),
-            (version if version is not None else none).cast("int").alias("version"))
-
-    folders = docs.select("dataset").distinct()
-    survey = rollup_survey(docs)
-    author = rollup_author(docs)
-    coauthors = rollup_coauthors(docs)
-    # One row per dataset carries every scalar key but the author and survey.
-    fixed = folders.join(releases, "dataset", "left").select(
-        "dataset", F.inline(F.array(*[
-            F.struct(F.lit(R.ROLLUP_KEYS.index(key)).alias("section"), F.lit(key).alias("key"),
-                     F.lit("").alias("order_file"), F.lit(0).alias("order_pos"),
-                     v.cast("string").alias("value"), F.lit(None).cast("int").alias("version"))
-            for key, v in (
-                ("dataset", F.col("dataset")),
-                ("version", F.coalesce("next_release", F.lit(1))),
-                ("date", F.lit(date)),
-                ("description", F.lit(None)),
-                ("license", F.lit(license_name)))])))
-    parts = [
-        lines(survey, "survey", F.col("survey")),
-        fixed,
-        lines(author, "author", F.col("author")),
-        lines(coauthors, "coauthors", F.col("coauthor"), F.col("first_file"), F.col("first_pos")),
-        lines(docs, "tables", F.col("table"), F.col("file"), F.lit(0), F.col("version")),
-    ]
-    return union_findings(parts)
+    a value are left out, an empty description stays to be filled in.
+
+    One read of the documents: each leaves its survey, author, coauthors and table as rows; equal ones are
+    counted, and a second grouping chooses a dataset's survey and author among them.
+    """
+    nothing = F.lit(None).cast("int")
+
+    def item(key, value, pos=F.lit(0), own=F.lit(""), version=nothing):
+        return F.struct(F.lit(SECTION(key)).alias("section"), value.alias("value"), pos.cast("int").alias("pos"),
+                        own.alias("own"), version.cast("int").alias("version"))
+
+    single = F.array(item("survey", F.col("survey")), item("author", F.col("author")),
+                     item("tables", F.col("table"), own=F.col("file"), version=F.col("version")))
+    listed = F.filter(F.transform("coauthors", lambda c, i: item("coauthors", c, i)), lambda x: x["value"].isNotNull())
+    items = F.concat(single, F.coalesce(listed, F.slice(single, 1, 0)))
+    rows = docs.select("dataset", "file", F.inline_outer(items)).filter(F.col("section").isNotNull())
+    counted = rows.groupBy("dataset", "section", "value", "own").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos")).alias("at"), F.max("version").alias("version"))
+    one = F.col("section").isin(SECTION("survey"), SECTION("author"))
+    # The most frequent value, of equals the first; of lists every value is a group of its own.
+    chosen = counted.groupBy("dataset", "section", F.when(~one, F.struct("own", "value")).alias("each")).agg(
+        F.min_by(F.struct("value", "at", "version"), F.struct((-F.col("n")).alias("n"), F.col("at.file").alias("file"))).alias("best"),
+        F.count(F.lit(1)).alias("different"))
+    known = releases.select("dataset", F.lit(SECTION("survey")).alias("section"), "next_release")
+    joined = chosen.join(known, ["dataset", "section"], "left")
+
+    def line(key, value, file=F.lit(""), pos=F.lit(0), version=nothing):
+        return F.struct(F.lit(SECTION(key)).alias("section"), F.lit(key).alias("key"), file.alias("order_file"),
+                        pos.alias("order_pos"), value.cast("string").alias("value"), version.alias("version"))
+
+    value, place = F.col("best.value"), F.col("best.at")
+    survey = F.when(F.col("different") == 1, F.coalesce(value, F.lit(R.DEFAULT_SURVEY))).otherwise(R.DEFAULT_SURVEY)
+    head = F.array(
+        line("survey", survey), line("dataset", F.col("dataset")), line("version", F.coalesce("next_release", F.lit(1))),
+        line("date", F.lit(date)), line("description", F.lit(None)), line("license", F.lit(license_name)))
+    lines = (F.when(F.col("section") == SECTION("survey"), head)
+             .when(F.col("section") == SECTION("author"), F.array(line("author", value)))
+             .when(F.col("section") == SECTION("coauthors"), F.array(line("coauthors", value, place["file"], place["pos"])))
+             .otherwise(F.array(line("tables", value, place["file"], version=F.col("best.version")))))
+    return joined.select("dataset", F.inline(lines))
 
 
 # --- checks on an existing rollup document -----------------------------------
 
-def rollup_dataset_match(opened: DataFrame, keys=("file",)) -> DataFrame:
+def dataset_match() -> Column:
     """The document's dataset is its folder's name (column ``dataset``)."""
     actual = F.when(D.kind_of("dataset") == K.STRING, K.as_text(D.value("dataset")))
-    return explode_findings(
-        opened, list(keys), D.required_kind("dataset", K.STRING, "rollup_dataset_match"),
+    return all_of(
+        D.required_kind("dataset", K.STRING, "rollup_dataset_match"),
         when_found(actual != F.col("dataset"), "rollup_dataset_match", FAIL,
                    F.concat(F.lit("dataset should be "), F.col("dataset"))))
 
 
-def rollup_version_match(opened: DataFrame, releases: DataFrame, keys=("file",)) -> DataFrame:
-    """The document's version is the dataset's next release."""
-    joined = opened.join(releases.select("dataset", "next_release"), "dataset", "left")
+def version_match() -> Column:
+    """The document's version is the next release (column ``next_release``, null for a first one)."""
     expected = F.coalesce("next_release", F.lit(1))
     version = F.when(D.kind_of("version") == K.INTEGER,
                      F.try_variant_get(D.value("version"), "$", "bigint"))
-    return explode_findings(
-        joined, list(keys), D.required_kind("version", K.INTEGER, "rollup_version_match"),
+    return all_of(
+        D.required_kind("version", K.INTEGER, "rollup_version_match"),
         when_found(version != expected, "rollup_version_match", FAIL,
                    F.concat(F.lit("version should be "), expected)))
 
 
+def rollup_dataset_match(opened: DataFrame, keys=("file",)) -> DataFrame:
+    return explode_findings(opened, list(keys), dataset_match())
+
+
+def rollup_version_match(opened: DataFrame, releases: DataFrame, keys=("file",)) -> DataFrame:
+    joined = opened.join(releases.select("dataset", "next_release"), "dataset", "left")
+    return explode_findings(joined, list(keys), version_match())
+
+
 def listed_tables(opened: DataFrame) -> DataFrame:
     """Tables a rollup document lists: ``dataset, name, version``; entries without a
     name are skipped, a repeated name counts once with its last version."""
@@ -136,22 +153,24 @@ def listed_tables(opened: DataFrame) -> DataFrame:
 src_rollup_tables = listed_tables
 
 
+def _tables_differ() -> Column:
+    """Findings on one table of a rollup (``listed``, there if ``l``) and of the documents (``declared``, ``d``)."""
+    check = "rollup_tables_check"
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    both = F.col("l").isNotNull() & F.col("d").isNotNull()
+    return all_of(
+        when_found(F.col("l").isNull(), check, FAIL, "not in the rollup"),
+        when_found(F.col("d").isNull(), check, FAIL, "in no table document"),
+        when_found(both & ~F.col("listed").eqNullSafe(F.col("declared")), check, FAIL,
+                   F.concat(F.lit("version "), text("listed"), F.lit(" should be "), text("declared"))))
+
+
 def rollup_tables_check(listed: DataFrame, docs: DataFrame) -> DataFrame:
     """Tables of the rollup against those of the documents: absent on one side, or
     of another version.  Both are ``dataset, name, version``."""
     a = listed.select("dataset", "name", F.col("version").alias("listed"), F.lit(True).alias("l"))
     b = docs.select("dataset", "name", F.col("version").alias("declared"), F.lit(True).alias("d"))
-    joined = a.join(b, ["dataset", "name"], "full_outer")
-    check = "rollup_tables_check"
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    return explode_findings(
-        joined, ["dataset", "name"],
-        when_found(F.col("l").isNull(), check, FAIL, "not in the rollup"),
-        when_found(F.col("d").isNull(), check, FAIL, "in no table document"),
-        when_found(F.col("l").isNotNull() & F.col("d").isNotNull()
-                   & ~F.col("listed").eqNullSafe(F.col("declared")), check, FAIL,
-                   F.concat(F.lit("version "), text("listed"), F.lit(" should be "),
-                            text("declared"))))
+    return explode_findings(a.join(b, ["dataset", "name"], "full_outer"), ["dataset", "name"], _tables_differ())
 
 
 def rollup_row_checks() -> list:
@@ -165,13 +184,31 @@ def rollup_row_checks() -> list:
 
 def validate_rollup(rollups: DataFrame, tables: DataFrame, releases: DataFrame) -> DataFrame:
     """The rollup suite over ``dataset, file, raw``: ``dataset, subject, check,
-    severity, message``.  ``tables`` holds ``dataset, name, version`` of the documents."""
-    opened = D.open_documents(rollups)
-    keys = ["dataset", F.col("file").alias("subject")]
-    alone = explode_findings(opened, keys, *rollup_row_checks())
-    covered = tables.join(opened.select("dataset"), "dataset", "left_semi")
-    contents = rollup_tables_check(listed_tables(opened), covered).select(
-        "dataset", F.col("name").alias("subject"), "check", "severity", "message")
-    return union_findings([
-        alone, rollup_dataset_match(opened, keys), rollup_version_match(opened, releases, keys),
-        contents])
+    severity, message``.  ``tables`` holds ``dataset, name, version`` of the documents.
+
+    A document is opened once: its own findings and the tables it lists leave as rows, which meet the
+    documents' tables in one grouping.
+    """
+    none, no = F.lit(None), F.lit(None).cast("boolean")
+
+    def row(subject, found=no_findings(), pos=none, listed=none, declared=none, l=no, d=no):
+        return F.struct(subject.alias("subject"), found.alias("found"), pos.cast("int").alias("pos"), listed.cast("int").alias("listed"),
+                        declared.cast("int").alias("declared"), l.alias("l"), d.alias("d"))
+
+    opened = D.open_documents(rollups).join(releases.select("dataset", "next_release"), "dataset", "left")
+    own = all_of(*rollup_row_checks(), dataset_match(), version_match())
+    names = F.filter(F.transform(K.as_list(D.value("tables")), lambda t, i: row(
+        K.as_text(K.member(t, "name")), pos=i, l=F.lit(True),
+        listed=F.try_variant_get(K.member(t, "version"), "$", "int"))), lambda r: r["subject"].isNotNull())
+    rows = opened.select("dataset", F.inline(F.concat(
+        F.array(row(F.col("file"), found=own)), F.coalesce(names, F.array().cast(f"array<{ROW_TYPE}>")))))
+    declared = tables.join(rollups.select("dataset"), "dataset", "left_semi").select(
+        "dataset", F.inline(F.array(row(F.col("name"), declared=F.col("version"), d=F.lit(True)))))
+    is_table = F.coalesce("l", "d", F.lit(False))
+    met = rows.unionByName(declared).groupBy("dataset", "subject", is_table.alias("is_table")).agg(
+        F.flatten(F.collect_list("found")).alias("found"), F.max_by("listed", "pos").alias("listed"),
+        F.max("declared").alias("declared"), F.bool_or("l").alias("l"), F.bool_or("d").alias("d"))
+    return explode_findings(met, ["dataset", "subject"], F.when(F.col("is_table"), _tables_differ()).otherwise(F.col("found")))
+
+
+ROW_TYPE = (f"struct<subject:string,found:array<{FINDING_TYPE}>,pos:int,listed:int,declared:int,l:boolean,d:boolean>")

@@ -13,7 +13,7 @@ from tablegate.functions.findings import (
 )
 from tablegate.operators import names
 from tablegate.operators.catalog import find_column
-from tablegate.operators.profile import profile_table
+from tablegate.operators.profile import profile_groups, profile_table
 from tablegate.rules import DEFAULT_RULES, FLOAT_TYPES, INTEGER_TYPES, SENTINEL, RuleBook
 
 CLOSED = ("left", "right", "both", "none")
@@ -192,14 +192,32 @@ def name_findings(df: DataFrame, table: str, file: str, book: RuleBook = DEFAULT
 
 def validate_table(df: DataFrame, table: str, file: str | None = None,
                    rules=COORDINATE_RULES, columns: dict[str, str] | None = None,
-                   sentinel: int = SENTINEL, book: RuleBook = DEFAULT_RULES) -> DataFrame:
+                   sentinel: int = SENTINEL, book: RuleBook = DEFAULT_RULES,
+                   profiles: DataFrame | None = None) -> DataFrame:
     """The table suite: table name, column names, coordinates, sentinel.
 
     Findings ``table, column, check, severity, message``.  The data is read once,
-    for the profile; name rules use the schema.
+    for the profile (``profiles``, where it is at hand); name rules use the schema.
     """
-    profiles = profile_table(df, table, sentinel)
+    profiles = profile_table(df, table, sentinel) if profiles is None else profiles
     checks = [sentinel_checks(), *coordinate_checks(df, rules, columns)]
     data = explode_findings(profiles, ["table", "column"], *checks)
     return union_findings([name_findings(df, table, file or f"{table}.parquet", book), data])
 
+
+def validate_groups(df: DataFrame, keys: list[str], table: str, rules=COORDINATE_RULES,
+                    sentinel: int = SENTINEL, book: RuleBook = DEFAULT_RULES,
+                    profiles: DataFrame | None = None) -> DataFrame:
+    """The table suite for many tables of one schema that lie in one: ``<keys>, column, check, severity,
+    message``.  ``keys`` tell the tables, the one named ``table`` holds their names.  The data is
+    read once, or not at all where ``profiles`` (``profile_groups`` of it) is given."""
+    rows = profile_groups(df, keys, sentinel) if profiles is None else profiles
+    data = df.drop(*keys)
+    found = explode_findings(rows, [*keys, "column"], sentinel_checks(), *coordinate_checks(data, rules))
+    columns = names.validate_column_names(rows, "column", book).withColumnRenamed("name", "column")
+    tables = rows.select(*keys).distinct()
+    named = tables.join(names.validate_table_names(tables, table, book).withColumnRenamed("file", table), table).select(
+        *keys, F.lit("").alias("column"), "check", "severity", "message")
+    return union_findings([
+        found, rows.select(*keys, "column").join(columns, "column").select(*keys, "column", "check", "severity", "message"),
+        named])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tablegate.functions.kinds import NON_FINITE
 from tablegate.functions.lint import SUSPECT, first_offence, lint_findings, offence_message
+from tablegate.sources.store import plain_path
 
 
 def _loader():
@@ -75,14 +76,14 @@ def parse_documents(texts: DataFrame) -> DataFrame:
         _convert, "file string, raw string, parse_error string")
 
 
-def read_texts(spark: SparkSession, path: str) -> DataFrame:
+def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.col("_metadata.file_path").alias("file"),
+    return whole.select(plain_path(F.col("_metadata.file_path")).alias("file"),
                         F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``file, raw, parse_error`` of the documents under a path.  A document with a spacing
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``file, raw, parse_error`` of the documents under a path or several.  A document with a spacing
     offence is rejected like one that cannot be parsed."""
     return reject_offences(read_texts(spark, path))
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 1 << 20
+from tablegate.sources import folders
+from tablegate.sources.store import file_system
 
 
 def file_name(path: Column) -> Column:
@@ -32,42 +34,72 @@ def classify(files: DataFrame) -> DataFrame:
         "kind", file_kind(F.col("name")))
 
 
-#: Rows of a folder's listing that are passed on at once.
-LISTED = 10_000
-
-
-def _list_folders(batches):
-    """Entries directly inside each folder, subfolders with a null length.  Spark's own file
-    sources leave out empty files, which a release folder may well hold."""
-    from pyarrow import fs
-
-    for batch in batches:
-        for folder in batch["folder"]:
-            system, location = fs.FileSystem.from_uri(folder.rstrip("/"))
-            scheme = folder.rstrip("/").removesuffix(location)
-            found = system.get_file_info(fs.FileSelector(location))
-            for low in range(0, len(found), LISTED):
-                part = found[low:low + LISTED]
-                yield pd.DataFrame({
-                    "path": [scheme + info.path for info in part],
-                    "length": pd.array([info.size if info.type == fs.FileType.File else None for info in part], "Int64"),
-                    "modified": pd.to_datetime([info.mtime_ns // 1000 for info in part], unit="us", utc=True)})
-
-
-def list_files(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """``path, length, modified`` of the entries of the folders, one folder per task."""
-    given = spark.createDataFrame([(folder,) for folder in folders], "folder string")
-    return given.repartition(max(len(folders), 1), "folder").mapInPandas(
-        _list_folders, "path string, length bigint, modified timestamp")
+def _by_arrow(folder: str) -> bool:
+    """Whether tasks can open a folder's file system by themselves."""
+    try:
+        folders.opened(folder)
+        return True
+    except Exception:  # noqa: BLE001  (whatever the library says about a scheme it does not know)
+        return False
+
+
+def _by_spark(spark: SparkSession, listed: list[str], hashed: bool) -> DataFrame:
+    """A listing through the session's own file systems, for those that only Spark opens.
+
+    Files come from the binary file source, which reads (and hashes) them in its tasks, each file as a whole.
+    It leaves out subfolders, empty and hidden files: these are listed by the driver, page by page;
+    a hidden file's content is not read, its hash is null.
+    """
+    rest, full = [], []
+    for folder in listed:
+        system, path = file_system(spark, folder)
+        pages, some = system.listStatusIterator(path), False
+        while pages.hasNext():
+            status = pages.next()
+            name = status.getPath().getName()
+            plain = status.isFile() and status.getLen() > 0 and not name.startswith((".", "_"))
+            some = some or plain
+            if not plain:
+                empty = status.isFile() and status.getLen() == 0
+                rest.append((status.getPath().toString(), status.getLen() if status.isFile() else None,
+                             status.getModificationTime(), hashlib.sha1().hexdigest() if hashed and empty else None))
+        if some:
+            full.append(folder)
+    out = spark.createDataFrame(rest, "path string, length bigint, changed bigint, sha1 string").select(
+        "path", "length", F.timestamp_millis("changed").alias("modified"), "sha1")
+    if full:
+        files = spark.read.format("binaryFile").load(full)
+        sha1 = F.sha1("content") if hashed else F.lit(None).cast("string")
+        out = files.select("path", "length", F.col("modificationTime").alias("modified"), sha1.alias("sha1")).unionByName(out)
+    return out
+
+
+def list_files(spark: SparkSession, listed: list[str], hashed: bool = False) -> DataFrame:
+    """``path, length, modified, sha1`` of the entries of the folders, from one listing of each; subfolders
+    have no length, and ``sha1`` is null unless ``hashed``."""
+    if not all(_by_arrow(folder) for folder in listed):
+        return _by_spark(spark, listed, hashed)
+    spark.dataSource.register(folders.FolderSource)
+    return (spark.read.format("release_folders").option("folders", json.dumps(listed))
+            .option("hashed", str(hashed).lower()).load())
+
+
+def _named(files: DataFrame) -> DataFrame:
+    named = files.select(
+        F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("dataset"), "path",
+        file_name(F.col("path")).alias("name"), "length", "modified", "sha1")
+    return classify(named).withColumn("kind", F.when(F.col("length").isNull(), "extra").otherwise(F.col("kind")))
 
 
 def inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
     """Entries of release folders: ``dataset, path, name, length, modified, stem, kind``.
     Contents are not read; subfolders have no length and count as extra files."""
-    named = list_files(spark, folders).select(
-        F.regexp_extract("path", r"([^/]+)/[^/]*$", 1).alias("dataset"), "path",
-        file_name(F.col("path")).alias("name"), "length", "modified")
-    return classify(named).withColumn("kind", F.when(F.col("length").isNull(), "extra").otherwise(F.col("kind")))
+    return _named(list_files(spark, folders)).drop("sha1")
+
+
+def hashed_inventory(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """The inventory with ``sha1`` of every file's content, from the same listing."""
+    return _named(list_files(spark, folders, hashed=True))
 
 
 def datasets_of(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -81,18 +113,8 @@ def sha1_checksum(content: Column) -> Column:
 
 
 def _stream_hashes(batches):
-    from pyarrow import fs
-
     for batch in batches:
-        digests = []
-        for path in batch["path"]:
-            system, location = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha1()
-            with system.open_input_stream(location) as stream:
-                while chunk := stream.read(CHUNK_BYTES):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame({"path": batch["path"], "sha1": digests})
+        yield pd.DataFrame({"path": batch["path"], "sha1": [folders.sha1_of(path) for path in batch["path"]]})
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -105,9 +127,9 @@ def file_hashes(files: DataFrame) -> DataFrame:
 def file_listing(spark: SparkSession, folders: list[str]) -> DataFrame:
     """One row per file: ``etag, file_name, modified, directory, sha1``.  Plain storage
     has no entity tag; length and change time stand in for it."""
-    files = inventory(spark, folders).where("length IS NOT NULL")
+    files = hashed_inventory(spark, folders).where("length IS NOT NULL")
     etag = F.concat_ws("-", F.hex(F.unix_micros("modified")), F.hex("length"))
-    return (files.join(file_hashes(files), "path", "left")
-            .select(etag.alias("etag"), F.col("name").alias("file_name"),
-                    F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"),
-                    F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("directory"), "sha1"))
+    return files.select(
+        etag.alias("etag"), F.col("name").alias("file_name"),
+        F.date_format("modified", "yyyy-MM-dd HH:mm:ss").alias("modified"),
+        F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("directory"), "sha1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegate.functions.findings import explode_once
+from tablegate.sources.store import plain_path
 
 _EDGES = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 
@@ -43,7 +44,7 @@ def text_lines(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
     """Entries of manifest files: ``dataset, name, sha1``; the dataset is the file's stem."""
     whole = spark.read.text(path, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.checksums)?$", 1).alias("dataset"),
+        F.regexp_extract(plain_path(F.col("_metadata.file_name")), r"^(.*?)(\.checksums)?$", 1).alias("dataset"),
         F.col("value").alias("text"))
     return parse_manifest(text_lines(whole, ["dataset"], "text"), ["dataset"])
 
@@ -67,13 +68,3 @@ def manifest_lines(files: DataFrame) -> DataFrame:
         "dataset", F.lit(3).alias("line_group"), "name",
         F.concat("name", F.lit(": "), "sha1").alias("line"))
     return heads.withColumn("name", F.lit("")).unionByName(entries)
-
-
-def write_manifests(files: DataFrame, path: str) -> None:
-    """Write manifests as text, one folder per dataset.  Rows are range-partitioned by
-    dataset and file, so a dataset of any size spreads over ordered part files."""
-    lines = manifest_lines(files)
-    (lines.repartitionByRange("dataset", "line_group", "name")
-     .sortWithinPartitions("dataset", "line_group", "name")
-     .select("dataset", "line")
-     .write.mode("overwrite").partitionBy("dataset").text(path))

@@ -1,15 +1,21 @@
-"""Writers for skeleton and rollup documents and text tables.
+"""Writers for skeleton and rollup documents, manifests and text tables.
 
-Documents are written line by line from rows that carry their order, so a document
-of any length is sorted and written in pieces.
+Documents are written line by line from rows that carry their order, each under its own name.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+from urllib.parse import unquote
+
+from py4j.java_gateway import is_instance_of
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegate import rules as R
+from tablegate.sources.manifests import manifest_lines
+from tablegate.sources.store import file_system
 
 
 def yaml_text(value: Column) -> Column:
@@ -86,19 +92,70 @@ def rollup_lines(rollup: DataFrame) -> DataFrame:
     return items.unionByName(titles)
 
 
-def write_lines(lines: DataFrame, folder: str, order: list[str], path: str) -> None:
-    """Write text rows as ordered part files, one folder per document."""
-    (lines.repartitionByRange(folder, *order).sortWithinPartitions(folder, *order)
-     .select(folder, "line").write.mode("overwrite").partitionBy(folder).text(path))
+def _part_of(system, folder) -> str:
+    """The one part file of a folder."""
+    pages, parts = system.listStatusIterator(folder), []
+    while pages.hasNext():
+        path = pages.next().getPath()
+        if path.getName().startswith("part-"):
+            parts.append(path)
+    if len(parts) != 1:
+        raise RuntimeError(f"{folder.toString()} holds {len(parts)} part files, not one")
+    return parts[0]
+
+
+def write_named(lines: DataFrame, key: str, order: list[str], root: str, name: Callable[[str], str]) -> None:
+    """Write each key's text rows, in order, as one file: ``<root>/<name(key)>``.
+
+    The rows of a key are sorted and written by one task, which spills and streams, so that a file may be of
+    any length.  Files are written beside their places first and renamed when all of them are whole:
+    readers see an old file or a new one, and a task that was tried again leaves nothing behind.
+    """
+    spark = lines.sparkSession
+    work = f"{root.rstrip('/')}/_{uuid.uuid4().hex}"
+    system, folder = file_system(spark, work)
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark._jsparkSession.sessionState().newHadoopConf()
+    rename = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    rename[0] = hadoop.Options.Rename.OVERWRITE
+    try:
+        (lines.repartition(F.col(key)).sortWithinPartitions(key, *order).select(key, "line")
+         .write.partitionBy(key).text(work))
+        context = hadoop.FileContext.getFileContext(folder.toUri(), conf)
+        keys = system.listStatusIterator(folder)
+        while keys.hasNext():
+            of_key = keys.next().getPath()
+            _, found, escaped = of_key.getName().partition("=")
+            value = unquote(escaped)
+            if not found:
+                continue  # the mark of a whole write
+            if escaped == "__HIVE_DEFAULT_PARTITION__" or "/" in value:
+                raise ValueError(f"no file can be named after {key} {value!r}")
+            part = _part_of(system, of_key)
+            # A local file system keeps checksums beside its files; they are not part of a release.
+            if is_instance_of(spark.sparkContext._gateway, system, "org.apache.hadoop.fs.ChecksumFileSystem"):
+                system.getRawFileSystem().delete(hadoop.Path(of_key, f".{part.getName()}.crc"), False)
+            target = hadoop.Path(f"{root.rstrip('/')}/{name(value)}")
+            system.mkdirs(target.getParent())
+            context.rename(part, target, rename)
+    finally:
+        system.delete(folder, True)
 
 
 def write_skeletons(fields: DataFrame, date: str, path: str) -> None:
-    write_lines(skeleton_lines(fields, date), "table", ["pos", "line_no"], path)
+    """``<path>/<table>.maml`` for every table."""
+    write_named(skeleton_lines(fields, date), "table", ["pos", "line_no"], path, lambda table: f"{table}.maml")
 
 
 def write_rollups(rollup: DataFrame, path: str) -> None:
-    write_lines(rollup_lines(rollup), "dataset",
-                ["section", "order_file", "order_pos", "line_no"], path)
+    """``<path>/<dataset>/<dataset>.daml`` for every dataset."""
+    write_named(rollup_lines(rollup), "dataset", ["section", "order_file", "order_pos", "line_no"], path,
+                lambda dataset: f"{dataset}/{dataset}.daml")
+
+
+def write_manifests(files: DataFrame, path: str) -> None:
+    """``<path>/<dataset>/<dataset>.checksums`` for every dataset of ``dataset, name, sha1``."""
+    write_named(manifest_lines(files), "dataset", ["line_group", "name"], path,
+                lambda dataset: f"{dataset}/{dataset}.checksums")
 
 
 def text_table(df: DataFrame, order: list[str]) -> DataFrame:

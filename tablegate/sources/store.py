@@ -11,7 +11,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -59,6 +60,11 @@ def stored(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plain_path(encoded: Column) -> Column:
+    """A path as files are named, from the URI spelling of ``_metadata``."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def file_system(spark: SparkSession, path: str):
     """The session's Hadoop file system of a path (a Java object), and the path as one."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

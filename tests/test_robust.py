@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablegate.operators import catalog, documents as D, profile, reconcile, report, values
 from tablegate.sources import documents as S
+from tablegate.sources import folders as folders_source
 from tablegate.sources import inventory, vocabulary
 
 
@@ -55,7 +56,7 @@ def test_wide_tables_are_scanned_once(spark, tmp_path):
 
 
 def test_folders_empty_nested_and_large(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(inventory, "LISTED", 2)
+    monkeypatch.setattr(folders_source, "SPLIT_ENTRIES", 2)
     for name in ("none", "some/inner"):
         (tmp_path / name).mkdir(parents=True)
     for name in ("a.maml", "a.parquet", "some.md", "empty.md"):

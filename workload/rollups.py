@@ -8,7 +8,6 @@ from tablegate import rules as R
 from tablegate.operators import documents as D
 from tablegate.operators import history as H
 from tablegate.operators import report, rollup
-from tablegate.plans import suites
 from workload import documents as WD
 from workload import inputs as I
 from workload import reconcile as WC
@@ -240,36 +239,6 @@ def dataset_gate(spark, sf):
     return report.dataset_gate(datasets, findings)
 
 
-# The whole release: folders of customers, gated by their document findings.
-
-@query("release_gate", f"""WITH {BUILD_CTE}, bad AS (SELECT DISTINCT dataset FROM table_docs
-        WHERE declared_dataset <> dataset),
-    done AS (SELECT DISTINCT dataset FROM folders WHERE folder = 'notes')
-    SELECT 'rollup' AS output, dataset, count(*) AS n FROM built
-    WHERE dataset NOT IN (SELECT dataset FROM bad) AND dataset NOT IN (SELECT dataset FROM done) GROUP BY 2
-    UNION ALL SELECT 'manifest', dataset, count(*) + 3 FROM table_docs
-    WHERE dataset NOT IN (SELECT dataset FROM bad) AND dataset IN (SELECT dataset FROM done) GROUP BY 2
-    UNION ALL SELECT CASE WHEN dataset IN (SELECT dataset FROM bad) THEN 'fails' ELSE 'passes' END, dataset, 1
-    FROM (SELECT DISTINCT dataset FROM table_docs)""")
-def release_gate(spark, sf):
-    from tablegate.operators import reconcile
-
-    docs = I.table_documents(spark, sf)
-    findings = reconcile.dataset_name_check(docs.withColumnRenamed("file", "name"))
-    folders = I.release_folders(spark, sf)
-    hashes = docs.select("dataset", F.col("file").alias("name"), F.sha1("table").alias("sha1"))
-    out = suites.release(docs, findings, docs, H.next_release_version(folders), hashes, DATE,
-                         folders.filter("folder = 'notes'"))
-
-    def counted(rows, label):
-        return rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(label).alias("output"), "dataset", "n")
-
-    verdict = out.gate.select(F.when(F.col("passes"), "passes").otherwise("fails").alias("output"),
-                              "dataset", F.lit(1).cast("bigint").alias("n"))
-    return counted(out.rollups, "rollup").unionByName(counted(out.manifests, "manifest")).unionByName(verdict)
-
-
 # --- the flagship: one pass over a table, to its report ------------------------
 
 FLAGSHIP_SQL = """WITH hits AS (SELECT
