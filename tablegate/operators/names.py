@@ -7,6 +7,8 @@ which replaces the name x rule join by a loop over a small constant array.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,15 +87,19 @@ def name_banned(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
         return F.transform(close, lambda r: F.struct(
             r["word"].alias("word"), ratio_to_word(token, r).alias("ratio")))
 
+    def judged(scored: Column) -> Column:
+        return F.when(F.size(scored) > 0, all_of(
+            for_each(F.filter(scored, lambda s: s["ratio"] > R.BANNED_FAIL_RATIO),
+                     "name_banned", FAIL, lambda s: F.concat(F.lit("resembles banned word "), s["word"])),
+            for_each(F.filter(scored, lambda s: s["ratio"] > R.BANNED_WARN_RATIO),
+                     "name_banned", WARN, lambda s: F.concat(F.lit("may be banned word "), s["word"])),
+        )).otherwise(no_findings())
+
     scored = F.flatten(F.transform(F.transform(tokens(F.lower(name)), measured), score))
     return all_of(
         for_each(inside, "name_banned", FAIL,
                  lambda r: F.concat(F.lit("contains banned word "), r["word"])),
-        for_each(F.filter(scored, lambda s: s["ratio"] > R.BANNED_FAIL_RATIO),
-                 "name_banned", FAIL, lambda s: F.concat(F.lit("resembles banned word "), s["word"])),
-        for_each(F.filter(scored, lambda s: s["ratio"] > R.BANNED_WARN_RATIO),
-                 "name_banned", WARN, lambda s: F.concat(F.lit("may be banned word "), s["word"])),
-    )
+        let(scored, judged))
 
 
 def name_protected(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
@@ -131,65 +137,101 @@ def name_exception_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
                     lambda w: F.concat(F.lit("wrong case of "), w))
 
 
-def _filter_rules(book: RuleBook) -> Column:
+#: A family of filter words and what all of them, or some of them, have in common.
+FAMILY_TYPE = ("struct<least:int,longest:int,every:bigint,some:bigint,spare:int,rules:array<struct<"
+               f"name:string,inverse:string,inverse_masks:map<string,bigint>,{RULE_WORD_TYPE}>>>")
+
+
+def _families(book: RuleBook) -> Column:
+    """An index of the filter rules: families of words with the same last part, with their lengths and
+    character sets, so that a name meets only the rules of families it can match at all."""
     def squashed(text):
         return text.replace("_", "").lower()
 
-    return literal_rows(
-        [{"name": f.name, "inverse": squashed(f.inverse),
-          "inverse_masks": word_masks(squashed(f.inverse)), **rule_word(squashed(f.name))}
-         for f in book.filters],
-        "array<struct<name:string,inverse:string,inverse_masks:map<string,bigint>,"
-        f"{RULE_WORD_TYPE}>>")
+    groups: dict[str, list[dict]] = {}
+    for f in book.filters:
+        rule = {"name": f.name, "inverse": squashed(f.inverse), "inverse_masks": word_masks(squashed(f.inverse)),
+                **rule_word(squashed(f.name))}  # a reversed word has the same characters
+        groups.setdefault(f.name.split("_")[-1].lower(), []).append(rule)
+    rows = [{"least": min(r["size"] for r in rules), "longest": max(r["size"] for r in rules),
+             "every": reduce(int.__and__, [r["bits"] for r in rules]), "some": reduce(int.__or__, [r["bits"] for r in rules]),
+             "spare": max(r["spare"] for r in rules), "rules": rules} for rules in groups.values()]
+    return literal_rows(rows, f"array<{FAMILY_TYPE}>")
 
 
-def name_filter_inverse(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
-    if not book.filters:
-        return no_findings()
-    hits = let(squash(name), lambda plain: F.filter(
-        _filter_rules(book), lambda r: F.contains(plain, r["inverse"])))
-    return for_each(hits, "name_filter_inverse", FAIL,
-                    lambda r: F.concat(F.lit("reversed, use "), r["name"]))
+def _can_hold(plain: Column, family: Column) -> Column:
+    """Whether a name is long enough and has the characters to contain some word of a family."""
+    return (plain["size"] >= family["least"]) & (plain["bits"].bitwiseAND(family["every"]) == family["every"])
 
 
-def name_filter_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
-    if not book.filters:
-        return no_findings()
-    hits = let(squash(name), lambda plain: F.filter(
-        _filter_rules(book), lambda r: F.contains(plain, r["word"]) & ~F.contains(name, r["name"])))
-    return for_each(hits, "name_filter_case", FAIL,
-                    lambda r: F.concat(F.lit("misspelt, use "), r["name"]))
+def _can_resemble(plain: Column, family: Column, above: int) -> Column:
+    """Necessary condition for a similarity above a percentage with some word of a family: that of
+    ``may_share`` with the shortest word, all its members' characters and repetitions, and the longest word."""
+    total, longest = plain["size"] + family["least"], family["longest"]
+    shared = F.bit_count(plain["bits"].bitwiseAND(family["some"])).cast("int") + family["spare"]
+    return ((plain["size"] * 200 >= total * above) & (shared * 200 >= total * above)
+            & (longest * 200 >= (plain["size"] + longest) * above))
 
 
-def name_filter_fuzzy(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
+def _rules_of(families: Column, chosen, match) -> Column:
+    """The matching rules of the chosen families; only matches are gathered."""
+    return F.flatten(F.transform(F.filter(families, chosen), lambda f: F.filter(f["rules"], match)))
+
+
+def _against_filters(name: Column, book: RuleBook, *checks) -> Column:
+    """Checks of a name against the filter words, over its squashed form measured once."""
     if not book.filters:
         return no_findings()
-    def score(plain):
-        close = F.filter(_filter_rules(book), lambda r: (
-            may_share(plain, r, R.FILTER_WARN_RATIO)
-            & (near(plain, r["word"], r["size"], R.FILTER_WARN_RATIO)
-               | near(plain, r["inverse"], r["size"], R.FILTER_WARN_RATIO))))
-        return F.transform(close, lambda r: F.struct(
+    return let(squash(name), lambda text: let(measured(text), lambda plain: F.concat(
+        *[check(plain, _families(book), name) for check in checks])))
+
+
+def _inverse(plain: Column, families: Column, name: Column) -> Column:
+    hits = _rules_of(families, lambda f: _can_hold(plain, f), lambda r: F.contains(plain["text"], r["inverse"]))
+    return for_each(hits, "name_filter_inverse", FAIL, lambda r: F.concat(F.lit("reversed, use "), r["name"]))
+
+
+def _case(plain: Column, families: Column, name: Column) -> Column:
+    hits = _rules_of(families, lambda f: _can_hold(plain, f),
+                     lambda r: F.contains(plain["text"], r["word"]) & ~F.contains(name, r["name"]))
+    return for_each(hits, "name_filter_case", FAIL, lambda r: F.concat(F.lit("misspelt, use "), r["name"]))
+
+
+def _fuzzy(plain: Column, families: Column, name: Column) -> Column:
+    above = R.FILTER_WARN_RATIO
+    close = _rules_of(families, lambda f: _can_resemble(plain, f, above), lambda r: may_share(plain, r, above) & (
+        near(plain, r["word"], r["size"], above) | near(plain, r["inverse"], r["size"], above)))
+
+    def judged(rules: Column) -> Column:
+        scored = F.transform(rules, lambda r: F.struct(
             r["name"].alias("name"),
-            F.greatest(ratio_to_word(plain, r),
-                       ratio_to_word(plain, r, "inverse", "inverse_masks")).alias("ratio")))
+            F.greatest(ratio_to_word(plain, r), ratio_to_word(plain, r, "inverse", "inverse_masks")).alias("ratio")))
+        return F.when(F.size(rules) > 0, let(scored, lambda s: all_of(
+            for_each(F.filter(s, lambda x: x["ratio"] > R.FILTER_FAIL_RATIO), "name_filter_fuzzy", FAIL,
+                     lambda x: F.concat(F.lit("resembles "), x["name"])),
+            for_each(F.filter(s, lambda x: x["ratio"] > R.FILTER_WARN_RATIO), "name_filter_fuzzy", WARN,
+                     lambda x: F.concat(F.lit("did you mean "), x["name"]))))).otherwise(no_findings())
 
-    plain = let(squash(name), lambda text: F.array(measured(text)))
-    scored = F.flatten(F.transform(plain, score))
-    return all_of(
-        for_each(F.filter(scored, lambda s: s["ratio"] > R.FILTER_FAIL_RATIO),
-                 "name_filter_fuzzy", FAIL, lambda s: F.concat(F.lit("resembles "), s["name"])),
-        for_each(F.filter(scored, lambda s: s["ratio"] > R.FILTER_WARN_RATIO),
-                 "name_filter_fuzzy", WARN, lambda s: F.concat(F.lit("did you mean "), s["name"])),
-    )
+    return let(close, judged)
+
+
+def name_filter_inverse(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
+    return _against_filters(name, book, _inverse)
+
+
+def name_filter_case(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
+    return _against_filters(name, book, _case)
+
+
+def name_filter_fuzzy(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
+    return _against_filters(name, book, _fuzzy)
 
 
 def column_name_checks(name: Column, book: RuleBook = DEFAULT_RULES) -> Column:
     """All eight rules for column names; a null or empty name has no findings."""
     found = all_of(
         name_alpha_start(name), name_length(name), name_snake_case(name, book),
-        name_no_decimals(name), name_filter_inverse(name, book), name_filter_case(name, book),
-        name_filter_fuzzy(name, book), name_banned(name, book),
+        name_no_decimals(name), _against_filters(name, book, _inverse, _case, _fuzzy), name_banned(name, book),
         name_exception_case(name, book), name_protected(name, book))
     return F.when(F.length(name) > 0, found).otherwise(no_findings())
 
