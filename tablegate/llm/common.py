@@ -9,23 +9,20 @@ than any other.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablegate.sources.store import discard, shared_folder, shuffles_removed, stored  # noqa: F401
+
 #: ASCII white space, the separators of words.
 SPACE = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\x0c\r"
 TAG = "__tablegate_tag"
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over a value computed once, also where lambdas use it per element."""
@@ -46,56 +43,6 @@ def same_document(left: DataFrame, right: DataFrame) -> Column:
     return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["tag"] == right["tag"])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.
-
-    Only a local session that names none, as in tests, gets a temporary folder; a cluster's is an error.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("intermediate tables need a shared folder: set spark.checkpoint.dir")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tablegate-"))
-        folder = context.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-@contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Inside, a job's shuffle files go as soon as its result is written."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-
-
-def stored(df: DataFrame, **options: str) -> DataFrame:
-    """The rows written once as Parquet in the shared folder and read back.
-
-    Cuts the lineage: a lost executor costs the tasks that read it, nothing before them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tablegate/{uuid.uuid4().hex}"
-    with shuffles_removed(spark):
-        df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes stored tables that no later step reads."""
-    for df in tables:
-        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            jvm = df.sparkSession.sparkContext._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-
-
 def slices(frames: Iterator[pd.DataFrame], column: str = "text", size: int = 8 << 20) -> Iterator[pd.DataFrame]:
     """The batches cut so that each holds about ``size`` characters, or one row."""
     for frame in frames:

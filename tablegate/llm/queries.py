@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from tablegate.llm import (classifier, decontaminate, license_scan, line_dedup,
 from tablegate.llm.common import let, whole
 
 #: The vocabulary files of public tokenizers; workers open them at the same path.
-TOKENIZERS = os.environ.get("TABLEGATE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json").rsplit("/", 1)[0]
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
