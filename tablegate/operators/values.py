@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tablegate.functions.findings import (
 )
 from tablegate.operators import names
 from tablegate.operators.catalog import find_column
-from tablegate.operators.profile import profile_groups, profile_table
+from tablegate.operators.profile import profile_groups, profile_table, sentinel_hit
 from tablegate.rules import DEFAULT_RULES, FLOAT_TYPES, INTEGER_TYPES, SENTINEL, RuleBook
 
 CLOSED = ("left", "right", "both", "none")
@@ -169,11 +170,20 @@ def coordinate_findings(df: DataFrame, table: str, rules=COORDINATE_RULES,
 
 
 def sentinel_scan(df: DataFrame, table: str, sentinel: int = SENTINEL) -> DataFrame:
-    """Numeric and text columns with their sentinel verdict, in schema order."""
-    checkable = [f.name for f in df.schema.fields
-                 if isinstance(f.dataType, (T.NumericType, T.StringType))]
-    return (profile_table(df.select(*[f"`{name}`" for name in checkable]), table, sentinel)
-            .select("table", "column", "has_sentinel"))
+    """Numeric and text columns with their sentinel verdict, in schema order.
+
+    Only rows with a hit in some column are aggregated: on Parquet the condition reaches the scan, which
+    passes over row groups whose statistics leave no room for the sentinel.  On a clean table these are
+    nearly all.
+    """
+    checkable = [f for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType))]
+    if not checkable:
+        return profile_table(df.select(), table, sentinel).select("table", "column", "has_sentinel")
+    hits = [sentinel_hit(F.col(f"`{f.name}`"), f.dataType, sentinel) for f in checkable]
+    found = df.select(*[f"`{f.name}`" for f in checkable]).where(reduce(Column.__or__, hits)).agg(
+        *[any_agg(hit).alias(f"hit_{i}") for i, hit in enumerate(hits)])
+    return found.select(F.lit(table).alias("table"), F.inline(F.array(*[
+        F.struct(F.lit(f.name).alias("column"), F.col(f"hit_{i}").alias("has_sentinel")) for i, f in enumerate(checkable)])))
 
 
 def name_findings(df: DataFrame, table: str, file: str, book: RuleBook = DEFAULT_RULES) -> DataFrame:

@@ -11,8 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegate.functions.findings import FAIL, explode_findings, union_findings, when_found
-from tablegate.operators import documents, history, profile, reconcile, report, rollup, values
+from tablegate.functions.findings import FAIL, explode_findings, no_findings, union_findings, when_found
+from tablegate.operators import catalog, documents, history, profile, reconcile, report, rollup, values
 from tablegate.rules import DEFAULT_RULES, RuleBook
 from tablegate.sources import documents as sources
 from tablegate.sources import inventory, manifests
@@ -102,18 +102,25 @@ def read_release(spark: SparkSession, folders: list[str], releases: DataFrame, c
 
     documents_ = read("*.maml", lambda kind, _: kind == reconcile.DOCUMENT)
     rollups = read("*.daml", lambda _, rolled: rolled)
-    profiles, found = [], []
-    for row in files.filter(F.col("kind") == reconcile.TABLE).select("dataset", "path", "name", "stem").collect():  # names
-        table = spark.read.parquet(row.path)
-        profiles.append(profile.profile_table(table, row.stem).withColumn("dataset", F.lit(row.dataset)))
-        found.append(values.validate_table(table, row.stem, row.name, book=book, profiles=profiles[-1].drop("dataset"))
-                     .withColumn("dataset", F.lit(row.dataset)))
-    if not profiles:
-        nothing = profile.profile_table(spark.createDataFrame([], "x int"), "").withColumn("dataset", F.lit("")).limit(0)
-        profiles, found = [nothing], [nothing.select("dataset", "table", "column", F.lit("").alias("check"), F.lit(0).cast("tinyint").alias("severity"), F.lit("").alias("message"))]
+    rows = files.filter(F.col("kind") == reconcile.TABLE).select("dataset", "path", "name", "stem").collect()  # names
+    tables = {f"{row.dataset}/{row.stem}": spark.read.parquet(row.path) for row in rows}
+    if tables:
+        profiles = profile.profile_tables(tables, footers=catalog.file_columns(spark, tables))
+    else:
+        profiles = profile.profile_table(spark.createDataFrame([], "x int"), "").limit(0)
+    profiles = stored(profiles)  # read for the findings and for the comparison with the documents
+    found = [values.validate_table(table, key, row.name, book=book, profiles=profiles.filter(F.col("table") == key))
+             for (key, table), row in zip(tables.items(), rows)]
+    about = union_findings(found) if found else explode_findings(profiles, ["table", "column"], no_findings())
+
+    def apart(df: DataFrame) -> DataFrame:
+        """The dataset and the table of a key of both."""
+        return df.withColumn("dataset", F.regexp_extract("table", "^(.*)/[^/]*$", 1)).withColumn(
+            "table", F.regexp_extract("table", "([^/]*)$", 1))
+
     given = ReleaseInputs(
-        files=files, documents=documents_.withColumnRenamed("file", "name"), profiles=union_findings(profiles),
-        table_findings=union_findings(found), rollups=rollups, releases=releases, vocabulary=vocabulary,
+        files=files, documents=documents_.withColumnRenamed("file", "name"), profiles=apart(profiles),
+        table_findings=apart(about), rollups=rollups, releases=releases, vocabulary=vocabulary,
         datasets=inventory.datasets_of(spark, folders), checksums=checksums, versions=versions)
     return given, files.filter(F.col("length").isNotNull()).select("dataset", "name", "sha1")
 

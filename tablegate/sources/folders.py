@@ -34,6 +34,15 @@ def opened(path: str):
     return system, location, path.rstrip("/").removesuffix(location)
 
 
+def readable(path: str) -> bool:
+    """Whether tasks can open a path's file system by themselves."""
+    try:
+        opened(path)
+        return True
+    except Exception:  # noqa: BLE001  (whatever the library says about a scheme it does not know)
+        return False
+
+
 def sha1_of(path: str) -> str:
     system, location, _ = opened(path)
     digest = hashlib.sha1()

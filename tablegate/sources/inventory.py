@@ -34,15 +34,6 @@ def classify(files: DataFrame) -> DataFrame:
         "kind", file_kind(F.col("name")))
 
 
-def _by_arrow(folder: str) -> bool:
-    """Whether tasks can open a folder's file system by themselves."""
-    try:
-        folders.opened(folder)
-        return True
-    except Exception:  # noqa: BLE001  (whatever the library says about a scheme it does not know)
-        return False
-
-
 def _by_spark(spark: SparkSession, listed: list[str], hashed: bool) -> DataFrame:
     """A listing through the session's own file systems, for those that only Spark opens.
 
@@ -77,7 +68,7 @@ def _by_spark(spark: SparkSession, listed: list[str], hashed: bool) -> DataFrame
 def list_files(spark: SparkSession, listed: list[str], hashed: bool = False) -> DataFrame:
     """``path, length, modified, sha1`` of the entries of the folders, from one listing of each; subfolders
     have no length, and ``sha1`` is null unless ``hashed``."""
-    if not all(_by_arrow(folder) for folder in listed):
+    if not all(folders.readable(folder) for folder in listed):
         return _by_spark(spark, listed, hashed)
     spark.dataSource.register(folders.FolderSource)
     return (spark.read.format("release_folders").option("folders", json.dumps(listed))

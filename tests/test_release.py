@@ -58,7 +58,7 @@ def test_splits_are_balanced(folder, monkeypatch):
 
 
 def test_a_file_system_that_only_spark_opens(spark, folder, monkeypatch):
-    monkeypatch.setattr(inventory, "_by_arrow", lambda path: False)
+    monkeypatch.setattr(folders, "readable", lambda path: False)
     rows = {r["name"]: r for r in inventory.hashed_inventory(spark, [f"file://{folder}"]).collect()}
     assert set(rows) == {*CONTENTS, "inner"}
     for name, content in CONTENTS.items():
