@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workload.registry import ORACLES, QUERIES
 
-MODULES = ("sources", "values", "names", "documents", "reconcile", "rollups", "inference", "release")
+MODULES = ("sources", "values", "names", "documents", "reconcile", "rollups", "inference", "release", "files")
 
 
 def load() -> None:
