@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tablegate.operators import infer, profile, tags
@@ -63,17 +65,24 @@ def repaired(source: str, keys: str, output: str, full: bool = False) -> str:
                        list_filter(generate_series(1, len(words)), lambda i: words[i].s) AS sec FROM {source})))"""
 
 
-GUESS_SQL = f"""hits AS (SELECT n.name, r.grp, r.pos, r.tag FROM names n, tag_rules r WHERE CASE WHEN wide
-        THEN contains(n.name, r.name) ELSE list_contains(string_split(n.name, '_'), r.name) END),
-    firsts AS (SELECT name, w, min(grp * 1000000 + pos * 1000 + i) AS k, max(grp) AS g FROM (
+# A name that holds any of the wide rules' words meets all of them; the other rules are looked up by part.
+WIDE = "|".join(re.escape(w.name) for w in (*DEFAULT_RULES.exceptions, *DEFAULT_RULES.filters, *DEFAULT_RULES.protected)
+                if w not in DEFAULT_RULES.protected or "_" in w.name)
+GUESS_SQL = f"""wide_names AS MATERIALIZED (SELECT name FROM names WHERE regexp_matches(name, {literal(WIDE)})),
+    parts AS MATERIALIZED (SELECT DISTINCT name, unnest(string_split(name, '_')) AS part FROM names),
+    hits AS MATERIALIZED (
+        SELECT n.name, r.grp, r.pos, r.tag FROM wide_names n, (SELECT * FROM tag_rules WHERE wide) r WHERE contains(n.name, r.name)
+        UNION ALL SELECT p.name, r.grp, r.pos, r.tag FROM parts p
+        JOIN (SELECT * FROM tag_rules WHERE NOT wide) r ON p.part = r.name),
+    firsts AS MATERIALIZED (SELECT name, w, min(grp * 1000000 + pos * 1000 + i) AS k, max(grp) AS g FROM (
         SELECT name, grp, pos, i, parts[i] AS w FROM (
             SELECT *, string_split(tag, ';') AS parts FROM hits), unnest(generate_series(1, len(parts))) AS t(i))
         GROUP BY 1, 2),
     banded AS (SELECT DISTINCT name FROM hits WHERE grp = 2),
-    listed AS (SELECT name, list(w ORDER BY k) AS ws FROM firsts GROUP BY 1),
+    listed AS MATERIALIZED (SELECT name, list(w ORDER BY k) AS ws FROM firsts GROUP BY 1),
     prefixed AS (SELECT name, CASE WHEN len(ws) = 1 AND name IN (SELECT name FROM banded)
         AND NOT contains(ws[1], 'phot.mag') THEN list_prepend('phot.mag', ws) ELSE ws END AS ws FROM listed),
-    judged AS (SELECT x.name, list({{'w': w, 'p': coalesce(is_primary, FALSE), 's': coalesce(is_secondary, FALSE)}}
+    judged AS MATERIALIZED (SELECT x.name, list({{'w': w, 'p': coalesce(is_primary, FALSE), 's': coalesce(is_secondary, FALSE)}}
             ORDER BY i) AS words FROM (
         SELECT p.name, i, ws[i] AS w FROM prefixed p, unnest(generate_series(1, len(ws))) AS t(i)) x
         LEFT JOIN vocab v ON lower(x.w) = v.name GROUP BY 1),
