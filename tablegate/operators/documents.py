@@ -28,7 +28,9 @@ def open_documents(docs: DataFrame) -> DataFrame:
     kind); columns no check uses are pruned."""
     body = F.try_variant_get(F.try_parse_json("raw"), "$", "map<string,variant>")
     opened = docs.withColumn("keys", F.json_object_keys("raw")).withColumn("body", body)
-    return opened.withColumn("kinds", F.transform_values("body", lambda _, v: K.kind(v)))
+    # Lists and objects are told by their shape: the schema of all they hold is not worked out.
+    return opened.withColumn("kinds", F.transform_values("body", lambda _, v: (
+        F.when(K.as_list(v).isNotNull(), K.LIST).when(K.as_object(v).isNotNull(), K.OBJECT).otherwise(K.kind(v)))))
 
 
 def value(key: str) -> Column:

@@ -35,63 +35,54 @@ def sentinel_hit(column: Column, dtype: T.DataType, sentinel: int = SENTINEL) ->
     return column == (F.lit(str(sentinel)) if isinstance(dtype, T.StringType) else F.lit(sentinel))
 
 
-def _one_zero(column: Column, dtype: T.DataType) -> Column:
-    """Floats without negative zero: which of two equal zeros is met first must not show."""
-    return column + F.lit(0.0).cast(dtype) if is_floating(dtype) else column
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def column_max(column: Column, dtype: T.DataType) -> Column:
-    """Largest value; NaN counts only when there is nothing else."""
-    value = _one_zero(column, dtype)
-    if not is_floating(dtype):
-        return F.max(value)
-    return F.coalesce(F.max(F.when(~F.isnan(value), value)), F.max(value))
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def column_min(column: Column, dtype: T.DataType) -> Column:
-    return F.min(_one_zero(column, dtype))
+# Aggregates and rows are SQL text: a plan of hundreds of tables has thousands of expressions, and each
+# one built call by call would cost more than reading a small table.
 
-
-def _quoted(name: str) -> Column:
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def _aggregates(pos: int, field: T.StructField, sentinel: int) -> list[Column]:
+def _aggregates(pos: int, field: T.StructField, sentinel: int) -> list[str]:
     column, dtype = _quoted(field.name), field.dataType
-    out = [F.count(column).alias(f"count_{pos}")]
+    out = [f"count({column}) AS count_{pos}"]
     if is_floating(dtype):
-        out.append(F.count_if(F.isnan(column)).alias(f"nan_{pos}"))
+        out.append(f"count_if(isnan({column})) AS nan_{pos}")
     if has_range(dtype):
-        out += [column_min(column, dtype).cast("string").alias(f"min_{pos}"),
-                column_max(column, dtype).cast("string").alias(f"max_{pos}")]
+        least = most = column
+        if is_floating(dtype):
+            # Without negative zero: which of two equal zeros is met first must not show.
+            least = most = f"({column} + CAST(0 AS {dtype.simpleString()}))"
+            most = f"CASE WHEN NOT isnan({column}) THEN {most} END"  # NaN counts only when there is nothing else
+        largest = f"max({most})" if most == least else f"coalesce(max({most}), max({least}))"
+        out += [f"CAST(min({least}) AS STRING) AS min_{pos}", f"CAST({largest} AS STRING) AS max_{pos}"]
     if has_sentinel(dtype):
-        hit = sentinel_hit(column, dtype, sentinel)
-        out.append(F.coalesce(F.bool_or(hit), F.lit(False)).alias(f"hit_{pos}"))
+        value = _text(str(sentinel)) if isinstance(dtype, T.StringType) else str(sentinel)
+        out.append(f"coalesce(bool_or({column} = {value}), false) AS hit_{pos}")
     return out
 
 
-def _profile_row(pos: int, field: T.StructField) -> Column:
+def _profile_row(pos: int, field: T.StructField) -> str:
     dtype = field.dataType
-    none = F.lit(None).cast("string")
     ranged = has_range(dtype)
-    return F.struct(
-        F.lit(pos).alias("pos"),
-        F.lit(field.name).alias("column"),
-        F.lit(type_name(dtype)).alias("dtype"),
-        F.col("n_rows"),
-        (F.col("n_rows") - F.col(f"count_{pos}")).alias("n_null"),
-        (F.col(f"nan_{pos}") if is_floating(dtype) else F.lit(0)).cast("bigint").alias("n_nan"),
-        (F.col(f"min_{pos}") if ranged else none).alias("min_value"),
-        (F.col(f"max_{pos}") if ranged else none).alias("max_value"),
-        (F.col(f"hit_{pos}") if has_sentinel(dtype) else F.lit(False)).alias("has_sentinel"),
-    ).cast(PROFILE_TYPE)
+    parts = {
+        "pos": str(pos), "column": _text(field.name), "dtype": _text(type_name(dtype)), "n_rows": "n_rows",
+        "n_null": f"n_rows - count_{pos}", "n_nan": f"nan_{pos}" if is_floating(dtype) else "0L",
+        "min_value": f"min_{pos}" if ranged else "CAST(NULL AS STRING)",
+        "max_value": f"max_{pos}" if ranged else "CAST(NULL AS STRING)",
+        "has_sentinel": f"hit_{pos}" if has_sentinel(dtype) else "false"}
+    return f"struct({', '.join(f'{value} AS {name}' for name, value in parts.items())})"
 
 
 def _profiled(df: DataFrame, fields: list, keys: list[str], sentinel: int) -> tuple[DataFrame, Column]:
     """The one aggregate over a table, and its columns' profile rows."""
     aggregates = [agg for pos, field in fields for agg in _aggregates(pos, field, sentinel)]
-    wide = df.groupBy(*[_quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("n_rows"), *aggregates)
-    return wide, F.inline(F.array(*[_profile_row(pos, field) for pos, field in fields]))
+    wide = df.groupBy(*[F.col(_quoted(k)) for k in keys]).agg(*[F.expr(a) for a in ("count(1) AS n_rows", *aggregates)])
+    rows = ", ".join(_profile_row(pos, field) for pos, field in fields)
+    return wide, F.expr(f"inline(CAST(array({rows}) AS array<{PROFILE_TYPE}>))")
 
 
 def profile_table(df: DataFrame, table: str, sentinel: int = SENTINEL, footers: DataFrame | None = None) -> DataFrame:
