@@ -152,10 +152,14 @@ def write_rollups(rollup: DataFrame, path: str) -> None:
                 lambda dataset: f"{dataset}/{dataset}.daml")
 
 
+def write_manifest_lines(lines: DataFrame, path: str) -> None:
+    """``<path>/<dataset>/<dataset>.checksums`` for every dataset of ``manifests.manifest_lines``."""
+    write_named(lines, "dataset", ["line_group", "name"], path, lambda dataset: f"{dataset}/{dataset}.checksums")
+
+
 def write_manifests(files: DataFrame, path: str) -> None:
-    """``<path>/<dataset>/<dataset>.checksums`` for every dataset of ``dataset, name, sha1``."""
-    write_named(manifest_lines(files), "dataset", ["line_group", "name"], path,
-                lambda dataset: f"{dataset}/{dataset}.checksums")
+    """The same for every dataset of ``dataset, name, sha1``."""
+    write_manifest_lines(manifest_lines(files), path)
 
 
 def text_table(df: DataFrame, order: list[str]) -> DataFrame:
