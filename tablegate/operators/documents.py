@@ -18,7 +18,7 @@ from tablegate.functions.findings import (
 from tablegate.functions.text import let, literal_rows
 from tablegate.operators import names, tags
 from tablegate.rules import AUTHOR_PATTERN, DEFAULT_RULES, RuleBook
-from tablegate.sources.store import stored
+from tablegate.sources.store import by_shuffle, stored
 
 FIELD_ENTRY = "entries"
 
@@ -577,8 +577,13 @@ def validate_documents(docs: DataFrame, vocabulary: DataFrame | None = None,
         bad = bad.unionByName(tags.ucd_validate(rows.filter("key = 'ucd'"), vocabulary, "value").select(
             F.lit("ucd").alias("key"), F.col("ucd").alias("value"), F.lit("ucd_validate").alias("as_check"),
             F.lit(FAIL).cast("tinyint").alias("as_severity"), F.col("message").alias("as_message")))
+    # A value's findings are one row (as many as the rules allow), and the outer join lets Spark broadcast that
+    # side only: the stored rows, which are many times their files' size in memory, never go through the driver.
+    of_value = bad.groupBy("key", "value").agg(F.collect_list(F.struct("as_check", "as_severity", "as_message")).alias("as"))
+    met = rows.filter("key IS NOT NULL").join(of_value, ["key", "value"], "left").select(
+        "file", "key", "pos", F.inline_outer("as")).filter("as_check IS NOT NULL")
     placed = F.concat(F.lit("fields["), "pos", F.lit("]: "), "as_message")
-    judged = rows.filter("key IS NOT NULL").join(bad, ["key", "value"]).select(
+    judged = met.select(
         "file", F.col("as_check").alias("check"), F.col("as_severity").alias("severity"),
         F.when(F.col("key") == "ucd", placed).otherwise(F.col("as_message")).alias("message"))
     return rows.filter("check IS NOT NULL").select("file", "check", "severity", "message").unionByName(judged)
@@ -587,7 +592,7 @@ def validate_documents(docs: DataFrame, vocabulary: DataFrame | None = None,
 def valid_documents(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """The documents about which nothing found is a failure."""
     failed = findings.filter(F.col("severity") == FAIL).select("file").distinct()
-    return docs.join(failed, "file", "left_anti")
+    return docs.join(by_shuffle(failed), "file", "left_anti")
 
 
 def documents_to_fields(docs: DataFrame, findings: DataFrame, table: Column | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegate.functions.findings import FAIL, explode_findings, when_found
+from tablegate.sources.store import by_shuffle
 
 
 def release_number(folder: Column) -> Column:
@@ -60,7 +61,7 @@ def last_seen_by_file(local: DataFrame, checksums: DataFrame, versions: DataFram
     wanted = local.select("dataset", "table", "file").distinct()
     files = checksums.filter(F.col("sha1").isNotNull()).select("dataset", "release", "file", "sha1")
     tables = versions.filter(F.col("table_version").isNotNull()).select("dataset", "release", "table", "table_version")
-    newest = (wanted.join(files, ["dataset", "file"]).join(tables, ["dataset", "release", "table"])
+    newest = (by_shuffle(wanted).join(files, ["dataset", "file"]).join(by_shuffle(tables), ["dataset", "release", "table"])
               .groupBy("dataset", "table", "file")
               .agg(F.max_by(F.struct("release", "sha1", "table_version"), F.col("release")).alias("s")))
     return newest.select("dataset", "table", "file", "s.release", "s.sha1", "s.table_version")
@@ -81,7 +82,7 @@ def next_table_version(local: DataFrame, last_seen: DataFrame) -> DataFrame:
     same = F.coalesce(F.col("sha1"), F.lit("")) == F.col("seen_sha1")
     version = (F.when(F.col("seen_version").isNull(), F.lit(1))
                .when(same, F.col("seen_version")).otherwise(F.col("seen_version") + 1))
-    decided = local.join(seen, keys, "left").select(*keys, version.cast("int").alias("next_version"))
+    decided = local.join(by_shuffle(seen), keys, "left").select(*keys, version.cast("int").alias("next_version"))
     if not by_file:
         return decided
     return decided.groupBy("dataset", "table").agg(F.max_by("next_version", "file").alias("next_version"))
@@ -89,7 +90,7 @@ def next_table_version(local: DataFrame, last_seen: DataFrame) -> DataFrame:
 
 def version_check(declared: DataFrame, expected: DataFrame) -> DataFrame:
     """Tables whose declared version (``dataset, table, version``) is not the expected."""
-    joined = expected.join(declared, ["dataset", "table"], "left")
+    joined = expected.join(by_shuffle(declared), ["dataset", "table"], "left")
     return explode_findings(joined, ["dataset", "table"], when_found(
         ~F.col("version").eqNullSafe(F.col("next_version")), "version_check", FAIL,
         F.concat(F.lit("version "), F.coalesce(F.col("version").cast("string"), F.lit("missing")),

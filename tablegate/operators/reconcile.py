@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablegate.functions.findings import FAIL, FINDING_TYPE, explode_findings, finding, union_findings, when_found
 from tablegate.operators.values import profile_in_range
+from tablegate.sources.store import by_shuffle
 
 DOCUMENT, TABLE, NOTES, EXTRA = "maml", "parquet", "md", "extra"
 
@@ -103,7 +104,7 @@ def _per_folder(files: DataFrame, datasets: DataFrame | None, condition) -> Data
 
 def _unpaired(files: DataFrame, kind: str, partner: str, check: str, datasets: DataFrame | None) -> DataFrame:
     own, other = _of_kind(files, kind), _of_kind(files, partner)
-    alone = own.join(other.select("dataset", "stem"), ["dataset", "stem"], "left_anti")
+    alone = own.join(by_shuffle(other.select("dataset", "stem")), ["dataset", "stem"], "left_anti")
     without = _per_folder(files, datasets, F.col("kind") == kind).filter("n = 0")
     return union_findings([
         _folder_findings(alone, check, f"no .{partner} of the same name"),
@@ -186,7 +187,7 @@ def folder_checks(files: DataFrame, datasets: DataFrame | None = None,
         f"array<struct<name:string,f:{FINDING_TYPE},late:boolean>>"))).filter(F.col("f").isNotNull())
     # Notes without a table count only in a folder that has its own.
     has_notes = counts.select("dataset", (F.col("notes") > 0).alias("complete"))
-    kept = rows.join(has_notes, "dataset", "left").filter(~F.col("late") | F.col("complete"))
+    kept = rows.join(by_shuffle(has_notes), "dataset", "left").filter(~F.col("late") | F.col("complete"))
     return folders.select("dataset", "name", "f.*").unionByName(kept.select("dataset", "name", "f.*"))
 
 

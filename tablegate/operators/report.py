@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablegate.functions.findings import FAIL, PASS, WARN
+from tablegate.sources.store import by_shuffle
 
 
 def finding_severity(findings: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,5 +60,5 @@ def report_filter(findings: DataFrame, keys: list[str], checks: list[str] | None
 def dataset_gate(datasets: DataFrame, findings: DataFrame) -> DataFrame:
     """A dataset passes when nothing found about it is a failure; warnings are allowed."""
     worst = findings.groupBy("dataset").agg(F.max("severity").alias("worst"))
-    return datasets.select("dataset").distinct().join(worst, "dataset", "left").select(
+    return datasets.select("dataset").distinct().join(by_shuffle(worst), "dataset", "left").select(
         "dataset", (F.coalesce(F.col("worst").cast("int"), F.lit(PASS)) < FAIL).alias("passes"))

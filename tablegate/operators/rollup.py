@@ -16,6 +16,7 @@ from tablegate.functions.findings import (
     FAIL, FINDING_TYPE, all_of, explode_findings, explode_once, no_findings, when_found,
 )
 from tablegate.operators import documents as D
+from tablegate.sources.store import by_shuffle
 
 
 def rollup_survey(docs: DataFrame, keys=("dataset",), default: str = R.DEFAULT_SURVEY) -> DataFrame:
@@ -90,7 +91,7 @@ def build_rollup(docs: DataFrame, releases: DataFrame, date: str,
         F.min_by(F.struct("value", "at", "version"), F.struct((-F.col("n")).alias("n"), F.col("at.file").alias("file"))).alias("best"),
         F.count(F.lit(1)).alias("different"))
     known = releases.select("dataset", F.lit(SECTION("survey")).alias("section"), "next_release")
-    joined = chosen.join(known, ["dataset", "section"], "left")
+    joined = chosen.join(by_shuffle(known), ["dataset", "section"], "left")
 
     def line(key, value, file=F.lit(""), pos=F.lit(0), version=nothing):
         return F.struct(F.lit(SECTION(key)).alias("section"), F.lit(key).alias("key"), file.alias("order_file"),
@@ -135,7 +136,7 @@ def rollup_dataset_match(opened: DataFrame, keys=("file",)) -> DataFrame:
 
 
 def rollup_version_match(opened: DataFrame, releases: DataFrame, keys=("file",)) -> DataFrame:
-    joined = opened.join(releases.select("dataset", "next_release"), "dataset", "left")
+    joined = opened.join(by_shuffle(releases.select("dataset", "next_release")), "dataset", "left")
     return explode_findings(joined, list(keys), version_match())
 
 
@@ -195,14 +196,14 @@ def validate_rollup(rollups: DataFrame, tables: DataFrame, releases: DataFrame)
         return F.struct(subject.alias("subject"), found.alias("found"), pos.cast("int").alias("pos"), listed.cast("int").alias("listed"),
                         declared.cast("int").alias("declared"), l.alias("l"), d.alias("d"))
 
-    opened = D.open_documents(rollups).join(releases.select("dataset", "next_release"), "dataset", "left")
+    opened = D.open_documents(rollups).join(by_shuffle(releases.select("dataset", "next_release")), "dataset", "left")
     own = all_of(*rollup_row_checks(), dataset_match(), version_match())
     names = F.filter(F.transform(K.as_list(D.value("tables")), lambda t, i: row(
         K.as_text(K.member(t, "name")), pos=i, l=F.lit(True),
         listed=F.try_variant_get(K.member(t, "version"), "$", "int"))), lambda r: r["subject"].isNotNull())
     rows = opened.select("dataset", F.inline(F.concat(
         F.array(row(F.col("file"), found=own)), F.coalesce(names, F.array().cast(f"array<{ROW_TYPE}>")))))
-    declared = tables.join(rollups.select("dataset"), "dataset", "left_semi").select(
+    declared = tables.join(by_shuffle(rollups.select("dataset")), "dataset", "left_semi").select(
         "dataset", F.inline(F.array(row(F.col("name"), declared=F.col("version"), d=F.lit(True)))))
     is_table = F.coalesce("l", "d", F.lit(False))
     met = rows.unionByName(declared).groupBy("dataset", "subject", is_table.alias("is_table")).agg(

@@ -16,6 +16,7 @@ from tablegate.operators import names
 from tablegate.operators.catalog import find_column
 from tablegate.operators.profile import profile_groups, profile_table, sentinel_hit
 from tablegate.rules import DEFAULT_RULES, FLOAT_TYPES, INTEGER_TYPES, SENTINEL, RuleBook
+from tablegate.sources.store import by_shuffle
 
 CLOSED = ("left", "right", "both", "none")
 
@@ -225,7 +226,7 @@ def validate_groups(df: DataFrame, keys: list[str], table: str, rules=COORDINATE
     data = df.drop(*keys)
     found = explode_findings(rows, [*keys, "column"], sentinel_checks(), *coordinate_checks(data, rules))
     columns = names.validate_column_names(rows, "column", book).withColumnRenamed("name", "column")
-    tables = rows.select(*keys).distinct()
+    tables = by_shuffle(rows.select(*keys).distinct())
     named = tables.join(names.validate_table_names(tables, table, book).withColumnRenamed("file", table), table).select(
         *keys, F.lit("").alias("column"), "check", "severity", "message")
     return union_findings([

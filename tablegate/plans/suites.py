@@ -16,7 +16,7 @@ from tablegate.operators import catalog, documents, history, profile, reconcile,
 from tablegate.rules import DEFAULT_RULES, RuleBook
 from tablegate.sources import documents as sources
 from tablegate.sources import inventory, manifests
-from tablegate.sources.store import stored
+from tablegate.sources.store import by_shuffle, stored
 
 FOLDER_CHECKS = (
     "docs_without_table", "tables_without_doc", "notes_check", "extra_files",
@@ -78,7 +78,7 @@ def expected_versions(headers: DataFrame, files: DataFrame, checksums: DataFrame
     carry after its published history: ``dataset, table, next_version``."""
     hashes = files.select("dataset", F.col("name").alias("file"), "sha1")
     local = headers.filter(F.col("table").isNotNull()).select(
-        "dataset", "table", F.regexp_replace("name", r"\.maml$", ".parquet").alias("file")).join(hashes, ["dataset", "file"], "left")
+        "dataset", "table", F.regexp_replace("name", r"\.maml$", ".parquet").alias("file")).join(by_shuffle(hashes), ["dataset", "file"], "left")
     return history.next_table_version(local, history.last_seen_by_file(local, checksums, versions))
 
 
@@ -136,7 +136,7 @@ def release_findings(given: ReleaseInputs, book: RuleBook = DEFAULT_RULES) -> tu
     key = table_key(F.col("dataset"), F.col("name"))
     error = ["parse_error"] if "parse_error" in given.documents.columns else []
     typed = stored(documents.typed_documents(given.documents.select(key.alias("file"), "raw", *error), book))
-    about = documents.validate_documents(typed, given.vocabulary, book)
+    about = stored(documents.validate_documents(typed, given.vocabulary, book))  # read by three suites
     folder_of, name_of = F.regexp_extract("file", "^(.*)/[^/]*$", 1), F.regexp_extract("file", "([^/]*)$", 1)
     stem = inventory.known_stem(F.col("file"))
     headers = documents.documents_to_headers(typed).withColumnRenamed("dataset", "declared_dataset").select(
@@ -145,9 +145,9 @@ def release_findings(given: ReleaseInputs, book: RuleBook = DEFAULT_RULES) -> tu
     # Tables against valid documents, matched by the stem of their files.
     fields = documents.documents_to_fields(typed, about, table=stem)
     profiles = given.profiles.withColumn("table", table_key(F.col("dataset"), F.col("table"))).drop("dataset")
-    tables = profiles.select("table").distinct()
-    failed = about.filter(F.col("severity") == FAIL).select(stem.alias("table")).distinct()
-    valid = typed.select(stem.alias("table")).join(failed, "table", "left_anti")
+    tables = by_shuffle(profiles.select("table").distinct())
+    failed = by_shuffle(about.filter(F.col("severity") == FAIL).select(stem.alias("table")).distinct())
+    valid = by_shuffle(typed.select(stem.alias("table")).join(failed, "table", "left_anti"))
     consistent = reconcile.validate_consistency(
         profiles.join(valid, "table", "left_semi"), fields.join(tables, "table", "left_semi"))
     blocked = explode_findings(failed.join(tables, "table", "left_semi"), ["table", F.lit("").alias("column")], when_found(
@@ -194,15 +194,15 @@ def release(datasets: DataFrame, findings: DataFrame, docs: DataFrame, releases:
     that has gets its manifest lines.
     """
     gate = report.dataset_gate(datasets, findings)
-    passing = gate.filter("passes").select("dataset")
+    passing = by_shuffle(gate.filter("passes").select("dataset"))
     if with_rollup is None:
         fresh, ready = passing, passing.filter(F.lit(False))
     else:
-        done = with_rollup.select("dataset").distinct()
+        done = by_shuffle(with_rollup.select("dataset").distinct())
         fresh = passing.join(done, "dataset", "left_anti")
         ready = passing.join(done, "dataset", "left_semi")
-    rollups = rollup.build_rollup(docs.join(fresh, "dataset", "left_semi"), releases, date)
-    lines = manifests.manifest_lines(hashes.join(ready, "dataset", "left_semi"))
+    rollups = rollup.build_rollup(docs.join(by_shuffle(fresh), "dataset", "left_semi"), releases, date)
+    lines = manifests.manifest_lines(hashes.join(by_shuffle(ready), "dataset", "left_semi"))
     return Release(gate, rollups, lines)
 
 

@@ -172,3 +172,15 @@ def test_rollup_files_are_read_as_written(spark, tmp_path):
     assert (tmp_path / "a.daml").read_text() == 'dataset: "a"\nversion: 2\n'
     docs = S.read_documents(spark, f"{tmp_path}/*.daml")
     assert {r.file.rsplit("/", 1)[1]: r.raw for r in docs.collect()} == {"a.daml": '{"dataset": "a", "version": 2}', "b.daml": '{"dataset": "b"}'}
+
+
+@pytest.mark.parametrize("name", ["release_findings", "validate_documents"])
+def test_rows_of_all_documents_are_never_broadcast(spark, name):
+    """Stored rows look small by their files, as these are compressed; only the rules' findings may be gathered."""
+    import workload
+
+    workload.load()
+    plan = workload.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan
+    gathered = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("key#" in line or "__name#" in line or "[column#" in line for line in gathered), gathered

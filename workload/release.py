@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tablegate.operators import profile, values
 from tablegate.plans import suites
 from tablegate.sources import inventory
+from tablegate.sources.store import stored
 from workload import documents as WD
 from workload import inputs as I
 from workload import names as W
@@ -88,7 +89,7 @@ def given(spark, sf) -> suites.ReleaseInputs:
     of = groups(spark, sf)
     dataset, table = F.expr(DATASET).alias("dataset"), F.expr(TABLE).alias("table")
     data = rows(spark, sf).select(dataset, table, *[F.expr(e).alias(c) for c, e in COLUMNS_OF.items()])
-    profiles = profile.profile_groups(data, ["dataset", "table"])
+    profiles = stored(profile.profile_groups(data, ["dataset", "table"]))  # as read_release keeps them
     files = of.select(dataset, F.explode(F.array_compact(F.array(*[
         F.expr(f"CASE WHEN {rule} THEN {name} END") for rule, name in NAMES]))).alias("name"))
     listed = F.array_join(F.array_sort(F.collect_list(F.expr(
