@@ -184,3 +184,22 @@ def test_folder_checks(spark):
         ("stars", "b.maml", "dataset_name_check"), ("stars", "a", "version_check"),
         ("bare", "", "docs_without_table"), ("bare", "", "tables_without_doc"),
         ("bare", "bare.md", "notes_check"), ("bare", "x.txt", "extra_files")}
+
+
+def test_only_the_wanted_keys_and_parts_are_opened(spark):
+    """A check of few keys finds the same on a document opened for these alone."""
+    from tablegate.functions.findings import explode_findings
+    from tablegate.operators import documents as D
+
+    raws = ['{"date": "soon", "fields": [{"name": "a"}, {}, null, 5, {"name": "a", "qc": {"min": 1}, "data_type": "x"}]}',
+            '{"fields": [[], "", {"name": ""}]}', '{"date": null, "fields": {}}', '[1]', 'no', None]
+    docs = spark.createDataFrame(list(enumerate(raws)), "file string, raw string")
+
+    def found(opened, check):
+        return sorted(map(tuple, explode_findings(opened, ["file"], check).collect()))
+
+    whole = D.open_fields(D.open_documents(docs))
+    assert found(D.open_documents(docs, ("date",)), D.date()) == found(whole, D.date())
+    for check, parts in ((D.fields_shape(), ()), (D.fields_required(), ("missing",)), (D.fields_duplicates(), ("name",)),
+                         (D.fields_qc(), ("keys", "data_type", "qc_blank", "qc_is_object", "qc_keys", "min_kind", "max_kind"))):
+        assert found(D.open_fields(D.open_documents(docs, ("fields",)), parts), check) == found(whole, check) != []
