@@ -164,10 +164,13 @@ def fuzzy_ratio(a: Column, b: Column) -> Column:
     half to even; two empty texts are equal."""
     shorter = F.when(F.length(a) <= F.length(b), a).otherwise(b)
     longer = F.when(F.length(a) <= F.length(b), b).otherwise(a)
+    # Both texts and the masks are bound, so that they are worked out once and not for every character.
+    by_masks = F.get(let(F.struct(shorter.alias("s"), longer.alias("l")), lambda p: let(
+        F.struct(p["l"].alias("l"), F.length(p["s"]).alias("size"), mask_column(p["s"]).alias("masks")),
+        lambda q: F.array(lcs_by_masks(q["l"], q["masks"], q["size"])))), F.lit(0))
     common = (
         F.when(F.length(shorter) == 0, F.lit(0))
-        .when(F.length(shorter) <= MASK_BITS,
-              lcs_by_masks(longer, mask_column(shorter), F.length(shorter)))
+        .when(F.length(shorter) <= MASK_BITS, by_masks)
         .otherwise(lcs_by_rows(longer, shorter))
     )
     total = F.length(a) + F.length(b)

@@ -126,3 +126,18 @@ def test_rule_books_of_any_size(spark):
 def test_rule_book_from_mappings():
     book = RuleBook.from_mappings(protected={"t": {"common_mistakes": ["tt", "tt"], "unit": ["s"], "ucd": ["time"]}})
     assert book.protected == (ProtectedWord("t", ("tt",), ("s",), ("time",)),)
+
+
+def test_masks_of_a_pair_are_worked_out_once(spark):
+    """Not for every character of the longer text."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tablegate.functions.text import fuzzy_ratio
+
+    pairs = spark.range(2000, numPartitions=8).select(
+        F.repeat(F.concat(F.lit("ab"), "id"), 200).alias("a"), F.substring(F.repeat(F.lit("bcdefgha"), 8), 1, 60).alias("b"))
+    start = time.perf_counter()
+    assert pairs.select(F.sum(fuzzy_ratio(F.col("a"), F.col("b")))).first()[0] is not None
+    assert time.perf_counter() - start < 20
