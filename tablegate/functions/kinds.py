@@ -65,8 +65,10 @@ def blank_text(text: Column) -> Column:
 
 
 def is_falsy(value: Column) -> Column:
-    """Missing, null, empty text, zero, false, or an empty container."""
-    return falsy_text(json_text(value))
+    """Missing, null, empty text, zero, false, or an empty container.  Most values are told by their plain text;
+    JSON, which tells a text from a number, is written only of those that look empty."""
+    plain = F.try_variant_get(value, "$", "string")
+    return F.when(plain.isin("", *FALSY_TEXTS).eqNullSafe(False), False).otherwise(falsy_text(json_text(value)))
 
 
 def is_blank(value: Column) -> Column:

@@ -145,9 +145,8 @@ def author(key: str = "author", check: str = "doc_author") -> Column:
 
 def _elements(key: str) -> Column:
     """Elements of a list value with their 1-based index; empty for anything else."""
-    items = F.when(kind_of(key) == K.LIST, K.as_list(value(key)))
     return F.coalesce(
-        F.transform(items, lambda item, i: F.struct((i + 1).alias("pos"), item.alias("item"))),
+        F.transform(K.as_list(value(key)), lambda item, i: F.struct((i + 1).alias("pos"), item.alias("item"))),
         F.array().cast("array<struct<pos:int,item:variant>>"))
 
 
@@ -236,21 +235,24 @@ def schema_version(check: str = "doc_schema_version") -> Column:
 
 def _object_list(key: str, keys, check: str) -> Column:
     """Every element an object with all of ``keys`` filled and no others."""
+    def open_item(entry):
+        return F.struct(entry["pos"].alias("pos"), entry["item"].alias("item"), K.as_object(entry["item"]).alias("of"))
+
     def judge(entry):
         label = F.concat(F.lit(f"{key}["), entry["pos"], F.lit("]: "))
-        item = entry["item"]
-        here = K.as_object(item)
-        missing = [F.when(K.is_falsy(K.member(item, k)), F.array(F.lit(f"{k} is missing")))
+        here = entry["of"]
+        missing = [F.when(K.is_falsy(here[k]), F.array(F.lit(f"{k} is missing")))
                    .otherwise(F.array().cast("array<string>")) for k in keys]
         extra = F.array_sort(F.array_except(F.map_keys(here), _text_list(keys)))
-        extras = F.when(F.size(extra) > 0, F.array(F.concat(F.lit("unexpected "), _joined(extra)))
-                        ).otherwise(F.array().cast("array<string>"))
-        problems = (F.when(K.is_falsy(item), F.array(F.lit("empty")))
-                    .when(K.kind(item) != K.OBJECT, F.array(F.lit("must be object")))
-                    .otherwise(F.concat(*missing, extras)))
+        extras = F.transform(F.filter(F.array(extra), lambda e: F.size(e) > 0),
+                             lambda e: F.concat(F.lit("unexpected "), _joined(e)))
+        # An object is empty by its size; only what is none is looked at further.
+        problems = (F.when(F.size(here) > 0, F.concat(*missing, extras))
+                    .when(here.isNotNull() | K.is_falsy(entry["item"]), F.array(F.lit("empty")))
+                    .otherwise(F.array(F.lit("must be object"))))
         return F.transform(problems, lambda p: F.concat(label, p))
 
-    problems = F.flatten(F.transform(_elements(key), judge))
+    problems = F.flatten(F.transform(F.transform(_elements(key), open_item), judge))
     return all_of(optional_list(key, check), for_each(problems, check, FAIL, lambda p: p))
 
 
@@ -281,7 +283,8 @@ def keywords(check: str = "doc_keywords") -> Column:
 # --- fields ------------------------------------------------------------------
 
 #: Parts of an entry that ask for the JSON text of several members, or for the qc object.
-_SPELLED = {"name": ("name",), "ucd": ("ucd",), "data_type": ("data_type",), "qc_blank": ("qc",), "missing": R.FIELD_REQUIRED}
+_SPELLED = {"qc_blank": ("qc",)}
+_JUDGED = {"name": ("name",), "ucd": ("ucd",), "data_type": ("data_type",), "missing": R.FIELD_REQUIRED}
 _OF_QC = ("qc_is_object", "qc_keys", "min_kind", "max_kind", "qc_min", "qc_max")
 
 
@@ -292,6 +295,7 @@ def open_fields(opened: DataFrame, parts: tuple[str, ...] | None = None) -> Data
         return parts is None or any(name in parts for name in names)
 
     spelled_keys = sorted({key for part, keys in _SPELLED.items() if wanted(part) for key in keys})
+    judged_keys = sorted({key for part, keys in _JUDGED.items() if wanted(part) for key in keys})
 
     def unpack(e):
         return F.struct(e["pos"].alias("pos"), e["item"].alias("item"), K.as_object(e["item"]).alias("of"))
@@ -300,22 +304,23 @@ def open_fields(opened: DataFrame, parts: tuple[str, ...] | None = None) -> Data
         # An object is empty by its size, without writing it out.
         empty = F.when(e["of"].isNotNull(), F.size(e["of"]) == 0).otherwise(K.is_falsy(e["item"]))
         texts = F.struct(*[K.json_text(e["of"][key]).alias(key) for key in spelled_keys]) if spelled_keys else F.lit(None)
+        falsy = F.struct(*[K.is_falsy(e["of"][key]).alias(key) for key in judged_keys]) if judged_keys else F.lit(None)
         return F.struct(
             e["pos"].alias("pos"), empty.alias("empty"), e["of"].isNotNull().alias("is_object"), e["of"].alias("of"),
-            texts.alias("texts"), (K.as_object(e["of"]["qc"]) if wanted(*_OF_QC) else F.lit(None)).alias("qc"))
+            texts.alias("texts"), falsy.alias("falsy"), (K.as_object(e["of"]["qc"]) if wanted(*_OF_QC) else F.lit(None)).alias("qc"))
 
     def entry(e):
-        of, texts, qc = e["of"], e["texts"], e["qc"]
+        of, texts, falsy, qc = e["of"], e["texts"], e["falsy"], e["qc"]
         none = F.array().cast("array<string>")
 
         def filled(key):
-            return F.when(~K.falsy_text(texts[key]), K.as_text(of[key]))
+            return F.when(~falsy[key], K.as_text(of[key]))
 
         built = {
             "keys": lambda: F.coalesce(F.map_keys(of), none),
             "name": lambda: filled("name"),
             "missing": lambda: F.array_compact(F.array(*[
-                F.when(K.falsy_text(texts[k]), F.lit(k)) for k in R.FIELD_REQUIRED])),
+                F.when(falsy[k], F.lit(k)) for k in R.FIELD_REQUIRED])),
             "unit": lambda: K.as_text(of["unit"]),
             "info": lambda: K.as_text(of["info"]),
             "ucd": lambda: filled("ucd"),
@@ -513,12 +518,17 @@ def _scalar(key: str, kind: str, read: Column) -> Column:
 def _list_of(key: str, item) -> Column:
     """A list value element by element; null for anything else and for an empty list."""
     items = F.transform(_elements(key), lambda e: item(e["item"]))
-    return F.when(F.size(items) > 0, items)
+    return F.get(F.filter(F.array(items), lambda held: F.size(held) > 0), F.lit(0))
 
 
 def _plain_text(item: Column) -> Column:
     """A scalar's text; of lists and objects their JSON."""
-    return F.when(~K.is_null(item), F.coalesce(K.as_text(item), K.json_text(item)))
+    return F.coalesce(K.as_text(item), F.when(~K.is_null(item), K.json_text(item)))
+
+
+#: The keys that a header is read from.
+HEADER_KEYS = ("survey", "dataset", "table", "version", "date", "author", "coauthors", "DOIs", "depends",
+               "description", "comments", "license", "keywords", "MAML_version")
 
 
 def header() -> Column:
@@ -637,7 +647,11 @@ def documents_to_headers(docs: DataFrame, findings: DataFrame | None = None) ->
     description, comments, license, keywords, maml_version``; of the valid documents where ``findings``
     are given, else of all that are readable (values of a wrong kind are null)."""
     chosen = docs if findings is None else valid_documents(docs, findings)
-    return _typed(chosen).filter(F.col("header").isNotNull()).select("file", "header.*")
+    if "found" not in chosen.columns:  # headers alone: neither fields nor checks are worked out
+        chosen = open_documents(chosen, HEADER_KEYS).select(
+            "file", F.when(F.col("keys").isNotNull(), header()).alias("header"))
+    # A plain filter would be moved below the opening, where every document is made and read for it alone.
+    return explode_once(chosen, ["file"], F.array("header"), "header").select("file", "header.*")
 
 
 # --- accessors over the declared columns -------------------------------------

@@ -203,3 +203,39 @@ def test_only_the_wanted_keys_and_parts_are_opened(spark):
     for check, parts in ((D.fields_shape(), ()), (D.fields_required(), ("missing",)), (D.fields_duplicates(), ("name",)),
                          (D.fields_qc(), ("keys", "data_type", "qc_blank", "qc_is_object", "qc_keys", "min_kind", "max_kind"))):
         assert found(D.open_fields(D.open_documents(docs, ("fields",)), parts), check) == found(whole, check) != []
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headers_are_not_read_a_second_time_for_a_filter(spark):
+    docs = spark.createDataFrame([("a.maml", '{"survey": "WAVES"}'), ("b.maml", "{")], "file string, raw string")
+    made = docs.repartition("file").select("file", F.concat("raw", F.lit(" ")).alias("raw"))
+    headers = D.documents_to_headers(made)
+    assert _plan(headers).count("jsonObjectKeys") == 1
+    assert [(r.file, r.survey) for r in headers.collect()] == [("a.maml", "WAVES")]
+
+
+def test_checks_of_fields_leave_the_kinds_of_values_alone(spark):
+    from tablegate.functions.findings import explode_findings
+
+    docs = spark.createDataFrame([("a.maml", '{"fields": [{"name": "x", "data_type": "text"}, {}, 3]}')], "file string, raw string")
+    for parts, check in ((("data_type",), D.fields_data_type()), (("missing",), D.fields_required()), (("keys",), D.fields_extra_keys())):
+        rows = explode_findings(D.open_fields(D.open_documents(docs, ("fields",)), parts), ["file"], check)
+        assert "transform_values" not in _plan(rows)
+
+
+def test_document_texts_are_not_compiled_as_one_method(spark):
+    from workload import inputs as I
+
+    made = [line for line in _plan(I.documents(spark, "/root/testdata/sf0.001")).splitlines() if "MAML_version" in line]
+    assert made and not any("*(" in line for line in made)
+
+
+def test_falsy_values_by_their_text_are_those_by_their_json(spark):
+    values = ["null", '""', "[]", "{}", "false", "true", "0", "0.0", "-0.0", "0.00", "-0", "0e0", "0.0e0", "1", '"0"', '"0.0"', '"false"', '"null"',
+              '"[]"', '"{}"', '" "', "[0]", '{"a": null}', "0.1", '"x"', "00000000000000000000.0", "123456789012345678901"]
+    held = spark.createDataFrame([(v,) for v in values], "text string").select("text", F.try_parse_json("text").alias("v"))
+    rows = held.select("text", kinds.is_falsy(F.col("v")).alias("short"), kinds.falsy_text(kinds.json_text(F.col("v"))).alias("full")).collect()
+    assert [r for r in rows if r.short != r.full] == []

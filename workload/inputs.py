@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablegate.functions.text import let
 from tablegate.operators import documents as D
 from tablegate.sources import inventory as I
 from tablegate.sources import vocabulary as V
@@ -157,13 +158,19 @@ RAW_DOCUMENT = " || ".join([
 DOCUMENT_FILE = f"'order_' || {KEY_TEXT} || '.maml'"
 
 
+def in_pieces(value):
+    """The same value, bound once as a lambda variable.  A projection that holds a lambda is compiled in small
+    methods; the text of a whole document beside it is else one method, too long for the JVM to compile."""
+    return F.get(let(F.array(value), lambda held: held), F.lit(0))
+
+
 def documents(spark, sf) -> DataFrame:
     """One metadata document per order: ``file, raw``."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                                "o_orderdate", "o_orderpriority")
     # A document is made, parsed and checked per order: dealt out by key, whatever the files.
     return orders.repartition("o_orderkey").select(
-        F.expr(DOCUMENT_FILE).alias("file"), F.expr(RAW_DOCUMENT).alias("raw"))
+        in_pieces(F.expr(DOCUMENT_FILE)).alias("file"), F.expr(RAW_DOCUMENT).alias("raw"))
 
 
 def opened(spark, sf, only: tuple[str, ...] | None = None) -> DataFrame:
