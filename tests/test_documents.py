@@ -239,3 +239,16 @@ def test_falsy_values_by_their_text_are_those_by_their_json(spark):
     held = spark.createDataFrame([(v,) for v in values], "text string").select("text", F.try_parse_json("text").alias("v"))
     rows = held.select("text", kinds.is_falsy(F.col("v")).alias("short"), kinds.falsy_text(kinds.json_text(F.col("v"))).alias("full")).collect()
     assert [r for r in rows if r.short != r.full] == []
+
+
+def test_frequent_values_meet_their_findings_without_being_dealt_out(spark):
+    rows = spark.createDataFrame(
+        [(f"f{i}", name) for name, n in (("hot", 5), ("good", 4), ("rare", 2), ("fine", 1), (None, 6)) for i in range(n)],
+        "file string, name string")
+    of_name = spark.createDataFrame([("hot", [1, 2]), ("rare", [3])], "name string, as array<int>")
+    met = D._meet(rows, of_name, ["name"], frequent=4)
+    found = [tuple(r) for r in met.select("file", "name", F.inline_outer(F.transform("as", lambda a: F.struct(a.alias("a"))))).filter(
+        "a IS NOT NULL").collect()]
+    assert sorted(found) == sorted(
+        [(f"f{i}", "hot", a) for i in range(5) for a in (1, 2)] + [(f"f{i}", "rare", 3) for i in range(2)])
+    assert "Join LeftAnti" in met._jdf.queryExecution().optimizedPlan().toString()
