@@ -69,26 +69,25 @@ def build_rollup(docs: DataFrame, releases: DataFrame, date: str,
     value, version``.  ``section`` follows the key order of the document; keys without
     a value are left out, an empty description stays to be filled in.
 
-    One read of the documents: each leaves its survey, author, coauthors and table as rows; equal ones are
-    counted, and a second grouping chooses a dataset's survey and author among them.
+    A document's table is a line as it stands.  Survey, author and coauthors leave as rows; equal ones are counted,
+    and a second grouping chooses a dataset's survey and author among them.  Counting sorts a task's rows (the place
+    of a first mention is a text), so the documents are dealt out first, whatever their files.
     """
     nothing = F.lit(None).cast("int")
 
-    def item(key, value, pos=F.lit(0), own=F.lit(""), version=nothing):
-        return F.struct(F.lit(SECTION(key)).alias("section"), value.alias("value"), pos.cast("int").alias("pos"),
-                        own.alias("own"), version.cast("int").alias("version"))
+    def item(key, value, pos=F.lit(0)):
+        return F.struct(F.lit(SECTION(key)).alias("section"), value.alias("value"), pos.cast("int").alias("pos"))
 
-    single = F.array(item("survey", F.col("survey")), item("author", F.col("author")),
-                     item("tables", F.col("table"), own=F.col("file"), version=F.col("version")))
+    single = F.array(item("survey", F.col("survey")), item("author", F.col("author")))
     listed = F.filter(F.transform("coauthors", lambda c, i: item("coauthors", c, i)), lambda x: x["value"].isNotNull())
     items = F.concat(single, F.coalesce(listed, F.slice(single, 1, 0)))
-    rows = docs.select("dataset", "file", F.inline_outer(items)).filter(F.col("section").isNotNull())
-    counted = rows.groupBy("dataset", "section", "value", "own").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos")).alias("at"), F.max("version").alias("version"))
+    dealt = docs.select("dataset", "file", "survey", "author", "coauthors").repartition("dataset", "file")
+    rows = dealt.select("dataset", "file", F.inline_outer(items)).filter(F.col("section").isNotNull())
+    counted = rows.groupBy("dataset", "section", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file", "pos")).alias("at"))
     one = F.col("section").isin(SECTION("survey"), SECTION("author"))
     # The most frequent value, of equals the first; of lists every value is a group of its own.
-    chosen = counted.groupBy("dataset", "section", F.when(~one, F.struct("own", "value")).alias("each")).agg(
-        F.min_by(F.struct("value", "at", "version"), F.struct((-F.col("n")).alias("n"), F.col("at.file").alias("file"))).alias("best"),
+    chosen = counted.groupBy("dataset", "section", F.when(~one, F.struct("value")).alias("each")).agg(
+        F.min_by(F.struct("value", "at"), F.struct((-F.col("n")).alias("n"), F.col("at.file").alias("file"))).alias("best"),
         F.count(F.lit(1)).alias("different"))
     known = releases.select("dataset", F.lit(SECTION("survey")).alias("section"), "next_release")
     joined = chosen.join(by_shuffle(known), ["dataset", "section"], "left")
@@ -104,9 +103,10 @@ def build_rollup(docs: DataFrame, releases: DataFrame, date: str,
         line("date", F.lit(date)), line("description", F.lit(None)), line("license", F.lit(license_name)))
     lines = (F.when(F.col("section") == SECTION("survey"), head)
              .when(F.col("section") == SECTION("author"), F.array(line("author", value)))
-             .when(F.col("section") == SECTION("coauthors"), F.array(line("coauthors", value, place["file"], place["pos"])))
-             .otherwise(F.array(line("tables", value, place["file"], version=F.col("best.version")))))
-    return joined.select("dataset", F.inline(lines))
+             .otherwise(F.array(line("coauthors", value, place["file"], place["pos"]))))
+    tables = docs.select("dataset", F.inline(F.array(line(
+        "tables", F.col("table"), F.col("file"), version=F.col("version").cast("int")))))
+    return joined.select("dataset", F.inline(lines)).unionByName(tables)
 
 
 # --- checks on an existing rollup document -----------------------------------

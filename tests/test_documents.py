@@ -252,3 +252,14 @@ def test_frequent_values_meet_their_findings_without_being_dealt_out(spark):
     assert sorted(found) == sorted(
         [(f"f{i}", "hot", a) for i in range(5) for a in (1, 2)] + [(f"f{i}", "rare", 3) for i in range(2)])
     assert "Join LeftAnti" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_a_rollup_are_lines_as_they_stand(spark):
+    """They are not counted, and what is counted is dealt out first, so that no task sorts a whole file's rows."""
+    docs = spark.createDataFrame(
+        [("stars", f, "WAVES", "t", 1, "X <x@e.org>", ["P", "Q"]) for f in ("a.maml", "b.maml", "b.maml")],
+        "dataset string, file string, survey string, table string, version int, author string, coauthors array<string>")
+    built = rollup.build_rollup(docs, spark.createDataFrame([("stars", 4)], "dataset string, next_release int"), "2024-05-06")
+    lines = [(r.order_file, r.value, r.version) for r in built.filter("key = 'tables'").collect()]
+    assert sorted(lines) == sorted((r.file, r.name, r.version) for r in rollup.rollup_tables(docs).collect())
+    assert "RepartitionByExpression" in built._jdf.queryExecution().optimizedPlan().toString()
