@@ -18,6 +18,10 @@ from tablegate.functions.lint import SUSPECT, first_offence, lint_findings, offe
 from tablegate.sources.store import plain_path
 
 
+#: Texts whose tag a task keeps; a bound on its memory only, any other text is matched anew.
+KNOWN_TEXTS, KNOWN_LENGTH = 10_000, 64
+
+
 def _loader():
     """The safe YAML loader without implicit dates, which stay text."""
     import yaml
@@ -27,12 +31,30 @@ def _loader():
     loader.yaml_implicit_resolvers = {
         first: [(tag, pattern) for tag, pattern in resolvers if tag != "tag:yaml.org,2002:timestamp"]
         for first, resolvers in base.yaml_implicit_resolvers.items()}
+
+    plain, of_sequence = yaml.nodes.ScalarNode, base.resolve
+    known: dict[str, str] = {}
+
+    def resolve(self, kind, value, implicit):
+        """A plain scalar's tag, by its text: keys and common values are matched with the patterns once."""
+        if kind is not plain or not implicit[0] or len(value) > KNOWN_LENGTH:
+            return of_sequence(self, kind, value, implicit)
+        tag = known.get(value)
+        if tag is None:
+            tag = of_sequence(self, kind, value, implicit)
+            if len(known) < KNOWN_TEXTS:
+                known[value] = tag
+        return tag
+
+    loader.resolve = resolve
     return yaml, loader
 
 
 def _plain(node):
     """Replace what JSON cannot hold: non-text keys, odd types, NaN and infinities (marked texts; a text
     that begins with the mark gets a second one)."""
+    if type(node) is str and not node.startswith(NON_FINITE):
+        return node
     if isinstance(node, dict):
         return {key if isinstance(key, str) else str(key): _plain(item) for key, item in node.items()}
     if isinstance(node, (list, tuple, set)):

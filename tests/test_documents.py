@@ -263,3 +263,21 @@ def test_tables_of_a_rollup_are_lines_as_they_stand(spark):
     lines = [(r.order_file, r.value, r.version) for r in built.filter("key = 'tables'").collect()]
     assert sorted(lines) == sorted((r.file, r.name, r.version) for r in rollup.rollup_tables(docs).collect())
     assert "RepartitionByExpression" in built._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tags_of_known_texts_are_those_of_the_patterns():
+    """A plain scalar's tag is looked up by its text; quoted ones, and texts met before, keep theirs."""
+    parser, loader = S._loader()
+    text = 'a: 1\nb: "1"\nc: 1.5\nd: yes\ne: "yes"\nf: null\ng: .nan\nh: 1\n2: [1, "1", ~, 0x1F, 1_000]\nlong: ' + "9" * 80
+    first, again = (repr(parser.load(text, Loader=loader)) for _ in range(2))
+    assert first == again == repr(parser.load(text, Loader=parser.SafeLoader))
+    calls = []
+    base = loader.__mro__[1]
+    base_resolve = base.resolve
+    try:
+        base.resolve = lambda self, *args: calls.append(args) or base_resolve(self, *args)
+        _, counted = S._loader()
+        parser.load("- word\n" * 50, Loader=counted)
+    finally:
+        del base.resolve
+    assert sum(args[1] == "word" for args in calls) == 1
