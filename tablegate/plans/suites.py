@@ -147,7 +147,7 @@ def release_findings(given: ReleaseInputs, book: RuleBook = DEFAULT_RULES) -> tu
     profiles = given.profiles.withColumn("table", table_key(F.col("dataset"), F.col("table"))).drop("dataset")
     tables = by_shuffle(profiles.select("table").distinct())
     failed = by_shuffle(about.filter(F.col("severity") == FAIL).select(stem.alias("table")).distinct())
-    valid = by_shuffle(typed.select(stem.alias("table")).join(failed, "table", "left_anti"))
+    valid = by_shuffle(typed.filter(F.col("header").isNotNull()).select(stem.alias("table")).join(failed, "table", "left_anti"))
     consistent = reconcile.validate_consistency(
         profiles.join(valid, "table", "left_semi"), fields.join(tables, "table", "left_semi"))
     blocked = explode_findings(failed.join(tables, "table", "left_semi"), ["table", F.lit("").alias("column")], when_found(

@@ -102,3 +102,31 @@ def test_repeated_names_are_found_in_linear_time(spark):
     assert found([*many, "c7"]) == ["fields[10001]: c7 repeats 8"]
     assert len(found([*many, *many])) == 10_000
     assert time.time() - start < 60
+
+
+def test_elements_are_judged_as_rows_and_as_the_checks_of_arrays_do(spark):
+    """Fields and other elements of lists are rows of their own, compiled and not interpreted, with the same findings."""
+    from tablegate.functions.findings import explode_findings
+
+    field, odd = GOOD["fields"][0], [None, "", 0, "a", [], {}, [1], {"name": "x", "zz": 1}, MARK + "NaN", 10**30]
+    docs = {"good": GOOD | {"fields": [field]}, "none": [], "repeated": GOOD | {"fields": [field, 1, field, {}]},
+            "swapped": dict(reversed(GOOD.items()))}
+    for i, v in enumerate(odd):
+        docs[f"list{i}"] = GOOD | {key: [v, *GOOD[key]] for key in ("coauthors", "DOIs", "depends", "comments", "keywords", "fields")}
+        docs[f"key{i}"] = GOOD | {key: v for key in ("coauthors", "DOIs", "depends", "comments", "keywords", "fields", "date", "author")}
+        docs[f"field{i}"] = GOOD | {"fields": [{**field, key: v} for key in ("name", "data_type", "qc", "also")], "aux": v}
+        docs[f"qc{i}"] = GOOD | {"fields": [{**field, "qc": {"min": v, "max": 1, **more}} for more in ({}, {"step": v})]}
+    given = frame(spark, docs)
+    typed = D.typed_documents(given)
+    opened = D.open_fields(D.open_documents(given)).filter("keys IS NOT NULL")
+    checks = [D.coauthors(), D.dois(), D.depends(), D.comments(), D.keywords(), D.fields_shape(), D.fields_required(), D.fields_duplicates(),
+              D.fields_data_type(), D.fields_qc(), D.fields_extra_keys(), D.empty_optionals(), D.no_extra_keys(), D.key_order(), D.author(), D.date()]
+    arrays = sorted(map(tuple, explode_findings(opened, ["file"], *checks).collect()))
+    names_of = {check for _, check, _, _ in arrays}
+    rows = typed.select("file", F.inline_outer("found")).filter("check IS NOT NULL").collect()
+    assert len(names_of) == 16 and sorted(tuple(r) for r in rows if r.check in names_of) == arrays
+    of_good = typed.filter("file = 'good'").collect()
+    assert sorted((r.header is not None, r.table, r.field and r.field.name, [f.check for f in r.found]) for r in of_good) == [
+        (False, "bright", "star_id", []), (True, "bright", None, ["doc_table_matches_file"])]
+    plan = typed._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform_values" not in plan and plan.count("Generate") == 2
